@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +32,24 @@ def session(*, master: str = "local[*]", app: str = "tarnwork", shuffle_partitio
     return builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions)).config("spark.driver.memory", driver_memory).getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a session (the driver serves the archive)."""
+    context = spark.sparkContext
+    if getattr(context, "_tarnwork_shipped", False):
+        return
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="tarnwork-ship-")) / "tarnwork.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(package.rglob("*")):
+            if path.suffix in (".py", ".json") and "__pycache__" not in path.parts:
+                out.write(path, Path("tarnwork") / path.relative_to(package))
+    context.addPyFile(str(archive))
+    context._tarnwork_shipped = True
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """Table `name` of a directory that holds one parquet file or folder per table."""
+    ship(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
