@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnwork.llm.pii import find_personal, mask_personal
+from tarnwork.llm.packing import pack
+from tarnwork.llm.splitting import split_blocks
+from tarnwork.llm.tokens import encode_corpus
 from tarnwork.runtime import table
 
 
@@ -18,4 +21,24 @@ def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mask_personal(table(spark, sf_dir, "transcript_lines"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_masked": p3_masked}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Note blocks that the splitter cuts."""
+    return split_blocks(table(spark, sf_dir, "note_blocks")).filter("piece_no = 1 AND n_pieces > 1").select("block_id")
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All note blocks as pieces within the limit."""
+    return split_blocks(table(spark, sf_dir, "note_blocks"))
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container and place of every text or piece."""
+    return pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_masked": p3_masked, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_packed": p7_packed}
