@@ -125,7 +125,8 @@ def _undo(records: DataFrame, solved: DataFrame, separator: str) -> DataFrame:
 
 def clean_id(column: Column) -> Column:
     """An id as compared: white space around it, case and a leading `agent-` don't count."""
-    blank = r"^[\s ​﻿]+|[\s ​﻿]+$"
+    white = "[\\s\\u00A0\\u200B\\u2060\\uFEFF]"
+    blank = f"^{white}+|{white}+$"
     return F.regexp_replace(F.lower(F.regexp_replace(column, blank, "")), "^agent-", "")
 
 
