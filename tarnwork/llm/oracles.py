@@ -6,6 +6,6 @@ _BLANK = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}"
 ORACLES: dict[str, str] = {
     "p5_found": rf"""
 SELECT block_id FROM note_blocks
-WHERE list_sum(list_transform(regexp_extract_all(block_text, '[\p{{L}}\p{{N}}_]+'), x -> CAST(ceil(length(x) / 6.0) AS BIGINT)))
+WHERE coalesce(list_sum(list_transform(regexp_extract_all(block_text, '[\p{{L}}\p{{N}}_]+'), lambda x: CAST(ceil(length(x) / 6.0) AS BIGINT))), 0)
       + length(regexp_replace(block_text, '[\p{{L}}\p{{N}}_{_BLANK}]', '', 'g')) > 320""",
 }

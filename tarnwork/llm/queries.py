@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnwork.llm.pii import find_personal, mask_personal
+from tarnwork.llm.conversations import conversations
 from tarnwork.llm.packing import pack
 from tarnwork.llm.splitting import split_blocks
 from tarnwork.llm.tokens import encode_corpus
 from tarnwork.runtime import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations of the review runs as ordered messages."""
+    return conversations(table(spark, sf_dir, "sdk_review"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal items in the text fields of transcripts."""
     return find_personal(table(spark, sf_dir, "transcript_lines"))
@@ -41,4 +47,4 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_masked": p3_masked, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_packed": p7_packed}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_masked": p3_masked, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_packed": p7_packed}
