@@ -16,13 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.runtime import cut_lineage
+from tarnwork.runtime import cut_lineage, cut_lineage_counting
 
 TREE, CYCLE, BELOW = "tree", "cycle", "below_cycle"
 
 
-def _priority(node: str, turn: int) -> Column:
-    return F.xxhash64(F.col(node), F.lit(turn))
+def _priority(node: str) -> Column:
+    # The round's number is a column, not a literal, so that all rounds share one compiled plan.
+    return F.xxhash64(F.col(node), F.col("turn"))
 
 
 def contract(nodes: DataFrame, *, paths: bool = True, separator: str = "/", fold: bool = False, max_rounds: int = 400) -> DataFrame:
@@ -37,13 +38,12 @@ def contract(nodes: DataFrame, *, paths: bool = True, separator: str = "/", fold
     label = F.col("label").cast("string") if paths else F.lit("")
     value = F.col("value") if fold else F.lit(None).cast("int")
     kids = nodes.filter(F.col("parent").isNotNull() & (F.col("parent") != F.col("node"))).groupBy(F.col("parent").alias("of")).agg(F.count("*").alias("kids"))
-    state = nodes.join(kids, F.col("node") == F.col("of"), "left").select("node", "parent", label.alias("seg"), F.lit(1).alias("hops"), F.coalesce("kids", F.lit(0)).alias("kids"), value.alias("acc"), value.alias("up"))
+    state = nodes.join(kids, F.col("node") == F.col("of"), "left").select("node", "parent", label.alias("seg"), F.lit(1).alias("hops"), F.coalesce("kids", F.lit(0)).alias("kids"), value.alias("acc"), value.alias("up"), F.lit(0).alias("turn"))
     state = state.withColumn("up", F.when(F.lit(False), F.col("up")))
 
     rounds: list[DataFrame] = []
-    for turn in range(max_rounds):
-        state = _round(state, turn)
-        left, removed = state.agg(F.count_if((F.col("fate") == "stay") & F.col("parent").isNotNull() & (F.col("parent") != F.col("node"))), F.count_if(F.col("fate") != "stay")).first()
+    for _ in range(max_rounds):
+        state, left, removed = _round(state)
         if removed:
             rounds.append(state.filter(F.col("fate") != "stay"))
         state = _spliced(state, separator if paths else "")
@@ -68,8 +68,9 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _round(state: DataFrame, turn: int) -> DataFrame:
-    """One round's fates: `rake` for leaves, `splice` for chosen unary nodes, `stay` for the rest; written."""
+def _round(state: DataFrame) -> tuple[DataFrame, int, int]:
+    """One round's fates (`rake` for leaves, `splice` for chosen unary nodes, `stay` for the rest), written; how
+    many nodes stay that aren't contracted yet, and how many don't stay."""
     has_parent = F.col("parent").isNotNull() & (F.col("parent") != F.col("node"))
     leaf = F.col("kids") == 0
     below = state.filter(has_parent).groupBy(F.col("parent").alias("of")).agg(
@@ -78,11 +79,14 @@ def _round(state: DataFrame, turn: int) -> DataFrame:
         F.max(F.when(leaf, F.greatest("acc", "up"))).alias("leaf_acc"),
     )
     joined = state.join(below, F.col("node") == F.col("of"), "left").select(
-        "node", "parent", "seg", "hops", "up", F.greatest("acc", "leaf_acc").alias("acc"), "kids", F.coalesce("alive", F.lit(0)).alias("alive"), F.col("kid.node").alias("kid"), F.col("kid.up").alias("kid_up")
+        "node", "parent", "seg", "hops", "up", F.greatest("acc", "leaf_acc").alias("acc"), "kids", F.coalesce("alive", F.lit(0)).alias("alive"), F.col("kid.node").alias("kid"), F.col("kid.up").alias("kid_up"), "turn"
     )
-    mine = _priority("node", turn)
-    chosen = has_parent & (F.col("alive") == 1) & (F.col("kids") == 1) & (F.col("kid") != F.col("node")) & (mine > _priority("parent", turn)) & (mine > _priority("kid", turn))
-    return cut_lineage(joined.withColumn("fate", F.when(has_parent & leaf, "rake").when(chosen, "splice").otherwise("stay")), "round")
+    mine = _priority("node")
+    chosen = has_parent & (F.col("alive") == 1) & (F.col("kids") == 1) & (F.col("kid") != F.col("node")) & (mine > _priority("parent")) & (mine > _priority("kid"))
+    fated = joined.withColumn("fate", F.when(has_parent & leaf, "rake").when(chosen, "splice").otherwise("stay"))
+    stays = F.col("fate") == "stay"
+    written, seen = cut_lineage_counting(fated, "round", left=F.count_if(stays & has_parent), removed=F.count_if(~stays))
+    return written, seen["left"], seen["removed"]
 
 
 def _spliced(state: DataFrame, separator: str) -> DataFrame:
@@ -97,6 +101,7 @@ def _spliced(state: DataFrame, separator: str) -> DataFrame:
         F.col("alive").alias("kids"),
         "acc",
         F.greatest("up", "gone_acc").alias("up"),
+        (F.col("turn") + 1).alias("turn"),
     )
 
 

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _RUN = f"tarnwork-{uuid.uuid4().hex}"
 _CLEANUP: set[int] = set()
@@ -87,3 +87,10 @@ def cut_lineage(df: DataFrame, tag: str = "cut") -> DataFrame:
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_lineage_counting(df: DataFrame, tag: str = "cut", **measures: Column) -> tuple[DataFrame, dict[str, int]]:
+    """`cut_lineage`, and aggregates of the written rows taken while they were written (0 for no rows)."""
+    watch = Observation()
+    written = cut_lineage(df.observe(watch, *[m.alias(name) for name, m in measures.items()]), tag)
+    return written, {name: int(watch.get.get(name) or 0) for name in measures}
