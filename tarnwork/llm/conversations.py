@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.operators.hierarchy import contract
-from tarnwork.runtime import cut_lineage
+from tarnwork.runtime import cut_lineage, cut_lineage_counting
 
 #: Messages of one conversation that one task looks at together when neighbours are compared.
 STRETCH = 10_000
@@ -26,12 +26,11 @@ _ROLES = {"human": "user", "ai": "assistant", "model": "assistant"}
 def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph with string columns `u` and `v`: one row `node`,
     `component` (the least node) per node that has an edge to another. Loops and nulls don't count."""
-    state = cut_lineage(edges.filter("u IS NOT NULL AND v IS NOT NULL AND u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    print_of = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = print_of(state)
+    links = edges.filter("u IS NOT NULL AND v IS NOT NULL AND u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    mark = {"rows": F.count("*"), "mark": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    state, before = cut_lineage_counting(links, "edges", **mark)
     for _ in range(max_rounds):
-        state = cut_lineage(_small_star(_large_star(state)), "stars")
-        after = print_of(state)
+        state, after = cut_lineage_counting(_small_star(_large_star(state)), "stars", **mark)
         if after == before:
             break
         before = after

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tarnwork.llm.pii import find_personal, mask_personal
 from tarnwork.llm.conversations import conversations
 from tarnwork.llm.packing import pack
+from tarnwork.llm.subjects import assign_subjects, corpus_composition
 from tarnwork.llm.splitting import split_blocks
 from tarnwork.llm.tokens import encode_corpus
 from tarnwork.runtime import table
@@ -47,4 +48,14 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_masked": p3_masked, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_packed": p7_packed}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subject areas of every document."""
+    return assign_subjects(*(table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subjects")))
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of every subject in the corpus."""
+    return corpus_composition(*(table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subjects")))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_masked": p3_masked, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found, "p8_composition": p8_composition}
