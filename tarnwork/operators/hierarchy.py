@@ -8,14 +8,19 @@ cycle, one node that has become its own parent. The recorded removals are then u
 node's parent is always solved before it, which yields root, depth and path by one equi-join a round.
 
 All joins are on unique node keys or from many nodes to their parent, so no group is ever collected; the
-sum of all rounds' input is a constant times the number of nodes.
+sum of all rounds' input is a constant times the number of nodes. Scopes of at most `scoped.LIMIT` nodes don't
+need rounds of jobs: they are contracted by the same steps on arrays, many scopes at once in a task.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwork.operators.forest import STATES, contract_arrays
+from tarnwork.operators.scoped import LIMIT, map_scopes, positions, split_by_size
 from tarnwork.runtime import cut_lineage, cut_lineage_counting
 
 TREE, CYCLE, BELOW = "tree", "cycle", "below_cycle"
@@ -135,23 +140,41 @@ def clean_id(column: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(column, blank, "")), "^agent-", "")
 
 
-def hierarchy(df: DataFrame, *, scope: str = "session_id", node: str = "agent_id", parent: str = "parent_agent_id", order: list[str] | None = None) -> DataFrame:
+def hierarchy(df: DataFrame, *, scope: str = "session_id", node: str = "agent_id", parent: str = "parent_agent_id", order: list[str] | None = None, limit: int = LIMIT) -> DataFrame:
     """Root, depth, path and state of each node within its scope.
 
     Ids are compared by `clean_id`. Of several rows of a node the one with the greatest `order` columns
     counts, whole (ties beyond them: the greatest parent id). A parent that is null, blank or without a row
     in the scope makes a root. Rows without scope or with a null or blank node id are no nodes. Columns:
     the scope, `node_id`, `root_id`, `tree_depth`, `node_path`, `node_state`; other columns don't matter.
+    Scopes of more than `limit` nodes are contracted by distributed rounds.
     """
     order = order or ["captured_at", "record_id"]
     rows = df.select(F.col(scope).cast("string").alias("scope"), clean_id(F.col(node)).alias("id"), F.nullif(clean_id(F.col(parent)), F.lit("")).alias("above"), F.struct(*[F.col(c) for c in order]).alias("rank"))
     current = rows.filter(F.col("scope").isNotNull() & (F.col("id") != "")).groupBy("scope", "id").agg(F.max(F.struct("rank", "above")).alias("last")).select("scope", "id", F.col("last.above").alias("above"))
+    small, large = split_by_size(current, "scope", limit)
+    out = map_scopes(small, "scope", _contract_table, "scope string, node_id string, root_id string, tree_depth int, node_path string, node_state string")
+    if large is not None:
+        out = out.unionByName(_contract_large(large))
+    return out.withColumnRenamed("scope", scope)
+
+
+def _contract_table(table: pa.Table) -> pa.Table:
+    scope, ids = table.column("scope"), table.column("id")
+    labels = np.array(ids.to_pylist(), object)
+    forest = contract_arrays(positions(scope, ids, table.column("above")), label=labels)
+    roots = np.where(forest.root >= 0, labels[forest.root], "")
+    columns = [scope.cast(pa.string()), ids.cast(pa.string()), pa.array(roots, pa.string()), pa.array(forest.depth.astype(np.int32)), pa.array(forest.path, pa.string()), pa.array(STATES[forest.state], pa.string())]
+    return pa.table(columns, names=["scope", "node_id", "root_id", "tree_depth", "node_path", "node_state"])
+
+
+def _contract_large(current: DataFrame) -> DataFrame:
     key = lambda x: F.concat("scope", F.lit("\x1f"), x)
     keyed = cut_lineage(current.select(key("id").alias("node"), key("above").alias("wanted"), F.col("id").alias("label")), "nodes")
     known = keyed.select(F.col("node").alias("parent"))
     nodes = keyed.join(known, F.col("wanted") == F.col("parent"), "left").select("node", "parent", "label")
     part = lambda c, i: F.split(F.col(c), "\x1f", 2)[i]
-    return contract(nodes).select(part("node", 0).alias(scope), part("node", 1).alias("node_id"), F.when(F.col("root") == "", "").otherwise(part("root", 1)).alias("root_id"), F.col("depth").alias("tree_depth"), F.col("path").alias("node_path"), F.col("state").alias("node_state"))
+    return contract(nodes).select(part("node", 0).alias("scope"), part("node", 1).alias("node_id"), F.when(F.col("root") == "", "").otherwise(part("root", 1)).alias("root_id"), F.col("depth").cast("int").alias("tree_depth"), F.col("path").alias("node_path"), F.col("state").alias("node_state"))
 
 
 def descendants(tree: DataFrame, *, scope: str = "session_id") -> DataFrame:
