@@ -2,16 +2,21 @@
 
 Messages hang together by reply links. Connected components are found by alternating large-star and small-star
 steps, all of them equi-joins and grouped minima; the components then decide which conversations are whole, and
-the core's tree contraction gives each message its place and each branch its latest time. No step gathers the
-messages of a conversation in one task.
+the core's tree contraction gives each message its place and each branch its latest time. For conversations of
+any size these are rounds of distributed jobs, none of which gathers a conversation's messages in one task;
+conversations of at most `scoped.LIMIT` messages go through the same steps on arrays, many at once in a task.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwork.operators.forest import contract_arrays
 from tarnwork.operators.hierarchy import contract
+from tarnwork.operators.scoped import LIMIT, map_scopes, positions, split_by_size
 from tarnwork.runtime import cut_lineage, cut_lineage_counting
 
 #: Messages of one conversation that one task looks at together when neighbours are compared.
@@ -72,19 +77,18 @@ def is_blank(content: Column) -> Column:
 
 
 def messages(df: DataFrame) -> DataFrame:
-    """One row per message: `scope`, `node`, `wanted` (key of the parent), `uuid`, `role`, `ts`, `blank`. Of rows
-    repeating a uuid the first one ingested counts. Rows without session or uuid are no messages."""
-    key = lambda c: F.concat("session_id", F.lit("\x1f"), c)
+    """One row per message: `scope`, `uuid`, `parent_uuid`, `role`, `ts`, `blank`. Of rows repeating a uuid the
+    first one ingested counts. Rows without session or uuid are no messages."""
     # `ts` may be with or without zone; only its order matters.
     rows = df.filter("session_id IS NOT NULL AND uuid IS NOT NULL").select(
-        F.col("session_id").cast("string").alias("scope"), F.col("uuid").cast("string").alias("uuid"), key("uuid").alias("node"), key("parent_uuid").alias("wanted"),
+        F.col("session_id").cast("string").alias("scope"), F.col("uuid").cast("string").alias("uuid"), F.col("parent_uuid").cast("string").alias("parent_uuid"),
         speaker(F.col("msg_role"), F.col("line_type")).alias("role"), F.col("ts").cast("timestamp").cast("double").alias("ts"), is_blank(F.col("msg_content")).alias("blank"), "ingested_at", "line_id",
     )
-    kept = F.min_by(F.struct("scope", "uuid", "wanted", "role", "ts", "blank"), F.struct("ingested_at", "line_id"))
-    return rows.groupBy("node").agg(kept.alias("m")).select("node", "m.*")
+    kept = F.min_by(F.struct("parent_uuid", "role", "ts", "blank"), F.struct("ingested_at", "line_id"))
+    return rows.groupBy("scope", "uuid").agg(kept.alias("m")).select("scope", "uuid", "m.*")
 
 
-def conversations(df: DataFrame) -> DataFrame:
+def conversations(df: DataFrame, *, limit: int = LIMIT) -> DataFrame:
     """Kept conversations as ordered messages: `session_id`, `turn_no` (from 1), `uuid`, `msg_role`.
 
     A conversation is all rows of a session. It is whole when its messages form one component with exactly one
@@ -92,8 +96,87 @@ def conversations(df: DataFrame) -> DataFrame:
     of equal times the one with the least uuid; null times are earliest. Beside system messages a user's must
     come first, each be followed by an assistant's, and a user's and an assistant's not be blank. An empty
     table gives an empty result; a speaker of any other name breaks a conversation; extra columns don't matter.
+    Conversations of more than `limit` messages are treated by distributed rounds.
     """
-    all_messages = cut_lineage(messages(df), "messages")
+    small, large = split_by_size(messages(df), "scope", limit)
+    out = map_scopes(small, "scope", _whole_scopes, "session_id string, turn_no int, uuid string, msg_role string")
+    return out if large is None else out.unionByName(_large_conversations(large))
+
+
+def star_components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Least node of each node's component, by alternating large-star and small-star steps on arrays."""
+    keep = a != b
+    u, v = np.maximum(a, b)[keep], np.minimum(a, b)[keep]
+    edges = np.unique(u * n + v)
+    while True:
+        u, v = edges // n, edges % n
+        least = np.arange(n)
+        np.minimum.at(least, u, v)  # of greater nodes the lesser neighbours, lesser nodes only know greater ones
+        far, near = np.r_[u, v], np.r_[v, u]
+        up = near > far
+        hung = np.unique(near[up] * n + least[far[up]])
+        hung = hung[hung // n != hung % n]
+        u, v = hung // n, hung % n
+        least = np.arange(n)
+        np.minimum.at(least, u, v)
+        root = least[u]
+        down = v != root
+        after = np.unique(np.r_[v[down] * n + root[down], u * n + root])
+        after = after[after // n != after % n]
+        if len(after) == len(edges) and (after == edges).all():
+            break
+        edges = after
+    out = np.arange(n)
+    out[edges // n] = edges % n
+    return out
+
+
+def _whole_scopes(table: pa.Table) -> pa.Table:
+    """The kept conversations among whole small ones."""
+    scope, uuid = table.column("scope"), table.column("uuid")
+    n = table.num_rows
+    ids = scope.to_pylist()
+    code = np.cumsum([False, *(x != y for x, y in zip(ids, ids[1:]))]) if n else np.zeros(0, np.int64)
+    scopes = int(code[-1]) + 1 if n else 0
+    per = lambda flags: np.bincount(code, weights=flags, minlength=scopes)
+    parent = positions(scope, uuid, table.column("parent_uuid"))
+    opens = table.column("parent_uuid").is_null().to_numpy()
+    linked = parent >= 0
+    component = star_components(np.flatnonzero(linked), parent[linked], n)
+    whole = (per(component == np.arange(n)) == 1) & (per(opens) == 1) & (per(~linked) == 1)
+
+    ts = table.column("ts").fill_null(-np.inf).to_numpy().astype(np.float64)
+    names = np.array(uuid.to_pylist(), object)
+    forest = contract_arrays(np.where(whole[code], parent, -1), value=ts)
+    # The best child of every fork: latest branch, then least uuid.
+    inner = np.flatnonzero(linked & whole[code])
+    inner = inner[np.lexsort((names[inner].astype(str), -forest.largest[inner], parent[inner]))]
+    first = np.r_[True, parent[inner][1:] != parent[inner][:-1]] if len(inner) else np.zeros(0, bool)
+    follows = np.full(n, -1, np.int64)
+    follows[inner[first]] = parent[inner[first]]
+    runs = contract_arrays(follows)
+    on_chain = whole[code] & (runs.root == forest.root)
+    turn = runs.depth
+
+    roles = np.array(table.column("role").to_pylist(), object)
+    blank = table.column("blank").to_numpy()
+    spoken = np.flatnonzero(on_chain & (roles != "system"))
+    spoken = spoken[np.lexsort((turn[spoken], code[spoken]))]
+    role, at = roles[spoken], code[spoken]
+    user, reply = role == "user", role == "assistant"
+    begins = np.r_[True, at[1:] != at[:-1]] if len(at) else np.zeros(0, bool)
+    answered = np.r_[~begins[1:] & reply[1:], False] if len(at) else begins
+    count = lambda flags: np.bincount(at, weights=flags, minlength=scopes)
+    faults = count(begins & ~user) + count(user & ~answered) + count(~(user | reply))
+    good = (faults == 0) & (count(user & ~blank[spoken]) > 0) & (count(reply & ~blank[spoken]) > 0)
+    out = np.flatnonzero(on_chain & good[code]) if n else spoken
+    columns = [scope.take(pa.array(out)).cast(pa.string()), pa.array(turn[out].astype(np.int32)), uuid.take(pa.array(out)).cast(pa.string()), pa.array(roles[out], pa.string())]
+    return pa.table(columns, names=["session_id", "turn_no", "uuid", "msg_role"])
+
+
+def _large_conversations(parts: DataFrame) -> DataFrame:
+    key = lambda c: F.concat("scope", F.lit("\x1f"), c)
+    all_messages = parts.select("scope", "uuid", key("uuid").alias("node"), key("parent_uuid").alias("wanted"), "role", "ts", "blank")
     known = all_messages.select(F.col("node").alias("parent"))
     linked = all_messages.join(known, F.col("wanted") == F.col("parent"), "left")
     found = components(linked.filter("parent IS NOT NULL").select(F.col("node").alias("u"), F.col("parent").alias("v")))
