@@ -47,11 +47,15 @@ def _holds(variant: Column, path: str, value: Any) -> Column:
         items = _typed(path, variant, "array<variant>")
         out = shape.startswith("ARRAY")
         for item in value:
-            out = out & F.exists(items, lambda x, item=item: _equals(x, item))
+            out = out & F.exists(items, _test(item))
         return out
     return _equals(_typed(path, variant, "variant"), value)
 
 
+def _test(item: Any):
+    return lambda found: _equals(found, item)
+
+
 def _equals(found: Column, value: Any) -> Column:
     shape = F.schema_of_variant(found)
     if value is None:
