@@ -8,6 +8,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def contains(document: Column, wanted: dict[str, Any]) -> Column:
@@ -72,7 +73,7 @@ def canonical_text(value: Any) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical(texts: pd.Series) -> pd.Series:
     """Canonical form of JSON texts; null for null and invalid ones."""
 

@@ -16,6 +16,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = r"[\p{L}\p{N}_]+"
 _WORD = re.compile(r"\w+")
@@ -124,7 +125,7 @@ def lexemes_of(text: str, config: str = "english") -> list[str | None]:
     return words if config == "simple" else [None if w in STOP else stem(w) for w in words]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _english(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for series in texts:
         yield series.map(lambda t: lexemes_of(t) if t is not None else None)

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Secret shapes in the order in which they are masked, with what replaces them. The first, named
 # assignments, is treated by `_assignments`.
@@ -54,7 +55,7 @@ def _assignments(text: str, depth: int = 0) -> str:
     return _NAMED.sub(one, text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _mask_named(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for series in texts:
         yield series.map(lambda t: t if t is None else _assignments(t))

@@ -7,11 +7,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WHITE = r"\s\u000B\u001C-\u001F\u0085\p{Z}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Unicode composed form."""
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
@@ -75,7 +76,7 @@ def repository_of(url: Column) -> Column:
     """`owner/name` of a remote URL of any shape, or the one segment, or `''`; credentials are dropped."""
     u = F.trim(F.coalesce(url, F.lit("")))
     path = F.when(u.rlike(r"^[A-Za-z0-9_.+-]+@[^:/]+:.+$"), F.regexp_extract(u, r"^[^:/]+:(.+)$", 1)).when(u.rlike(r"(?i)^[a-z][a-z0-9+.-]*://.+$"), F.regexp_replace(F.regexp_extract(u, r"(?i)^[a-z][a-z0-9+.-]*://(.+)$", 1), "^[^/]*/", "")).otherwise(to_posix(u))
-    parts = F.filter(F.transform(F.split(F.regexp_replace(path, r"(?i)\.git$", ""), "/"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.regexp_replace(path, r"(?i)\.git$", ""), "/"), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), "/")
 
 

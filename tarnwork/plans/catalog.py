@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["trees", "retrieval"]
+MODULES = ["trees", "retrieval", "curation"]
 
 
 def collect() -> tuple[dict, dict]:
