@@ -26,7 +26,7 @@ def parse_utc(text: Column) -> Column:
 
 def recency(age_days: Column, half_life: float | Column) -> Column:
     """2 to the minus age over half-life; the future counts as now, an unknown age as never."""
-    return F.coalesce(F.pow(F.lit(2.0), -F.greatest(age_days.cast("double"), F.lit(0.0)) / half_life), F.lit(0.0))
+    return F.when(age_days.isNull(), 0.0).otherwise(F.pow(F.lit(2.0), -F.greatest(age_days.cast("double"), F.lit(0.0)) / half_life))
 
 
 def is_stale(at: Column, now: Column, hours: float) -> Column:

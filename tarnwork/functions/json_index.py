@@ -118,8 +118,7 @@ def index(texts: pa.Array) -> JsonIndex:
     ends = (offsets[1:] - begin).astype(np.int64) if n else np.zeros(0, np.int64)
     valid = np.ones(n, bool)
     if not size:
-        empty = np.zeros(0, np.int64)
-        return JsonIndex(data, empty, empty, empty, empty, empty, empty, np.zeros(0, bool), empty, empty, np.zeros(n, bool))
+        return _empty(data, n)
 
     # Quotes that an odd run of backslashes precedes don't end a string.
     escaped = np.zeros(size + 1, bool)
@@ -147,6 +146,8 @@ def index(texts: pa.Array) -> JsonIndex:
     begins[1:] &= ~plain[:-1]
     token = (outside & (cls_of >= OBJ) & (cls_of <= COMMA)) | (quote & inside) | begins
     pos = np.flatnonzero(token)
+    if not len(pos):
+        return _empty(data, n)
     cls = cls_of[pos].astype(np.int8)
     doc = np.searchsorted(ends, pos, "right")
     end = pos + 1
@@ -236,6 +237,11 @@ def index(texts: pa.Array) -> JsonIndex:
     return JsonIndex(data, doc, pos, end, cls, lev, parent, is_key, key, place, valid)
 
 
+def _empty(data: np.ndarray, n: int) -> JsonIndex:
+    none = np.zeros(0, np.int64)
+    return JsonIndex(data, none, none, none, none, none, none, np.zeros(0, bool), none, none, np.zeros(n, bool))
+
+
 def _ascii(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> bool:
     return bool((data[start] < 128).all()) and bool((data[end - 1] < 128).all()) and not bool(((end - start) > 4096).any())
 

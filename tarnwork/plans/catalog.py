@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["trees", "retrieval", "curation"]
+MODULES = ["trees", "retrieval", "curation", "flows"]
 
 
 def collect() -> tuple[dict, dict]:

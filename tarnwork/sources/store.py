@@ -20,7 +20,7 @@ class Store:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _pointer(self, table: str) -> str:
-        return f"{self.root}/{table}/_current"
+        return f"{self.root}/{table}/CURRENT"
 
     def exists(self, table: str) -> bool:
         return bool(self._fs.exists(self._path(self._pointer(table))))

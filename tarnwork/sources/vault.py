@@ -24,12 +24,12 @@ _RETRIEVED = "retrievals"
 def scan(spark: SparkSession, root: str, notes: list[str] | None = None) -> DataFrame:
     """`path` (relative to the vault), `raw`, `modified_at` and `bytes` of every note, or of the named ones.
 
-    Root-level templates and tool folders are left out. Named notes must lie inside the vault; a path that
+    Root-level templates and tool folders are left out; so are files of no bytes, which the scan doesn't list
+    and which would be skipped as empty. Named notes must lie inside the vault; a path that
     climbs out or is absolute is refused, one named twice is read once."""
     base = Path(root).resolve()
     if notes is None:
-        reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", EXTENSIONS)
-        files = reader.text(base.as_uri(), wholetext=True)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", EXTENSIONS).load(base.as_uri())
     else:
         wanted = []
         for note in dict.fromkeys(notes):
@@ -37,10 +37,11 @@ def scan(spark: SparkSession, root: str, notes: list[str] | None = None) -> Data
             if PurePosixPath(note).is_absolute() or not target.is_relative_to(base):
                 raise ValueError(f"note outside the vault: {note}")
             wanted.append(target.as_uri())
-        files = spark.read.text(wanted, wholetext=True)
-    place = F.url_decode(F.regexp_replace("_metadata.file_path", r"^file:/*", "/"))
+        files = spark.read.format("binaryFile").load(wanted)
+    place = F.regexp_replace("path", r"^file:/*", "/")
     path = F.substring(place, len(str(base)) + 2, 1 << 20)
-    rows = files.select(path.alias("path"), F.col("value").alias("raw"), F.col("_metadata.file_modification_time").alias("modified_at"), F.col("_metadata.file_size").alias("bytes"))
+    text = F.col("content").cast("string")
+    rows = files.select(path.alias("path"), F.when(F.is_valid_utf8(text), text).alias("raw"), F.col("modificationTime").alias("modified_at"), F.col("length").alias("bytes"))
     return rows.filter(~F.element_at(F.split("path", "/"), 1).isin(SKIPPED_FOLDERS))
 
 
@@ -161,7 +162,7 @@ def load(spark: SparkSession, root: str, *, notes: list[str] | None = None, allo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{"path": p, **describe(p, raw or "")} for p, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            rows = [{"path": p, **(describe(p, raw) if raw is not None else {"external_id": p, "skip_reason": "not valid UTF-8"})} for p, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], pa.string()) for c in _COLUMNS], schema=schema)
 
     files = scan(spark, root, notes)
