@@ -58,7 +58,24 @@ climb AS (
   SELECT c.session_id, c.agent_id, l.parent_id FROM climb c JOIN lost l ON l.session_id = c.session_id AND l.agent_id = c.here)
 """
 
+# Every element of a valid text by the SQL engine's own walk; of one encoded twice the inner text's.
+_ELEMENTS = """
+WITH src AS (
+  SELECT line_id, 'message' AS col, CASE WHEN json_valid(message) THEN CASE WHEN json_type(message) = 'VARCHAR' THEN json_extract_string(message, '$') ELSE message END END AS j FROM transcript_lines
+  UNION ALL SELECT line_id, 'tool_use_result', tool_use_result FROM transcript_lines),
+walk AS (SELECT s.line_id, s.col, e.fullkey, e.type, e.value, e.id, e.parent FROM (SELECT * FROM src WHERE json_valid(j)) s, json_tree(s.j) e WHERE e.type IN ('OBJECT', 'ARRAY')),
+el AS (SELECT o.line_id, o.col, o.fullkey, CASE WHEN json_type(o.value, '$.type') = 'VARCHAR' THEN json_extract_string(o.value, '$.type') ELSE '' END AS item_type,
+    CASE WHEN json_type(o.value, '$.id') = 'VARCHAR' THEN json_extract_string(o.value, '$.id') END AS own_id, CASE WHEN json_type(o.value, '$.tool_use_id') = 'VARCHAR' THEN json_extract_string(o.value, '$.tool_use_id') END AS answers_id
+  FROM walk o JOIN walk a ON a.line_id = o.line_id AND a.col = o.col AND a.id = o.parent WHERE o.type = 'OBJECT' AND a.type = 'ARRAY'),
+up AS (SELECT c.line_id, c.col, c.fullkey, arg_max(p.fullkey, length(p.fullkey)) AS above FROM el c JOIN el p ON p.line_id = c.line_id AND p.col = c.col AND starts_with(c.fullkey, p.fullkey || '.') GROUP BY 1, 2, 3),
+uses AS (SELECT own_id, min(line_id) AS use_line_id FROM el WHERE item_type = 'tool_use' AND own_id IS NOT NULL GROUP BY 1)"""
+
 ORACLES = {
+    "p4_found": _ELEMENTS + """
+SELECT c.line_id, c.col || substr(c.fullkey, 2) AS item_path, coalesce(c.col || substr(u.above, 2), '') AS parent_path, c.item_type, coalesce(s.use_line_id, 0) AS use_line_id
+FROM el c LEFT JOIN up u USING (line_id, col, fullkey) LEFT JOIN uses s ON c.item_type = 'tool_result' AND s.own_id = c.answers_id""",
+    "p4_types": _ELEMENTS + """
+SELECT item_type, u.above IS NULL AS outermost, count(*) AS n_objects FROM el LEFT JOIN up u USING (line_id, col, fullkey) GROUP BY 1, 2""",
     "p1_found": _FOREST + """
 SELECT session_id, agent_id, root_agent_id, tree_depth, node_path, 'tree' AS node_state FROM tree
 UNION ALL
