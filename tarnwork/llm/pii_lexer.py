@@ -34,7 +34,7 @@ _NUMBER = re.compile(
     r"(?:\+ ?|00)?(?:\(\+?\d{1,5}\) ?|\d+)(?:(?: ?[-/‐-―] ?|[ . ])?(?:\(\d{1,5}\)[ .\-/]{0,2})?\d+)*"
     r"(?:(?:,? ?(?:ext|Ext|EXT|Durchwahl|poste|extensión|extension)\.? ?|,? ?x ?)\d{1,6})?(?![\w@]|-\w)"
 )
-_CODE = re.compile(r"(?<![\w/.-])(?:[A-Z]{1,3}-?\d{6,10}[A-Z]?|[A-Z]\d{2}[A-Z]{2}\d{4,6}|[A-Z]\d[A-Z0-9]{5,9}\d|[XYZ]-?\d{7}-?[A-Z]|\d{7,8}[ -]?[A-Z]|\d{2} ?[A-Z]{2} ?\d{5}|[A-CEGHJ-PR-TW-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D])(?![\w/-])")
+_CODE = re.compile(r"(?<![\w/.-])(?:[A-Z]{1,3}-?\d{6,10}[A-Z]?|[A-Z]\d{2}[A-Z]{2}\d{4,6}|[A-Z]\d[A-Z0-9]{5,9}\d|[XYZ]-?\d{7}-?[A-Z]|\d{7,8}-?[A-Z]|\d{2} ?[A-Z]{2} ?\d{5}|[A-CEGHJ-PR-TW-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D])(?![\w/-])")
 _DIGITS = re.compile(r"\d")
 _DATE = re.compile(r"(?:19|20)\d\d-\d\d-\d\d$|\d{1,3}(?:\.\d{1,3}){3}$|(?:19|20)\d\d-\d\d-\d\d[ T]\d+")
 
@@ -45,7 +45,7 @@ _UNIT = r"(?:(?:Apt|Apartment|Unit|Flat|Suite|Ste|Room|Rm|Floor|Fl|Wohnung|Whg|A
 _POST = r"(?:[A-Z]{2},? \d{5}(?:-\d{4})?|\d{5}|[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2})"
 _SEP = r"(?:, ?|,?[ \t]*\r?\n[ \t]*| )"
 _HEADS = [
-    rf"(?<![\w.,/#-])\d{{1,5}}[a-zA-Z]?(?: 1/2)? (?:St\. )?(?:{_CAP} ){{1,4}}?(?:{L.STREET_EN})\b(?:\.(?=,| [A-Z#]))?(?: (?:N|S|E|W|NE|NW|SE|SW|North|South|East|West)\b)?",
+    rf"(?<![\w.,/#-])\d{{1,5}}[a-zA-Z]?(?: 1/2)? (?:St\. )?(?:{_CAP} ){{1,4}}?(?:{L.STREET_EN})\b(?:\.(?=,))?(?: (?:N|S|E|W|NE|NW|SE|SW|North|South|East|West)\b)?",
     rf"(?:(?<![\w-]){_CAP}(?:[ -]{_CAP})*?[ -]?(?:{L.STREET_DE}|(?:Straße|Strasse|Str\.|Gasse|Platz|Weg|Allee|Damm|Ufer|Ring)) ?\d{{1,4}} ?[a-z]?\b)",
     rf"(?<![\w-])(?:{L.STREET_DE_OPEN}) (?:{_CAP} )?{_CAP} \d{{1,4}} ?[a-z]?(?![\w.])",
     rf"(?<![\w.,/#-])\d{{1,4}}(?: ?(?:bis|ter|quater|[a-dA-D]))?,? (?:{L.STREET_FR}) (?:(?:de la|de l['’]|des|du|de|d['’]|la|le|les|l['’]) ?)*{_CAP}(?:[ -](?:(?:de la|des|du|de|et|la|le) )?{_CAP})*",
@@ -65,7 +65,7 @@ _RUN = re.compile(
     rf"|(?:{_UP}(?:[^\W\d_]\.[ \t]?|{_WORD}[ \t]+))+(?:(?:(?i:{_PARTICLE})[ \t]+)*{_UP}(?:{_WORD})))"
 )
 _TOKEN = re.compile(rf"[^\W\d_]\.|{_WORD}")
-_LOWER = re.compile(rf"(?<![\w@./-])(?:{'|'.join(sorted(L.GIVEN))})(?: (?:{_PARTICLE}))? [^\W\d_]{{4,}}(?:-[^\W\d_]+)?(?![\w@/-])")
+_LOWER = re.compile(rf"(?<![\w@./-])(?:{'|'.join(sorted(L.GIVEN))})(?: (?:{_PARTICLE}))? (?:[^\W\d_]['’])?[^\W\d_]{{4,}}(?:-[^\W\d_]+)?(?![\w@/-])")
 
 
 @lru_cache(maxsize=1 << 16)
@@ -148,13 +148,16 @@ def _names(text: str):
                 yield Candidate(a, b, NAME)
         at = max(spans[-1][1], m.start() + 1)
     for m in _LOWER.finditer(text):
-        if m[0].split()[-1] not in L.STARTERS and fold(m[0].split()[-1]) not in L.CODE:
+        if m[0].split()[-1] not in L.STARTERS and not _object(m[0]):
             yield Candidate(m.start(), m.end(), NAME)
 
 
 def _object(name: str) -> bool:
-    """Whether a name-like span ends in a common noun that isn't in use as a family name."""
+    """Whether a name-like span is a day, a label of a number, or ends in a common noun that isn't in use as a
+    family name."""
     last = fold(name.split(",")[0].split()[-1])
+    if last in L.NUMBER_WORDS or fold(name.split()[0]) in L.DAYS:
+        return True
     return (last in L.CODE or last.removesuffix("s") in L.CODE) and last not in L.SURNAME_NOUNS and last.removesuffix("s") not in L.SURNAME_NOUNS
 
 

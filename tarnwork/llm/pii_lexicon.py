@@ -38,6 +38,12 @@ CODE = set(
     """.split()
 )
 
+# Days of the week, which open dates rather than names.
+DAYS = set("mon tue tues wed thu thur thurs fri sat sun monday tuesday wednesday thursday friday saturday sunday montag dienstag mittwoch donnerstag freitag samstag sonntag lundi mardi mercredi jeudi vendredi samedi dimanche lunes martes miercoles jueves viernes sabado domingo".split())
+
+# Abbreviations of "number", which end labels rather than names.
+NUMBER_WORDS = set("nr no num number nummer numero numéro".split())
+
 # Those of the above that are family names as well.
 SURNAME_NOUNS = set("ash banks beck bell brook bush castle cross day dean fields field flint flood ford forest fox frost garden green grove hill hunt lake lane love marsh moon north oak park pearl pond rain rivers rock rose sand snow spring stone street summer summers swift west winter winters white wolf wood woods young black brown gray".split())
 

@@ -86,7 +86,7 @@ class Maker:
         return self.r.choice([
             (f"{d(3)}{s}{d(2)}{s}{d(4)}", p("SSN", "social security number", "SSN:", "soc. sec. no.", "social security #")),
             (f"{up(2)}{d(7)}", p("passport", "passport no.", "Reisepass Nr.", "n° de passeport", "pasaporte")), (f"{up(1)}{d(8)}", p("passport number", "Pasaporte n.º")),
-            (f"{d(2)} {d(3)} {d(3)} {d(3)}", p("Steuer-ID", "Steuer-IdNr.", "tax ID")), (d(11), p("Steuer-ID", "Steuer-IdNr.", "tax number")), (f"{d(2)}-{d(7)}", "tax ID"),
+            (f"{d(2)} {d(3)} {d(3)} {d(3)}", p("Steuer-ID", "Steuer-IdNr.", "tax ID")), (p(d(11), d(11), "00" + d(9)), p("Steuer-ID", "Steuer-IdNr.", "tax number")), (f"{d(2)}-{d(7)}", "tax ID"),
             (f"{d(8)}{p('-', '')}{up(1)}", p("DNI", "documento de identidad", "identity card", "NIF")), (f"{up(1)}{d(2)}{up(2)}{d(5)}", p("driver's licence", "Führerschein", "permis de conduire", "licence")),
             (f"{up(2)} {d(2)} {d(2)} {d(2)} A", "national insurance number"), (f"{d(1, '12')} {d(2)} {d(2)} {d(2)} {d(3)} {d(3)} {d(2)}", p("n° de sécurité sociale", "numéro de sécurité sociale")), (f"{up(1)}{d(7)}", p("licence no.", "carte d'identité")),
         ])
