@@ -9,10 +9,14 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwork.functions.text import normal_path
+from tarnwork.operators.hierarchy import contract
+from tarnwork.operators.ranking import number_rows
+from tarnwork.operators.scoped import LIMIT, split_by_size
+from tarnwork.runtime import cut_lineage
 
 # Order of kinds on the same instant, and of states of one cause.
 KIND_ORDER = ["found", "recurrence", "claim-workaround", "claim-wontfix", "claim-fixed", "fix-commit", "merged-pr"]
@@ -29,37 +33,60 @@ def fold_issues(events: DataFrame) -> DataFrame:
     `events`: `issue_id, effective_at, event_kind, cause_ref, to_state`. A sighting opens or reopens, a claim
     of a fix closes an open issue provisionally, a verification closes it; null states note something. Columns:
     `issue_id, state, sightings, n_events, n_intervals, open_since, closed_at` of the last interval.
+
+    Replay is a chain of maps between few states, so each day of an issue is folded on its own, once from every
+    state it may begin in, and the days' maps are applied in turn: no task sees more than an issue's day or its
+    list of days.
     """
     kinds = F.array(*map(F.lit, KIND_ORDER))
     kind = F.coalesce(F.nullif(F.array_position(kinds, F.col("event_kind")), F.lit(0)), F.lit(len(KIND_ORDER) + 1))
     weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in STATE_ORDER.items() for x in p]), F.coalesce("to_state", F.lit(""))), F.when(F.col("to_state").isNull(), 0).otherwise(4))
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("effective_at").alias("at"), kind.alias("kind"), F.col("cause_ref").alias("ref"), weight.alias("weight"), F.col("to_state").alias("claim"))))
-    return events.groupBy("issue_id").agg(ordered.alias("log")).select("issue_id", F.aggregate("log", _start(), _apply).alias("s")).select("issue_id", "s.*")
+    log = F.array_sort(F.collect_list(F.struct(F.col("effective_at").alias("at"), kind.alias("kind"), F.col("cause_ref").alias("ref"), weight.alias("weight"), F.col("to_state").alias("claim"))))
+    days = events.groupBy("issue_id", F.to_date("effective_at").alias("day")).agg(log.alias("log"))
+    maps = days.select("issue_id", "day", F.array(*[F.aggregate("log", _start(s), _apply) for s in _STATES]).alias("ends"))
+    chained = maps.groupBy("issue_id").agg(F.array_sort(F.collect_list(F.struct("day", "ends"))).alias("days"))
+    return chained.select("issue_id", F.aggregate("days", _start(None), _chain).alias("s")).select("issue_id", *[F.col(f"s.{c}").alias(c) for c in ("state", "sightings", "n_events", "n_intervals", "open_since", "closed_at")])
+
 
+_STATES = [None, "open", "claimed-fixed", "verified", "regressed"]
 
-def _start() -> Column:
-    none = F.lit(None)
-    return F.struct(none.cast("string").alias("state"), F.lit(0).cast("bigint").alias("sightings"), F.lit(0).cast("bigint").alias("n_events"), F.lit(0).cast("bigint").alias("n_intervals"), none.cast("timestamp_ntz").alias("open_since"), none.cast("timestamp_ntz").alias("closed_at"))
+
+def _start(state: str | None) -> Column:
+    """Nothing replayed yet, in a given state; only `verified` has no open interval among the named ones."""
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("timestamp_ntz")
+    return F.struct(F.lit(state).cast("string").alias("state"), F.lit(state in ("open", "claimed-fixed", "regressed")).alias("is_open"), zero.alias("sightings"), zero.alias("n_events"), zero.alias("n_intervals"), none.alias("open_since"), none.alias("closed_at"), F.lit(False).alias("touched"))
 
 
 def _apply(s: Column, e: Column) -> Column:
     claim, state = e["claim"], s["state"]
     sighting = claim.isin("open", "regressed")
-    has_open = (s["n_intervals"] > 0) & s["closed_at"].isNull()
     active = F.coalesce(state.isin("open", "regressed"), F.lit(False))
+    proven = F.coalesce(state == "verified", F.lit(False))
     after = F.when(sighting & state.isNull(), "open").when(sighting & ~active, "regressed").when((claim == "claimed-fixed") & (state.isNull() | active), "claimed-fixed").when(claim == "verified", "verified").otherwise(state)
-    opens = F.coalesce((sighting & ~active & ~has_open) | ((claim == "claimed-fixed") & state.isNull()) | ((claim == "verified") & ~F.coalesce(state == "verified", F.lit(False)) & ~has_open), F.lit(False))
-    closes = F.coalesce((claim == "verified") & ~F.coalesce(state == "verified", F.lit(False)), F.lit(False))
+    opens = F.coalesce((sighting & ~active & ~s["is_open"]) | ((claim == "claimed-fixed") & state.isNull()) | ((claim == "verified") & ~proven & ~s["is_open"]), F.lit(False))
+    closes = F.coalesce((claim == "verified") & ~proven, F.lit(False))
     return F.struct(
         after.alias("state"),
+        ((s["is_open"] | opens) & ~closes).alias("is_open"),
         (s["sightings"] + F.when(F.coalesce(sighting, F.lit(False)), 1).otherwise(0)).alias("sightings"),
         (s["n_events"] + 1).alias("n_events"),
         (s["n_intervals"] + opens.cast("bigint")).alias("n_intervals"),
         F.when(opens, e["at"]).otherwise(s["open_since"]).alias("open_since"),
         F.when(closes, e["at"]).when(opens, F.lit(None).cast("timestamp_ntz")).otherwise(s["closed_at"]).alias("closed_at"),
+        (s["touched"] | opens | closes).alias("touched"),
     )
 
 
+def _chain(s: Column, d: Column) -> Column:
+    """What was replayed so far, and a day begun in the state it ended in."""
+    place = F.when(s["state"].isNull(), 1).otherwise(F.array_position(F.array(*[F.lit(x or "") for x in _STATES]), s["state"]).cast("int"))
+    e = F.element_at(d["ends"], place)
+    return F.struct(
+        e["state"].alias("state"), e["is_open"].alias("is_open"), (s["sightings"] + e["sightings"]).alias("sightings"), (s["n_events"] + e["n_events"]).alias("n_events"), (s["n_intervals"] + e["n_intervals"]).alias("n_intervals"),
+        F.coalesce(e["open_since"], s["open_since"]).alias("open_since"), F.when(e["touched"], e["closed_at"]).otherwise(s["closed_at"]).alias("closed_at"), (s["touched"] | e["touched"]).alias("touched"),
+    )
+
+
 def promotion(rounds: DataFrame, *, needed: int = 3, acceptance: float = 0.95) -> DataFrame:
     """Mode and streak of each action after replaying its rounds by day.
 
@@ -158,10 +185,20 @@ def mentions(texts: DataFrame, ids: DataFrame, *, text: str, pattern: str) -> Da
     return found.join(ids.select("id").distinct(), "id")
 
 
-def pack_in_order(items: DataFrame, *, group: str, order: list[str], size: str, most: int = 8, limit: int = 12_000) -> DataFrame:
+def pack_in_order(items: DataFrame, *, group: str, order: list[str], size: str, most: int = 8, limit: int = 12_000, scope: int = LIMIT) -> DataFrame:
     """Batches of a group's items in order: a batch closes when it holds `most` items or the next would exceed
-    `limit`. Sequential by nature, so an ordered fold per group; columns `group, place, batch_no`."""
-    listed = F.array_sort(F.collect_list(F.struct(*order, F.coalesce(size, F.lit(0)).cast("bigint").alias("size"))))
+    `limit`. Columns: the group, `place`, the order columns, `batch_no`.
+
+    Groups of at most `scope` items are folded. In a larger one each item points to where a batch that began at it
+    would end, at most `most` rows on; batches begin at the items on the path of pointers from the first one,
+    which tree contraction finds."""
+    small, large = split_by_size(items.select(group, *order, F.coalesce(size, F.lit(0)).cast("bigint").alias("size")), group, scope)
+    out = _pack_small(small, group, order, most, limit)
+    return out if large is None else out.unionByName(_pack_large(large, group, order, most, limit))
+
+
+def _pack_small(items: DataFrame, group: str, order: list[str], most: int, limit: int) -> DataFrame:
+    listed = F.array_sort(F.collect_list(F.struct(*order, "size")))
 
     def step(s: Column, x: Column) -> Column:
         full = (s["count"] > 0) & ((s["count"] >= most) | (s["used"] + x["size"] > limit))
@@ -170,34 +207,51 @@ def pack_in_order(items: DataFrame, *, group: str, order: list[str], size: str,
 
     start = F.struct(F.lit(1).alias("batch"), F.lit(0).alias("count"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<int>").alias("out"))
     folded = items.groupBy(group).agg(listed.alias("items")).select(group, "items", F.aggregate("items", start, step)["out"].alias("batches"))
-    return folded.select(group, F.posexplode(F.arrays_zip("items", "batches")).alias("place", "z")).select(group, "place", *[F.col(f"z.items.{c}").alias(c) for c in order], F.col("z.batches").alias("batch_no"))
+    zipped = folded.select(group, F.posexplode(F.arrays_zip("items", "batches")).alias("place", "z"))
+    return zipped.select(group, (F.col("place") + 1).cast("bigint").alias("place"), *[F.col(f"z.items.{c}").alias(c) for c in order], F.col("z.batches").cast("bigint").alias("batch_no"))
+
+
+def _pack_large(items: DataFrame, group: str, order: list[str], most: int, limit: int) -> DataFrame:
+    rows = cut_lineage(number_rows(items, group=[group], order=order).withColumn("node", F.concat_ws("\x1f", group, "place")), "numbered")
+    # Each item meets the `most` items from itself on; the first that no longer fits is where the next batch begins.
+    ahead = rows.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: F.concat_ws("\x1f", F.col(group), F.col("place") - k))).alias("head"), "place", "size", "node")
+    nearby = ahead.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("place", "size", "node"))).alias("run"))
+
+    def step(s: Column, x: Column) -> Column:
+        fits = s["next"].isNull() & ((s["count"] == 0) | ((s["count"] < most) & (s["used"] + x["size"] <= limit)))
+        return F.struct((s["count"] + fits.cast("int")).alias("count"), (s["used"] + F.when(fits, x["size"]).otherwise(0)).alias("used"), F.when(s["next"].isNull() & ~fits, x["node"]).otherwise(s["next"]).alias("next"))
+
+    start = F.struct(F.lit(0).alias("count"), F.lit(0).cast("bigint").alias("used"), F.lit(None).cast("string").alias("next"))
+    pointed = rows.select("node", "place").join(nearby, F.col("node") == F.col("head")).select("node", F.aggregate("run", start, step)["next"].alias("parent"), F.when(F.col("place") == 1, 1).otherwise(0).alias("value"))
+    begins = contract(pointed, paths=False, fold=True).select(F.col("node").alias("begin"), F.col("largest").alias("begins"))
+    marked = rows.join(begins, F.col("node") == F.col("begin")).select(group, "place", *order, "begins")
+    return number_rows(marked, group=[group], order=["place"], place="again", sums={"batch_no": "begins"}).select(group, "place", *order, "batch_no")
 
 
 def apportion(weights: DataFrame, *, group: str, order: str, weight: str, total: int) -> DataFrame:
     """`total` shared out among a group's rows by largest remainder; ties to the earlier row, all-zero weights
     evenly."""
-    over = Window.partitionBy(group)
-    even = F.when(F.sum(weight).over(over) > 0, F.col(weight)).otherwise(1)
-    shared = weights.withColumn("even", even.cast("bigint")).withColumn("whole", F.sum("even").over(over))
-    parts = shared.withColumn("base", F.expr(f"({total} * even) div whole")).withColumn("rest", F.expr(f"({total} * even) % whole"))
-    left = F.lit(total) - F.sum("base").over(over)
-    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("rest"), order))
-    return parts.withColumn("left", left).withColumn("place", place).withColumn("share", F.col("base") + (F.col("place") <= F.col("left")).cast("bigint")).drop("even", "whole", "base", "rest", "left", "place")
+    totals = weights.groupBy(F.col(group).alias("group_of")).agg(F.sum(F.col(weight).cast("decimal(38,0)")).alias("sum_of"), F.count("*").alias("rows_of"))
+    joined = weights.join(totals, F.col(group) == F.col("group_of"))
+    shared = joined.withColumn("even", F.when(F.col("sum_of") > 0, F.col(weight)).otherwise(1).cast("decimal(38,0)")).withColumn("whole", F.when(F.col("sum_of") > 0, F.col("sum_of")).otherwise(F.col("rows_of").cast("decimal(38,0)")))
+    parts = shared.withColumn("base", F.expr(f"CAST(({total} * even) div whole AS bigint)")).withColumn("rest", F.expr(f"({total} * even) % whole"))
+    given = parts.groupBy(F.col(group).alias("given_of")).agg((F.lit(total) - F.sum("base")).alias("spare"))
+    placed = number_rows(parts, group=[group], order=[F.desc("rest"), F.col(order)]).join(given, F.col(group) == F.col("given_of"))
+    return placed.withColumn("share", F.col("base") + (F.col("place") <= F.col("spare")).cast("bigint")).drop("group_of", "sum_of", "rows_of", "even", "whole", "base", "rest", "given_of", "spare", "place")
 
 
 def budget_prefix(sections: DataFrame, *, group: str, order: str, size: str, budget: int) -> DataFrame:
     """The leading sections of each group that fit a budget together, and what the next one may still use."""
-    running = F.sum(size).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    placed = sections.withColumn("used", running)
+    placed = number_rows(sections, group=[group], order=[order], sums={"used": size}).drop("place")
     return placed.withColumn("fits", F.col("used") <= budget).withColumn("room", F.greatest(F.lit(0), F.lit(budget) - (F.col("used") - F.col(size))))
 
 
 def cache_plan(items: DataFrame, cache: DataFrame, key: list[str], *, size: str, largest: int) -> DataFrame:
     """Each item as `hit`, `duplicate` of an earlier item, `too-large` or `miss`, by a key of its content."""
-    place = F.row_number().over(Window.partitionBy(*key).orderBy("item_id"))
     stored = cache.select(*key).distinct().withColumn("cached", F.lit(True))
-    plan = F.when(F.col("cached"), "hit").when(F.col("place") > 1, "duplicate").when(F.col(size) > largest, "too-large").otherwise("miss")
-    return items.withColumn("place", place).join(stored, key, "left").withColumn("plan", plan).drop("place", "cached")
+    first = items.groupBy(*key).agg(F.min("item_id").alias("first_item"))
+    plan = F.when(F.col("cached"), "hit").when(F.col("item_id") > F.col("first_item"), "duplicate").when(F.col(size) > largest, "too-large").otherwise("miss")
+    return items.join(first, key).join(stored, key, "left").withColumn("plan", plan).drop("first_item", "cached")
 
 
 def requirement_states(claims: DataFrame, evidence: DataFrame, requirements: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwork.functions.text import WHITE
+from tarnwork.operators.ranking import number_rows
 
 ACTIONS = ["inserted", "updated", "metadata-updated", "unchanged", "failed"]
 
@@ -16,9 +17,8 @@ def blank_as_null(value: Column) -> Column:
 
 def claim_duplicates(files: DataFrame, *, key: str = "external_id", order: str = "path") -> DataFrame:
     """Files with the path that owns their key (the first in order) and whether this one is it."""
-    owner = F.min(order).over(Window.partitionBy(key))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return files.withColumn("owner_path", owner).withColumn("is_owner", place == 1)
+    owners = files.groupBy(F.col(key).alias("key_of")).agg(F.min(order).alias("owner_path"))
+    return files.join(owners, F.col(key) == F.col("key_of")).drop("key_of").withColumn("is_owner", F.col(order) == F.col("owner_path"))
 
 
 def first_rows(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -114,8 +114,7 @@ def append_if_changed(decisions: DataFrame, new: DataFrame, key: list[str], valu
 def allocate(existing: DataFrame, new: DataFrame, *, group: str, order: list[str], prefix: str = "ISSUE") -> DataFrame:
     """New rows with the next sequence numbers of their group and ids `<prefix>-<group>-NNN`."""
     top = existing.groupBy(group).agg(F.max("seq").alias("top"))
-    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    numbered = new.withColumn("place", place).join(top, group, "left").withColumn("seq", F.coalesce("top", F.lit(0)) + F.col("place"))
+    numbered = number_rows(new, group=[group], order=order).join(top, group, "left").withColumn("seq", F.coalesce("top", F.lit(0)) + F.col("place"))
     return numbered.drop("place", "top").withColumn("issue_id", F.concat(F.lit(f"{prefix}-"), F.col(group), F.lit("-"), F.lpad(F.col("seq").cast("string"), 3, "0")))
 
 

@@ -10,7 +10,7 @@ import html
 import re
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RETRIEVAL = ["note_external_id", "session_id", "retrieval_index"]
@@ -79,8 +79,8 @@ def similarity_histogram(events: DataFrame) -> DataFrame:
     spine = events.sparkSession.createDataFrame([(b,) for b in names], "bucket string")
     counts = events.filter("rank IS NOT NULL").groupBy(_bucket(F.col("similarity")).alias("bucket")).agg(F.count("*").alias("n"))
     filled = spine.join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n_results"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return filled.crossJoin(F.broadcast(total)).select("bucket", "n_results", F.round(F.when(F.col("total") > 0, F.col("n_results") / F.col("total")).otherwise(0.0), 6).alias("share"))
+    total = F.sum("n_results").over(Window.partitionBy(F.lit(0)))  # over the dozen rows of the spine
+    return filled.withColumn("total", total).select("bucket", "n_results", F.round(F.when(F.col("total") > 0, F.col("n_results") / F.col("total")).otherwise(0.0), 6).alias("share"))
 
 
 def similarity_summary(events: DataFrame) -> DataFrame:
