@@ -11,7 +11,7 @@ from typing import Any
 
 import pyarrow as pa
 import yaml
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXTENSIONS = "*.{md,markdown,mdx}"
@@ -168,7 +168,7 @@ def load(spark: SparkSession, root: str, *, notes: list[str] | None = None, allo
     files = scan(spark, root, notes)
     described = files.select("path", "raw").mapInArrow(run, ", ".join(f"{c} string" for c in _COLUMNS))
     joined = described.join(files.select("path", "modified_at", "bytes"), "path")
-    claims = F.when(F.col("skip_reason").isNull(), F.col("path"))
-    owner = F.min(claims).over(Window.partitionBy("external_id"))
-    taken = F.when(F.col("skip_reason").isNull() & (F.col("path") != owner), F.concat(F.lit("id is taken by "), owner)).otherwise(F.col("skip_reason"))
-    return joined.withColumn("skip_reason", taken).withColumn("source", F.lit("obsidian")).withColumn("realm", realm_of(F.col("path"), discover_realms(root, allowed)))
+    owners = described.filter("skip_reason IS NULL").groupBy(F.col("external_id").alias("claimed")).agg(F.min("path").alias("owner"))
+    joined = joined.join(owners, F.col("external_id") == F.col("claimed"), "left")
+    taken = F.when(F.col("skip_reason").isNull() & (F.col("path") != F.col("owner")), F.concat(F.lit("id is taken by "), "owner")).otherwise(F.col("skip_reason"))
+    return joined.withColumn("skip_reason", taken).drop("claimed", "owner").withColumn("source", F.lit("obsidian")).withColumn("realm", realm_of(F.col("path"), discover_realms(root, allowed)))
