@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from tarnwork.llm import splitting
 from tarnwork.llm.packing import Capacities, pack, plan
-from tarnwork.llm.subjects import assign_subjects, corpus_composition, document_terms, fit, sentences, topic_terms
+from tarnwork.llm.subjects import assign_subjects, batch_terms, corpus_composition, document_words, fit, sentences, topic_terms
 from tarnwork.llm.tokens import DEFAULT_RANKS, codec, encode_corpus, halves, token_counts
 
 needs_ranks = pytest.mark.skipif(not os.path.exists(DEFAULT_RANKS), reason="no rank file here")
@@ -194,4 +194,15 @@ def test_subjects(spark):
 def test_sentences():
     text = "# Head\n\nOne here. Two there?\n- item one\n| a | b |\n| --- | --- |\n```py\ncode here.\n```\n<b>Bold</b> one.\n---\n```\nunclosed stays."
     assert sentences(text) == ["One here.", "Two there?", "item one", "| a | b |", "Bold  one.", "unclosed stays."]
-    assert document_terms("") == []
+    assert document_words("") == ([], [])
+    assert document_words("Der Hund ist hier. Ok.") == ([("der", "hund", "ist", "hier"), ("ok",)], [1, 1])
+
+
+def test_batch_terms():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"lengths": [[2, 1], [], [3]], "marks": [[0, 1], [], [0]], "words": [["a", "b", "a"], [], ["a", "b", "c"]]})
+    t = batch_terms(batch)
+    got = sorted((int(t.doc[s]), int(s), t.names[k]) for s, k in zip(t.sentence, t.term))
+    mark = lambda lang, text: f"{lang}\x1f{text}"
+    assert got == sorted([(0, 0, mark("en", "a")), (0, 0, mark("en", "b")), (0, 0, mark("en", "a b")), (0, 1, mark("de", "a")), (2, 2, mark("en", "a")), (2, 2, mark("en", "b")), (2, 2, mark("en", "c")), (2, 2, mark("en", "a b")), (2, 2, mark("en", "b c"))])
