@@ -88,7 +88,9 @@ def search(documents: DataFrame, chunks: DataFrame, *, query_embedding: Sequence
         wanted = list(dict.fromkeys(w for w in lexemes_of(query_text, config) if w is not None))
         need = None if tree.negated() else needed_lexemes(len(wanted))
         tokens = F.col("lexemes") if "lexemes" in chunks.columns else lexemes(F.col("content"), config)
-        texts = scoped.filter("content IS NOT NULL").withColumn("found", tokens)
+        texts = scoped.filter("content IS NOT NULL")
+        # A generated column is computed once; a projected one would be copied into every condition that uses it.
+        texts = texts.select("*", F.explode(F.array(tokens)).alias("found")) if config == "simple" else texts.withColumn("found", tokens)
         strict = tree.matches(F.col("found"))
         admitted = strict
         if need is not None:
