@@ -94,5 +94,8 @@ SELECT user_id, ['planning', 'active', 'concluded', 'superseded'][max(r) + 1] AS
     "conclude_sweep": "SELECT session_id, captured_at, CASE WHEN session_status = 'active' AND coalesce(epoch_us(TIMESTAMP '2026-07-01') // 1000000 - epoch_us(ended_at) // 1000000 >= 86400, false) THEN 'concluded' ELSE session_status END AS next_status, CASE WHEN session_status IS NULL THEN 'no status' END AS problem FROM sessions",
     "merge_sessions": """WITH a AS (SELECT session_id, arg_min(struct_pack(c := collection_key, s := started_at, e := ended_at, n := prompt_count), struct_pack(x := captured_at, y := prompt_count)) AS o, arg_max(struct_pack(c := collection_key, s := started_at, e := ended_at, n := prompt_count), struct_pack(x := captured_at, y := prompt_count)) AS w FROM sessions GROUP BY 1)
 SELECT session_id, coalesce(nullif(trim(w.c), ''), o.c) AS collection_key, least(o.s, w.s) AS started_at, greatest(o.e, w.e) AS ended_at, greatest(o.n, w.n) AS prompt_count FROM a""",
+    "tool_call_pairs": """WITH b AS (SELECT line_id, unnest(from_json(json_extract(message, '$.content'), '[{"type":"VARCHAR","id":"VARCHAR","name":"VARCHAR","tool_use_id":"VARCHAR"}]')) AS b FROM transcript_lines WHERE json_valid(message) AND json_type(message, '$.content') = 'ARRAY'),
+  c AS (SELECT b.id AS call_id, min(line_id) AS call_line, min(b.name) AS tool FROM b WHERE b.type = 'tool_use' AND b.id IS NOT NULL GROUP BY 1), a AS (SELECT b.tool_use_id AS call_id, min(line_id) AS answer_line FROM b WHERE b.type = 'tool_result' AND b.tool_use_id IS NOT NULL GROUP BY 1)
+SELECT call_id, call_line, tool, answer_line FROM c LEFT JOIN a USING (call_id)""",
     "tool_counts": """SELECT b.name AS tool, count(*) AS n_calls FROM (SELECT unnest(from_json(json_extract(message, '$.content'), '[{"type":"VARCHAR","name":"VARCHAR"}]')) AS b FROM transcript_lines WHERE json_valid(message) AND json_type(message, '$.content') = 'ARRAY') WHERE b.type = 'tool_use' AND b.name IS NOT NULL GROUP BY 1""",
 }
