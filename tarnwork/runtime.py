@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
 import zipfile
@@ -33,20 +34,30 @@ def session(*, master: str = "local[*]", app: str = "tarnwork", shuffle_partitio
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once a session (the driver serves the archive)."""
+    """Send this package to the executors' Python workers, once a session, as an archive in the shared folder."""
     context = spark.sparkContext
     if getattr(context, "_tarnwork_shipped", False):
         return
-    package = Path(__file__).parent
-    archive = Path(tempfile.mkdtemp(prefix="tarnwork-ship-")) / "tarnwork.zip"
+    package, archive = Path(__file__).parent, io.BytesIO()
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
-        for path in sorted(package.rglob("*")):
-            if path.suffix in (".py", ".json") and "__pycache__" not in path.parts:
-                out.write(path, Path("tarnwork") / path.relative_to(package))
-    context.addPyFile(str(archive))
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, Path("tarnwork") / path.relative_to(package))
+    target = f"{shared_folder(spark)}/tarnwork.zip"
+    write_bytes(spark, target, archive.getvalue())
+    context.addPyFile(target)
     context._tarnwork_shipped = True
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file through the file system that Spark sees."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """Table `name` of a directory that holds one parquet file or folder per table."""
     ship(spark)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnwork.operators import ingest
-from tarnwork.runtime import cut_lineage, remove
+from tarnwork.runtime import cut_lineage, remove, write_bytes
 
 
 class Store:
@@ -39,9 +39,7 @@ class Store:
         old = self._snapshot(table) if self.exists(table) else None
         target = f"{self.root}/{table}/{uuid.uuid4().hex}"
         df.write.parquet(target)
-        out = self._fs.create(self._path(self._pointer(table)), True)
-        out.write(bytearray(target.encode()))
-        out.close()
+        write_bytes(self.spark, self._pointer(table), target.encode())
         if old and keep < 1:
             remove(self.spark, old)
 
