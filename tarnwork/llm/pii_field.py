@@ -121,12 +121,12 @@ def _name(text: str, c: Candidate, out: list[str]) -> None:
     if raw.isupper():
         out.append("p:upper")
     if raw.islower():
-        out.append("p:lower")
+        out.append(f"p:lower={kind_g},{kind_f}")
     if family.isupper() != given.isupper() and not initial:
         out.append("p:mixed")
     if any(w.islower() for w in words[1:-1]):
         out.append("p:particle")
-    if not family[:1].isupper() or any(ch.isdigit() for ch in raw):
+    if not (family[:1].isupper() or raw.islower()) or any(ch.isdigit() for ch in raw):
         out.append("p:odd")
     before, after = text[max(0, c.start - 30) : c.start], text[c.end : c.end + 20]
     out.append("p:before=" + (before[-1:] if not before[-1:].isalnum() else "x") + "|" + before[-2:-1])

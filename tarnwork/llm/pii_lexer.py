@@ -65,7 +65,10 @@ _RUN = re.compile(
     rf"|(?:{_UP}(?:[^\W\d_]\.[ \t]?|{_WORD}[ \t]+))+(?:(?:(?i:{_PARTICLE})[ \t]+)*{_UP}(?:{_WORD})))"
 )
 _TOKEN = re.compile(rf"[^\W\d_]\.|{_WORD}")
-_LOWER = re.compile(rf"(?<![\w@./-])(?:{'|'.join(sorted(L.GIVEN))})(?: (?:{_PARTICLE}))? (?:[^\W\d_]['’])?[^\W\d_]{{4,}}(?:-[^\W\d_]+)?(?![\w@/-])")
+# Lower-case names. A word or initial of a name, the sign between two of them, and a run of those.
+_LOW = r"(?:[^\W\d_]['’])?[^\W\d_]{2,}(?:['’][^\W\d_]{2,})*(?:-[^\W\d_]+(?:['’][^\W\d_]+)*)*"
+_LOWER_RUN = re.compile(rf"(?<![\w/.~#@\\-])(?:{_LOW}|[^\W\d_]\.)(?:(?:,[ \t]+|[ \t]+)(?:{_LOW}(?![\w@/\\]|[.-]\w)|[^\W\d_]\.))+")
+_LOWER_PART = re.compile(rf"({_LOW}|[^\W\d_]\.)(,?)")
 
 
 @lru_cache(maxsize=1 << 16)
@@ -147,9 +150,83 @@ def _names(text: str):
             if not _object(text[a:b]):
                 yield Candidate(a, b, NAME)
         at = max(spans[-1][1], m.start() + 1)
-    for m in _LOWER.finditer(text):
-        if m[0].split()[-1] not in L.STARTERS and not _object(m[0]):
-            yield Candidate(m.start(), m.end(), NAME)
+    yield from _lower_names(text)
+
+
+def _lower_names(text: str):
+    """Lower-case names: a given name of the list (whatever its accents) or an initial with a family name, in
+    either order, and else any two neighbouring words that aren't function words."""
+    for m in _LOWER_RUN.finditer(text):
+        parts = [(m.start() + p.start(1), m.start() + p.end(1), p[1], bool(p[2])) for p in _LOWER_PART.finditer(m[0])]
+        kinds = [_lower_kind(p[2]) for p in parts]
+        for k in range(len(parts) - 1):
+            if parts[k][2][0] + parts[k + 1][2][0] in _ABBREVIATIONS and kinds[k] == kinds[k + 1] == "initial":
+                kinds[k] = kinds[k + 1] = "stop"
+        free, k = [True] * len(parts), 0
+        while k < len(parts):
+            # First what holds a known given name or an initial.
+            end = _lower_known(parts, kinds, k)
+            if end and not _object(text[parts[k][0] : parts[end - 1][1]]):
+                yield Candidate(parts[k][0], parts[end - 1][1], NAME)
+                free[k:end] = [False] * (end - k)
+                k = end
+            else:
+                k += 1
+        k = 0
+        while k + 1 < len(parts):
+            if free[k] and free[k + 1] and kinds[k] == kinds[k + 1] == "word" and not parts[k][3] and not _object(f"{parts[k][2]} {parts[k + 1][2]}"):
+                yield Candidate(parts[k][0], parts[k + 1][1], NAME)
+                k += 1
+            k += 1
+
+
+# Letters of abbreviations that look like initials (e. g., i. e., z. b., d. h., u. a.).
+_ABBREVIATIONS = {"eg", "ie", "zb", "dh", "ua"}
+
+
+@lru_cache(maxsize=1 << 16)
+def _lower_kind(word: str) -> str:
+    if not word.islower():
+        return "none"
+    if word[-1] == ".":
+        return "initial"
+    plain = fold(word)
+    if is_given(word):
+        return "given"
+    if plain in _PARTICLE_WORDS:
+        return "particle"
+    return "stop" if plain in L.STARTERS or plain in L.TITLES or plain in L.NUMBER_WORDS or plain in L.DAYS else "word"
+
+
+def _lower_known(parts: list[tuple[int, int, str, bool]], kinds: list[str], k: int) -> int:
+    """End of the name that begins at part `k`, 0 if none does."""
+    n = len(parts)
+
+    def family(at: int) -> int:
+        while at < n and kinds[at] == "particle" and not parts[at][3]:
+            at += 1
+        return at + 1 if at < n and kinds[at] in ("word", "given") else 0
+
+    if kinds[k] in ("given", "initial"):
+        at = k + 1
+        while not parts[at - 1][3] and at < n and (kinds[at] == "initial" or kinds[at] == "given" and kinds[k] == "given" and at == k + 1 and family(at + 1) and not parts[at][3]):
+            at += 1
+        if not parts[at - 1][3] and (end := family(at)):
+            return end
+    if kinds[k] == "word" and not parts[k][3] and k + 1 < n and kinds[k + 1] == "initial":
+        at = k + 1
+        while at < n and kinds[at] == "initial" and not parts[at][3]:
+            at += 1
+        if end := family(at):
+            return end
+    end = family(k)
+    if end and end < n and parts[end - 1][3] and kinds[end] in ("given", "initial"):
+        while not parts[end][3] and end + 1 < n and kinds[end + 1] == "initial":
+            end += 1
+        return end + 1
+    if end and end < n and end == k + 1 and kinds[k] == "word" and kinds[end] == "given" and (end + 1 == n or parts[end][3] or kinds[end + 1] not in ("word", "particle", "given")):
+        return end + 1
+    return 0
 
 
 def _object(name: str) -> bool:
@@ -161,6 +238,7 @@ def _object(name: str) -> bool:
     return (last in L.CODE or last.removesuffix("s") in L.CODE) and last not in L.SURNAME_NOUNS and last.removesuffix("s") not in L.SURNAME_NOUNS
 
 
+_PARTICLE_WORDS = {w for p in L.PARTICLES for w in p.split()}
 _PARTICLE_HEADS = {p.split()[0].strip(".") for p in L.PARTICLES}
 _HONORIFICS = (L.TITLES | L.STARTERS) - set(L.PARTICLES)
 

@@ -15,6 +15,7 @@ from tarnwork.llm.pii_lexer import candidates
 
 SIZE = 3000
 _SYLLABLES = "bar bel cor dan del dor eck fan gal gar hal han hol kar kel lan lor mar mel mon nor ost pel qui ran ros sel sor tal tor ul van ver wal wen yar zel".split()
+_PLAIN = "loader export import renderer brief retrieval floor parser cache planner query build table column second nightly slow fast wants fewer more rows still needs runs keeps reads every value test tests wrong right empty long short left over twice again schnell langsam deutlich neue alte Zeilen läuft wieder schon fertig leer nouvelle vieille ligne lignes vide toujours encore lente prête nueva vieja línea tabla vacía siempre lenta lista sigue release names left review notes items fails failed waits counts".split()
 _ENDS = "berg bury by dale dorf er feld ford gaard holm ier in ini is ley man mann mere moor nen o off ova quist ridge sen ska son stad stein strand ton vic ville worth".split()
 
 
@@ -32,6 +33,8 @@ class Maker:
         r = self.r
         if r.random() < 0.12:
             return r.choice(sorted(L.SURNAME_NOUNS)).capitalize()
+        if r.random() < 0.04:
+            return r.choice(_SYLLABLES).capitalize()
         word = "".join(r.choice(_SYLLABLES) for _ in range(r.choice((1, 1, 2)))).capitalize() + r.choice(_ENDS)
         if r.random() < 0.12:
             word += "-" + r.choice(_SYLLABLES).capitalize() + r.choice(_ENDS)
@@ -60,7 +63,11 @@ class Maker:
             text = f"{g} {f}".lower()
         else:
             text = f"{g} {full}"
-        return text, g, f
+        return (text.lower() if r.random() < 0.12 else text), g, f
+
+    def prose(self) -> str:
+        """Neighbouring lower-case words that name nobody."""
+        return " ".join(self.r.choice(_PLAIN) for _ in range(self.pick(2, 2, 3, 4))).lower()
 
     def code(self) -> str:
         words = sorted(L.CODE)
@@ -128,7 +135,7 @@ class Maker:
         name, g, f = self.name()
         kind = self.r.random()
         if kind < 0.2:
-            before, after = self.r.choice([("Ask ", " about it."), ("", " wrote this."), ("Merci à ", " pour tout."), ("mit ", " gesprochen."), ("owner: ", "\n"), ("Signed-off-by: ", " <"), ("Dr. ", " signed it."), ("student ", ", second year"), ("If ", " is out, wait."), ("According to ", ", it is fine."), ("hat ", " das gesehen?"), ("Preguntar a ", " hoy."), ("", "'s notes are gone."), ("by ", " today."), ("name=", ";"), ("* ", " has 4 notes"), ("Mrs ", " and the others"), ("\n", "\n"), ("|", "|"), ("12,", ",,"), ("", " committed an hour ago"), ("", " asked for it."), ("@", " please look."), ('"', '"'), ("Reviewed-by: ", "\n"), ("Hi ", ","), ("The slides are by ", ".")])
+            before, after = self.r.choice([("Ask ", " about it."), ("", " wrote this."), ("Merci à ", " pour tout."), ("mit ", " gesprochen."), ("owner: ", "\n"), ("Signed-off-by: ", " <"), ("Dr. ", " signed it."), ("student ", ", second year"), ("If ", " is out, wait."), ("According to ", ", it is fine."), ("hat ", " das gesehen?"), ("Preguntar a ", " hoy."), ("", "'s notes are gone."), ("by ", " today."), ("name=", ";"), ("* ", " has 4 notes"), ("Mrs ", " and the others"), ("\n", "\n"), ("|", "|"), ("12,", ",,"), ("", " committed an hour ago"), ("", " asked for it."), ("@", " please look."), ('"', '"'), ("Reviewed-by: ", "\n"), ("Hi ", ","), ("Talk with ", " on Monday."), ("worked with ", " on it."), ("The slides are by ", ".")])
             return [(before, "O"), (name, "person_name"), (after, "O")]
         if kind < 0.3:
             return [(p("mail ", "rcpt=", "to ", "", "<", "cc ", "mailto:", "notify: ", "account "), "O"), (self.email(g, f), "email"), (p(" now", ">", "\n", ", please", ")", " ok", ";", "."), "O")]
@@ -147,7 +154,13 @@ class Maker:
             return [(f" full_name | phone | {p('national_id', 'ssn', 'passport_no')}\n-----+-----\n ", "O"), (name, "person_name"), (" | ", "O"), (self.phone(), "phone"), (" | ", "O"), (f"{d(3)}-{d(2)}-{d(4)}", "id_number"), ("\n(1 row)", "O")]
         if kind < 0.66:
             return [(p("Ship it to ", "from ", "", "I live at ", "Anschrift: ", "address;", "ship_to='", "Parcel for X, ", "Livrer au ", "vive en "), "O"), (self.address(), "street_address"), (p(".", ";ok", "'", " now.", ": two", ", tel."), "O")]
-        if kind < 0.82:
+        if kind < 0.69:
+            return [(self.r.choice([f'{{"id": {d(2)}, "name": "{self.prose()}"}}', f"The {self.prose()} is {self.prose()}.", f"mit {self.prose()} und {self.prose()}.", f"avec {self.prose()}, {self.prose()}.", f"con {self.prose()} y {self.prose()}", f"{p('e. g.', 'i. e.', 'z. b.', 'd. h.', 'p. ej.')} {self.prose()}", f"* {self.prose()}\n* {self.prose()}", f"see {self.prose()}, {self.prose()}"]), "O")]
+        if kind < 0.70:
+            return [(p("The slides are by ", "by ", "von ", ""), "O"), (name, "person_name"), (p(" and ", " und ", " et ", " y "), "O"), (self.name()[0], "person_name"), (p(".", " today.", "\n"), "O")]
+        if kind < 0.72:
+            return [(p("Dr. ", "", "Ask ", "Mrs "), "O"), (name, "person_name"), (f" {self.prose()}.", "O")]
+        if kind < 0.85:
             return [(self.r.choice([f"{self.code()} is the code name, not {self.code()}.", f"The board {self.code()} lists {d(3)} cards.", f"See {self.code()} and {self.code()}.", f"Of the {self.code()} items {d(2)} moved to {self.code()}.", f"{self.code()} stays on version {d(2)}.{d(3)}.{d(2)} for now.", f"The {self.code()} is stuck, so the {self.code()} wait.", f"{self.code()} wrote {d(2)} bytes.", f"{self.given()} is the new runner.", f"{self.code()} and {self.code()} are release names.", f"The {self.code()} failed."]), "O")]
         return [(self.r.choice([f"job {d(3)}-{d(2)}-{d(2)}.", f"ids {d(p(3, 4, 5))}-{d(p(1, 2))}-{d(4)} onwards.", f"{d(4)}-{d(2)}-{d(4)} lock entries", f"Ticket {p('DK', 'C', 'T', 'PR')}{d(p(6, 7, 8, 9, 10))} and run {p('R', 'C', 'B')}{d(p(6, 8, 10))} say the same.", f"expected {d(p(8, 9, 10, 11, 12))} bytes.", f"build 3.{d(2)}.{d(3)}, window 2026-0{d(1, '123456789')}-1{d(1)} to 2026-0{d(1, '123456789')}-2{d(1)}", f"row {d(3)}.{d(3)}.{d(2)} of it", f"pulled from git@{self.family().lower()}.example:{d(2)}/x.git", f"Pinned tool-pack@{d(1)}.{d(2)}.{d(2)} again", f"pid={d(5)} id={d(8)}-12ab", f"order {d(9)} shipped", f"hash {d(10)} ok", f"port 192.0.{d(1)}.{d(2)}", f"epoch {d(10, '1')} seconds", f"chunk {d(8)} of {d(9)}", "@app.route and @cached look odd", f"{p('Reisepass Nr', 'Passport No', 'Identity Card', 'Steuer Nr', 'Social Security', 'Passport Number')}. is missing", f"Session Capture wrote {d(3)} bytes", f"Row 555-{d(2)} is odd, so is 0{d(2)}.{d(3)}.{d(2)}"]), "O")]
 

@@ -78,3 +78,23 @@ def test_fields(spark, model):
     masked = {(r["line_id"], r["field_path"]): r["masked_text"] for r in mask_personal(df, field=model).collect()}
     assert masked[3, "tool_use_result.stdout"] == "rcpt=[EMAIL] ok" and len(masked) == 5
     assert find_personal(df.limit(0), field=model).count() == 0
+
+
+@pytest.mark.parametrize("text,name", [
+    ("Pair with lúcia dunmarrow on the migration", "lúcia dunmarrow"),
+    ("Ask dunmarrow, lúcia about it", "dunmarrow, lúcia"),
+    ("ask peter li about it", "peter li"),
+    ("owner: l. dunmarrow\n", "l. dunmarrow"),
+    ("According to jürgen q. ek, it is fine.", "jürgen q. ek"),
+    ("* tavo brellmann has 4 notes", "tavo brellmann"),
+])
+def test_lower_case_names(model, text, name):
+    """Accents, inverse order, initials, short families and given names outside the list."""
+    (found,) = model.decide([text], [candidates(text)])
+    assert [(kind, text[c.start : c.end]) for c, kind in found] == [("person_name", name)]
+
+
+@pytest.mark.parametrize("text", ["the loader is fine and the build took nine seconds today", "Das ist deutlich schneller geworden", "e. g. parser code"])
+def test_lower_case_prose_names_nobody(model, text):
+    (found,) = model.decide([text], [candidates(text)])
+    assert found == []
