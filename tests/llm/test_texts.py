@@ -191,6 +191,17 @@ def test_subjects(spark):
     assert assign_subjects(d, lab.limit(0), sub).count() == 0
 
 
+def test_single_short_sentences(spark):
+    """A document of one sentence, or a list item, with one known term treats its subject; a stock phrase none."""
+    docs, labels, _ = corpus()
+    docs += [(1000, "Notes on the stamen."), (1001, "- rudder"), (1002, "More on this tomorrow.")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, subject string, labelled_by string")
+    sub = spark.createDataFrame([("botany",), ("sailing",)] + [(f"other {k}",) for k in range(8)], "subject string")
+    got = {(r["doc_id"], r["subject"]) for r in assign_subjects(d, lab, sub).filter("doc_id >= 1000").collect()}
+    assert got == {(1000, "botany"), (1001, "sailing")}
+
+
 def test_sentences():
     text = "# Head\n\nOne here. Two there?\n- item one\n| a | b |\n| --- | --- |\n```py\ncode here.\n```\n<b>Bold</b> one.\n---\n```\nunclosed stays."
     assert sentences(text) == ["One here.", "Two there?", "item one", "| a | b |", "Bold  one.", "unclosed stays."]
