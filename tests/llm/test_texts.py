@@ -202,6 +202,22 @@ def test_single_short_sentences(spark):
     assert got == {(1000, "botany"), (1001, "sailing")}
 
 
+def test_topics_follow_their_top_terms():
+    """A topic that has drifted off its subject is tied to the one whose labelled documents hold its top terms."""
+    import numpy as np
+
+    from tarnwork.llm.subjects import Model, mapped
+
+    number = {"en\x1fstamen": 0, "en\x1fkeel": 1, "en\x1fnew": 2}
+    labelled = np.array([[9.0, 0, 0], [0, 5, 0], [0, 0, 0]])
+    drifted = np.array([[-2.0, 2, 0], [2, -2, 0], [1, 0, 0]])
+    counts = np.array([[0.0, 7, 0], [8, 0, 0], [1, 0, 0]])
+    assert mapped(Model(["botany", "sailing", None], number, drifted), counts, labelled) == ["sailing", "botany", None]
+    assert mapped(Model(["botany", "sailing", None], number, -drifted), counts[:, [1, 0, 2]], labelled) == ["botany", "sailing", None]
+    unseen = np.array([[0.0, 0, 0], [0, 2, 0], [2, 0, 0]])
+    assert mapped(Model(["botany", "sailing", None], number, unseen), np.ones((3, 3)), labelled) == ["botany", "sailing", None]
+
+
 def test_sentences():
     text = "# Head\n\nOne here. Two there?\n- item one\n| a | b |\n| --- | --- |\n```py\ncode here.\n```\n<b>Bold</b> one.\n---\n```\nunclosed stays."
     assert sentences(text) == ["One here.", "Two there?", "item one", "| a | b |", "Bold  one.", "unclosed stays."]
