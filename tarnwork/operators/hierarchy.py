@@ -146,43 +146,53 @@ def hierarchy(df: DataFrame, *, scope: str = "session_id", node: str = "agent_id
     Ids are compared by `clean_id`. Of several rows of a node the one with the greatest `order` columns
     counts, whole (ties beyond them: the greatest parent id). A parent that is null, blank or without a row
     in the scope makes a root. Rows without scope or with a null or blank node id are no nodes. Columns:
-    the scope, `node_id`, `root_id`, `tree_depth`, `node_path`, `node_state`; other columns don't matter.
+    the scope, `node_id`, `root_id`, `tree_depth`, `safe_path` (ids with `%` and `/` as `%25` and `%2F`), `node_path`,
+    `node_state`; other columns don't matter.
     Scopes of more than `limit` nodes are contracted by distributed rounds.
     """
     order = order or ["captured_at", "record_id"]
     rows = df.select(F.col(scope).cast("string").alias("scope"), clean_id(F.col(node)).alias("id"), F.nullif(clean_id(F.col(parent)), F.lit("")).alias("above"), F.struct(*[F.col(c) for c in order]).alias("rank"))
     current = rows.filter(F.col("scope").isNotNull() & (F.col("id") != "")).groupBy("scope", "id").agg(F.max(F.struct("rank", "above")).alias("last")).select("scope", "id", F.col("last.above").alias("above"))
     small, large = split_by_size(current, "scope", limit)
-    out = map_scopes(small, "scope", _contract_table, "scope string, node_id string, root_id string, tree_depth int, node_path string, node_state string")
+    out = map_scopes(small, "scope", _contract_table, "scope string, node_id string, root_id string, tree_depth int, safe_path string, node_state string")
     if large is not None:
         out = out.unionByName(_contract_large(large))
-    return out.withColumnRenamed("scope", scope)
+    return out.select(F.col("scope").alias(scope), "node_id", "root_id", "tree_depth", "safe_path", _plain(F.col("safe_path")).alias("node_path"), "node_state")
+
+
+def _safe(column: Column) -> Column:
+    return F.replace(F.replace(column, F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F"))
+
+
+def _plain(column: Column) -> Column:
+    return F.replace(F.replace(column, F.lit("%2F"), F.lit("/")), F.lit("%25"), F.lit("%"))
 
 
 def _contract_table(table: pa.Table) -> pa.Table:
     scope, ids = table.column("scope"), table.column("id")
     labels = np.array(ids.to_pylist(), object)
-    forest = contract_arrays(positions(scope, ids, table.column("above")), label=labels)
+    safe = np.array([x.replace("%", "%25").replace("/", "%2F") for x in labels], object)
+    forest = contract_arrays(positions(scope, ids, table.column("above")), label=safe)
     roots = np.where(forest.root >= 0, labels[forest.root], "")
     columns = [scope.cast(pa.string()), ids.cast(pa.string()), pa.array(roots, pa.string()), pa.array(forest.depth.astype(np.int32)), pa.array(forest.path, pa.string()), pa.array(STATES[forest.state], pa.string())]
-    return pa.table(columns, names=["scope", "node_id", "root_id", "tree_depth", "node_path", "node_state"])
+    return pa.table(columns, names=["scope", "node_id", "root_id", "tree_depth", "safe_path", "node_state"])
 
 
 def _contract_large(current: DataFrame) -> DataFrame:
     key = lambda x: F.concat("scope", F.lit("\x1f"), x)
-    keyed = cut_lineage(current.select(key("id").alias("node"), key("above").alias("wanted"), F.col("id").alias("label")), "nodes")
+    keyed = cut_lineage(current.select(key("id").alias("node"), key("above").alias("wanted"), _safe(F.col("id")).alias("label")), "nodes")
     known = keyed.select(F.col("node").alias("parent"))
     nodes = keyed.join(known, F.col("wanted") == F.col("parent"), "left").select("node", "parent", "label")
     part = lambda c, i: F.split(F.col(c), "\x1f", 2)[i]
-    return contract(nodes).select(part("node", 0).alias("scope"), part("node", 1).alias("node_id"), F.when(F.col("root") == "", "").otherwise(part("root", 1)).alias("root_id"), F.col("depth").cast("int").alias("tree_depth"), F.col("path").alias("node_path"), F.col("state").alias("node_state"))
+    return contract(nodes).select(part("node", 0).alias("scope"), part("node", 1).alias("node_id"), F.when(F.col("root") == "", "").otherwise(part("root", 1)).alias("root_id"), F.col("depth").cast("int").alias("tree_depth"), F.col("path").alias("safe_path"), F.col("state").alias("node_state"))
 
 
 def descendants(tree: DataFrame, *, scope: str = "session_id") -> DataFrame:
     """All pairs of a node and a node below it, with the distance, from the paths of `hierarchy`. Nodes on or
-    below a cycle have none. Ids that hold `/` are told apart only by scopes' paths being made of whole ids."""
-    steps = F.split("node_path", "/")
+    below a cycle have none."""
+    steps = F.split("safe_path", "/")
     up = F.posexplode(F.slice(steps, 1, F.greatest(F.size(steps) - 1, F.lit(0)))).alias("place", "ancestor_id")
-    return tree.filter(F.col("node_state") == TREE).select(scope, "node_id", "tree_depth", up).select(scope, "ancestor_id", F.col("node_id").alias("descendant_id"), (F.col("tree_depth") - F.col("place") - 1).alias("distance"))
+    return tree.filter(F.col("node_state") == TREE).select(scope, "node_id", "tree_depth", up).select(scope, _plain(F.col("ancestor_id")).alias("ancestor_id"), F.col("node_id").alias("descendant_id"), (F.col("tree_depth") - F.col("place") - 1).alias("distance"))
 
 
 def descendant_counts(tree: DataFrame, *, scope: str = "session_id") -> DataFrame:

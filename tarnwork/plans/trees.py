@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwork.operators.hierarchy import descendant_counts, hierarchy
+from tarnwork.operators.hierarchy import descendant_counts, descendants, hierarchy
 from tarnwork.operators.nested import array_objects, unnest
 from tarnwork.runtime import table
 
@@ -21,6 +21,11 @@ def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descendant_counts(hierarchy(table(spark, sf_dir, "subagents"))).withColumnRenamed("node_id", "agent_id")
 
 
+def p1_descendant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every worker of a tree with each worker below it and the distance."""
+    return descendants(hierarchy(table(spark, sf_dir, "subagents"))).selectExpr("session_id", "ancestor_id AS agent_id", "descendant_id", "distance")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Array objects of the transcripts' JSON columns, answers linked to the line of their call."""
     lines = table(spark, sf_dir, "transcript_lines").select("line_id", *JSON_COLUMNS)
@@ -35,7 +40,7 @@ def p4_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objects.selectExpr("item_type", "parent_path = '' AS outermost").groupBy("item_type", "outermost").count().withColumnRenamed("count", "n_objects")
 
 
-QUERIES = {"p1_found": p1_found, "p1_descendants": p1_descendants, "p4_found": p4_found, "p4_types": p4_types}
+QUERIES = {"p1_found": p1_found, "p1_descendants": p1_descendants, "p1_descendant_pairs": p1_descendant_pairs, "p4_found": p4_found, "p4_types": p4_types}
 
 _CLEAN = r"regexp_replace(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')), '^agent-', '')"
 
@@ -80,6 +85,13 @@ SELECT item_type, u.above IS NULL AS outermost, count(*) AS n_objects FROM el LE
 SELECT session_id, agent_id, root_agent_id, tree_depth, node_path, 'tree' AS node_state FROM tree
 UNION ALL
 SELECT session_id, agent_id, '', -1, '', CASE WHEN bool_or(here = agent_id) THEN 'cycle' ELSE 'below_cycle' END FROM climb GROUP BY 1, 2""",
+    "p1_descendant_pairs": _FOREST + """,
+up AS (
+  SELECT session_id, parent_id AS agent_id, agent_id AS low FROM node WHERE parent_id IS NOT NULL
+  UNION ALL
+  SELECT u.session_id, n.parent_id, u.low FROM up u JOIN node n ON n.session_id = u.session_id AND n.agent_id = u.agent_id JOIN tree t ON t.session_id = n.session_id AND t.agent_id = n.agent_id WHERE n.parent_id IS NOT NULL)
+SELECT u.session_id, u.agent_id, u.low AS descendant_id, l.tree_depth - t.tree_depth AS distance
+FROM up u JOIN tree t ON t.session_id = u.session_id AND t.agent_id = u.agent_id JOIN tree l ON l.session_id = u.session_id AND l.agent_id = u.low""",
     "p1_descendants": _FOREST + """,
 up AS (
   SELECT session_id, parent_id AS agent_id, agent_id AS low FROM node WHERE parent_id IS NOT NULL

@@ -103,3 +103,13 @@ def test_hierarchy(spark, limit):
     assert [tuple(r) for r in descendants(tree).orderBy("session_id").collect()] == [("s", "b", "c", 1), ("t", "a", "b", 1)]
     assert {(r[0], r[1]): r[3] for r in descendant_counts(tree).collect()} == {("s", "a"): 0, ("s", "b"): 1, ("s", "c"): 0, ("t", "a"): 1, ("t", "b"): 0}
     assert hierarchy(df.limit(0), limit=limit).count() == 0
+
+
+@pytest.mark.parametrize("limit", [50_000, 0])
+def test_ids_with_separator(spark, limit):
+    """Ids that hold the path's separator, or what replaces it, keep their descendants."""
+    rows = [(1, "s", "a/b", None, BASE), (2, "s", "c%2f/", "a/b", BASE), (3, "s", "d%", "c%2f/", BASE)]
+    tree = hierarchy(spark.createDataFrame(rows, "record_id long, session_id string, agent_id string, parent_agent_id string, captured_at timestamp"), limit=limit)
+    assert {(r["node_id"], r["root_id"], r["node_path"]) for r in tree.collect()} == {("a/b", "a/b", "a/b"), ("c%2f/", "a/b", "a/b/c%2f/"), ("d%", "a/b", "a/b/c%2f//d%")}
+    assert {tuple(r)[1:] for r in descendants(tree).collect()} == {("a/b", "c%2f/", 1), ("a/b", "d%", 2), ("c%2f/", "d%", 1)}
+    assert {r[1]: r[3] for r in descendant_counts(tree).collect()} == {"a/b": 2, "c%2f/": 1, "d%": 0}
