@@ -9,7 +9,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,6 +48,41 @@ def nearest(df: DataFrame, query: Sequence[float], *, k: int, vector: str = "emb
     return df.filter(F.col(vector).isNotNull()).withColumn("similarity", cosine_to(F.col(vector), query)).orderBy(F.desc("similarity"), key).limit(k)
 
 
+def nearest_of_all(queries: DataFrame, rows: DataFrame, *, k: int, blocks: int = 16, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """The `k` other rows with the greatest cosine to each row of `queries`, exact; ties by key. Columns `query_id`,
+    the key, `similarity`, `place`.
+
+    Every block of queries meets every block of rows in one task, which multiplies slices of them and keeps `k` rows a
+    query; the best of all blocks are then ranked. Vectors have one length; null vectors neither ask nor answer.
+    """
+    side = lambda df, name: df.filter(F.col(vector).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), F.col(key).cast("bigint").alias(name), F.col(vector).cast("array<double>").alias(f"{name}_vector"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asked = side(queries, "q").withColumn("other", every)
+    held = side(rows, "r").withColumnRenamed("block", "other").withColumn("block", every)
+
+    def unit(frame: pd.DataFrame, name: str) -> tuple[np.ndarray, np.ndarray]:
+        frame = frame.sort_values(name)
+        x = np.stack(frame[f"{name}_vector"].to_numpy())
+        length = np.linalg.norm(x, axis=1, keepdims=True)
+        return frame[name].to_numpy(), np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            (ids, x), (keys, y) = unit(left, "q"), unit(right, "r")
+            for at in range(0, len(ids), 256):
+                near = np.round(x[at : at + 256] @ y.T, 9)
+                near[ids[at : at + 256, None] == keys[None]] = -np.inf
+                order = np.argsort(-near, axis=1, kind="stable")[:, :k]
+                out.append(pd.DataFrame({"query_id": np.repeat(ids[at : at + 256], order.shape[1]), key: keys[order].ravel(), "similarity": np.take_along_axis(near, order, 1).ravel()}))
+        found = pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), key: pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
+        return found[found["similarity"] > -np.inf]
+
+    pairs = asked.groupBy("block", "other").cogroup(held.groupBy("block", "other")).applyInPandas(best, f"query_id bigint, {key} bigint, similarity double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), key))
+    return pairs.withColumn("place", place).filter(F.col("place") <= k)
+
+
 class Embedder(Protocol):
     """What turns texts into vectors."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.functions.jsonq import contains
 from tarnwork.functions.lexical import lexemes
-from tarnwork.functions.vector import cosine, nearest
+from tarnwork.functions.vector import cosine, nearest, nearest_of_all
 from tarnwork.operators import audit, evaluate, reports
 from tarnwork.operators.search import fuse, get_document, list_collections, not_superseded, search
 from tarnwork.runtime import table
@@ -112,6 +112,12 @@ def vector_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, query_vector(spark, sf_dir), k=100).select("chunk_id", F.round("similarity", 6).alias("similarity"))
 
 
+def vector_knn_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every vector whose id is divisible by 20 the ten nearest others of all vectors."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest_of_all(vectors.filter("vec_id % 20 = 0"), vectors, k=MATCH).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "place")
+
+
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rankings of all documents, fused."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.lit(None).cast("double").alias("similarity"), "created_at", F.length("text").alias("size"))
@@ -204,6 +210,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_filtered": _search(vector=True, query_text=QUERY_TEXT, min_similarity=0.0, filter_collection="lanternhall", filter_metadata={"size_class": 1}, include_superseded=False),
     "search_per_document_cap": _search(vector=True, query_text="the", min_similarity=None, max_per_document=1),
     "vector_knn": vector_knn,
+    "vector_knn_all": vector_knn_all,
     "rrf_fusion": rrf_fusion,
     "label_nearest": label_nearest,
     "filter_metadata_contains": filter_metadata_contains,
@@ -244,6 +251,8 @@ ORACLES: dict[str, str] = {
     "search_filtered": _search_sql(vector=True, text=["the", "query", "planner"], floor=0.0, where="collection = 'lanternhall' AND size_class = 1 AND coalesce(status, '') <> 'superseded'"),
     "search_per_document_cap": _search_sql(vector=True, text=["the"], per_document=1),
     "vector_knn": "SELECT vec_id AS chunk_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 3) q ORDER BY list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, chunk_id LIMIT 100",
+    "vector_knn_all": f"""SELECT query_id, vec_id, round(similarity, 6) AS similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS place FROM (
+  SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)) WHERE place <= {MATCH}""",
     "rrf_fusion": """WITH a AS (SELECT doc_id AS chunk_id, row_number() OVER (ORDER BY created_at DESC, doc_id) AS rank FROM documents), b AS (SELECT doc_id AS chunk_id, row_number() OVER (ORDER BY length(text) DESC, doc_id) AS rank FROM documents WHERE text IS NOT NULL)
 SELECT chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM a WHERE rank <= 100 UNION ALL SELECT * FROM b WHERE rank <= 100) GROUP BY 1""",
     "label_nearest": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS place FROM (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id) WHERE similarity >= 0.2) WHERE place <= 3""",
