@@ -151,13 +151,13 @@ def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.groupBy("lexeme").agg(F.count("*").alias("n_chunks"))
 
 
-def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _cases(spark: SparkSession, sf_dir: str, which: str = "doc_id % 10 = 0") -> tuple[DataFrame, DataFrame]:
     """Golden cases from documents (the title of each of a collection's documents is asked for) and hits: the
-    documents of the same collection by age."""
+    documents of the same collection by age. `which` documents make cases: a tenth, or `true` for all."""
     from pyspark.sql import Window
 
     docs = table(spark, sf_dir, "documents").filter("title IS NOT NULL AND collection_key IS NOT NULL")
-    cases = docs.filter("doc_id % 10 = 0").select(F.col("doc_id").alias("case_id"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("realm"), F.col("collection_key").alias("collection"), F.array("external_id").alias("expect"), F.array(F.concat(F.lit("no such text "), "doc_id")).alias("expect_contains"), (F.col("doc_id") % 70 == 0).alias("negative"))
+    cases = docs.filter(which).select(F.col("doc_id").alias("case_id"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("realm"), F.col("collection_key").alias("collection"), F.array("external_id").alias("expect"), F.array(F.concat(F.lit("no such text "), "doc_id")).alias("expect_contains"), (F.col("doc_id") % 70 == 0).alias("negative"))
     ranked = docs.select("collection_key", "external_id", "title", F.row_number().over(Window.partitionBy("collection_key").orderBy(F.desc("created_at"), "doc_id")).alias("rank")).filter("rank <= 10")
     hits = cases.select("case_id", "collection").join(ranked, F.col("collection") == F.col("collection_key")).select("case_id", "rank", "external_id", "title", F.lit("").alias("content"))
     return cases, hits
@@ -232,6 +232,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_retrievals": parsed_retrievals,
     "eval_hit_mrr": lambda s, d: evaluate.scores(evaluate.first_hits(*_cases(s, d))),
     "eval_by_collection": lambda s, d: evaluate.by_collection(evaluate.first_hits(*_cases(s, d))),
+    "eval_hit_mrr_all": lambda s, d: evaluate.scores(evaluate.first_hits(*_cases(s, d, "true"))),
+    "eval_by_collection_all": lambda s, d: evaluate.by_collection(evaluate.first_hits(*_cases(s, d, "true"))),
     "audit_chunk_index": audit_indexes,
     "audit_norms": audit_norms,
     "audit_token_counts": audit_tokens,
@@ -285,3 +287,5 @@ FROM n LEFT JOIN ev ON ev.note_external_id = n.note_external_id AND ev.retrieval
     "audit_all": f"WITH {_DOCS} SELECT check_name, CAST(1 AS BIGINT) AS check_order, document_id, detail FROM ({_INDEX}) UNION ALL SELECT check_name, 2, document_id, detail FROM ({_NORM})",
     "audit_token_counts": f"WITH {_DOCS}, c AS (SELECT *, {_COUNTED} AS counted FROM chunks) SELECT 'tokens' AS check_name, document_id, concat_ws(' ', chunk_id, token_count, counted) AS detail FROM c WHERE counted > 512 OR abs(token_count - counted) > 0.1 * greatest(counted, 1)",
 }
+# The same over cases of every document.
+ORACLES |= {f"{name}_all": ORACLES[name].replace(" FROM docs WHERE doc_id % 10 = 0)", " FROM docs)") for name in ("eval_hit_mrr", "eval_by_collection")}
