@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnwork.runtime import ship_active
+
 
 def contains(document: Column, wanted: dict[str, Any]) -> Column:
     """Whether a JSON text contains the object `wanted`, anchored at its root.
@@ -73,17 +75,22 @@ def canonical_text(value: Any) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def _canonical_or_none(text: str | None) -> str | None:
+    try:
+        return None if text is None else canonical_text(json.loads(text))
+    except ValueError:
+        return None
+
+
 @F.pandas_udf(T.StringType())
-def canonical(texts: pd.Series) -> pd.Series:
-    """Canonical form of JSON texts; null for null and invalid ones."""
+def _canonical(texts: pd.Series) -> pd.Series:
+    return texts.map(_canonical_or_none)
 
-    def one(text: str | None) -> str | None:
-        try:
-            return None if text is None else canonical_text(json.loads(text))
-        except ValueError:
-            return None
 
-    return texts.map(one)
+def canonical(text: Column) -> Column:
+    """Canonical form of JSON texts; null for null and invalid ones."""
+    ship_active()
+    return _canonical(text)
 
 
 def string_list(text: Column) -> Column:

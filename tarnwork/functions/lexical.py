@@ -18,6 +18,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnwork.runtime import ship_active
+
 WORD = r"[\p{L}\p{N}_]+"
 _WORD = re.compile(r"\w+")
 
@@ -133,7 +135,10 @@ def _english(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def lexemes(text: Column, config: str = "english") -> Column:
     """`lexemes_of` as a column."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)) if config == "simple" else _english(text)
+    if config == "simple":
+        return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    ship_active()
+    return _english(text)
 
 
 @dataclass(frozen=True)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwork.runtime import arrow_map
+
 _HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?[ \t#]*$")
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
 _RULE_ROW = re.compile(r"\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)*\|?\s*$")
@@ -194,7 +196,7 @@ def chunk_documents(df: DataFrame, *, key: str, body: str, title: str, sizes: Si
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], schema.field(j).type) for j in range(4)], schema=schema)
 
     picked = df.select(F.col(key).cast("string").alias("k"), F.col(body).cast("string").alias("b"), F.col(title).cast("string").alias("t"))
-    return picked.mapInArrow(run, "document_key string, chunk_index int, content string, token_count int")
+    return arrow_map(picked, run, "document_key string, chunk_index int, content string, token_count int")
 
 
 def block_rows(df: DataFrame, *, key: str, body: str) -> DataFrame:
@@ -206,4 +208,4 @@ def block_rows(df: DataFrame, *, key: str, body: str) -> DataFrame:
             rows = [(k, i, b.kind, b.text, list(b.trail), b.line) for k, text in zip(*[c.to_pylist() for c in batch.columns]) if text for i, b in enumerate(blocks(text))]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], schema.field(j).type) for j in range(6)], schema=schema)
 
-    return df.select(F.col(key).cast("string").alias("k"), F.col(body).cast("string").alias("b")).mapInArrow(run, "document_key string, block_index int, kind string, text string, heading_trail array<string>, start_line int")
+    return arrow_map(df.select(F.col(key).cast("string").alias("k"), F.col(body).cast("string").alias("b")), run, "document_key string, block_index int, kind string, text string, heading_trail array<string>, start_line int")

@@ -9,13 +9,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnwork.runtime import ship_active
+
 WHITE = r"\s\u000B\u001C-\u001F\u0085\p{Z}"
 
 
 @F.pandas_udf(T.StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    """Unicode composed form."""
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
+
+
+def nfc(text: Column) -> Column:
+    """Unicode composed form. Only texts with a character that can change leave the JVM."""
+    ship_active()
+    open_to_change = F.coalesce(text.rlike(r"[\u0300-\uFFFF\x{10000}-\x{10FFFF}]"), F.lit(False))
+    return F.when(open_to_change, _composed(F.when(open_to_change, text))).otherwise(text)
 
 
 def normalise_body(body: Column) -> Column:
@@ -49,18 +57,24 @@ def line_breaks(text: Column) -> Column:
     return F.regexp_replace(text, r"\r\n|[\r\u2028\u2029]", "\n")
 
 
+def _words(name: Column, letters: str) -> Column:
+    """The runs of `letters` in a name in lower case, joined by single hyphens."""
+    return F.array_join(F.regexp_extract_all(F.lower(F.coalesce(name, F.lit(""))), F.lit(f"[{letters}]+"), F.lit(0)), "-")
+
+
 def slugify(name: Column, cap: int = 64) -> Column:
-    """A folder name: lower case, other characters as single hyphens, device names avoided, at most `cap` long."""
-    s = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9 ._-]+", "-")
-    s = F.trim(F.regexp_replace(F.regexp_replace(s, r"[-\s]+", "-"), r"^[-.]+|[-.]+$", ""))
-    return F.when(s.rlike("^(con|prn|aux|nul|com[1-9]|lpt[1-9])$"), F.concat(s, F.lit("-dir"))).otherwise(F.substring(s, 1, cap))
+    """A folder name: words of letters, digits, dots and underscores with hyphens between, no dot or hyphen at either
+    end, device names avoided, at most `cap` long."""
+    # Names that a file system may reserve for devices.
+    devices = ["con", "prn", "aux", "nul", *(f"{port}{n}" for port in ("com", "lpt") for n in range(1, 10))]
+    slug = F.btrim(_words(name, "a-z0-9._"), F.lit("-."))
+    return F.when(slug.isin(devices), F.concat(slug, F.lit("-dir"))).otherwise(F.left(slug, F.lit(cap)))
 
 
 def file_slug(name: Column) -> Column:
     """Slug of a file name without its extension; `file` when nothing is left."""
-    stem = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"\.[a-z0-9]{1,5}$", "")
-    s = F.regexp_replace(F.regexp_replace(stem, "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.when(s == "", "file").otherwise(s)
+    slug = _words(F.regexp_replace(name, r"(?i)\.[a-z0-9]{1,5}$", ""), "a-z0-9")
+    return F.when(slug == "", "file").otherwise(slug)
 
 
 def is_local_path(path: Column) -> Column:

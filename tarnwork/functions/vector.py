@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwork.runtime import ship, ship_active
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product in doubles."""
@@ -78,6 +80,7 @@ def nearest_of_all(queries: DataFrame, rows: DataFrame, *, k: int, blocks: int =
         found = pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), key: pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
         return found[found["similarity"] > -np.inf]
 
+    ship(rows.sparkSession)
     pairs = asked.groupBy("block", "other").cogroup(held.groupBy("block", "other")).applyInPandas(best, f"query_id bigint, {key} bigint, similarity double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), key))
     return pairs.withColumn("place", place).filter(F.col("place") <= k)
@@ -116,6 +119,7 @@ class HashingEmbedder:
 
 def embed_column(text: Column, embedder: Embedder, batch: int = 32) -> Column:
     """Vectors of a text column, in batches; null and blank texts have none."""
+    ship_active()
 
     @F.pandas_udf("array<float>")
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:

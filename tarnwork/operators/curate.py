@@ -16,7 +16,7 @@ from tarnwork.functions.text import normal_path
 from tarnwork.operators.hierarchy import contract
 from tarnwork.operators.ranking import number_rows
 from tarnwork.operators.scoped import LIMIT, split_by_size
-from tarnwork.runtime import cut_lineage
+from tarnwork.runtime import cut_lineage, ship
 
 # Order of kinds on the same instant, and of states of one cause.
 KIND_ORDER = ["found", "recurrence", "claim-workaround", "claim-wontfix", "claim-fixed", "fix-commit", "merged-pr"]
@@ -317,6 +317,7 @@ def cluster_in_order(items: DataFrame, *, group: str, threshold: float = 0.85) -
                 out.append(place)
         return pd.DataFrame({group: pdf[group], "place": pdf["place"], "issue_place": out})
 
+    ship(items.sparkSession)
     return items.select(group, "place", "vector").groupBy(group).applyInPandas(run, f"{group} string, place bigint, issue_place bigint")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwork.functions.json_index import ARR, OBJ, STRING, JsonIndex, index
-from tarnwork.runtime import cut_lineage
+from tarnwork.runtime import arrow_map, cut_lineage
 
 ROW = pa.schema([("row_id", pa.int64()), ("item_path", pa.string()), ("parent_path", pa.string()), ("item_type", pa.string()), ("own_id", pa.string()), ("answers_id", pa.string())])
 
@@ -105,7 +105,7 @@ def array_objects(df: DataFrame, *, id_column: str, columns: list[str], twice_en
                 yield pa.RecordBatch.from_arrays([rows, *found.values()], schema=ROW)
 
     picked = df.select(F.col(id_column).cast("bigint").alias("row_id"), *[F.col(c).cast("string").alias(f"text_{k}") for k, c in enumerate(columns)])
-    return picked.mapInArrow(scan, "row_id bigint, item_path string, parent_path string, item_type string, own_id string, answers_id string")
+    return arrow_map(picked, scan, "row_id bigint, item_path string, parent_path string, item_type string, own_id string, answers_id string")
 
 
 def unnest(df: DataFrame, *, id_column: str, columns: list[str], twice_encoded: list[str] | None = None, call_type: str = "tool_use", answer_type: str = "tool_result") -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.runtime import cut_lineage_counting
+from tarnwork.runtime import arrow_map, cut_lineage_counting
 
 #: Rows of one scope that a task may hold together.
 LIMIT = 50_000
@@ -49,7 +49,7 @@ def map_scopes(df: DataFrame, scope: str, function: Callable[[pa.Table], pa.Tabl
         if held is not None and held.num_rows:
             yield from function(held.combine_chunks()).to_batches()
 
-    return ordered.mapInArrow(run, schema)
+    return arrow_map(ordered, run, schema)
 
 
 def positions(scope: pa.ChunkedArray, key: pa.ChunkedArray, wanted: pa.ChunkedArray) -> np.ndarray:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tarnwork.functions.jsonq import contains
 from tarnwork.functions.lexical import cover_density, lexemes, lexemes_of, needed_lexemes, parse_websearch
 from tarnwork.functions.vector import cosine_to
+from tarnwork.runtime import ship_active
 
 KEYWORD_MARGIN = 0.08
 RESULT = ["chunk_id", "document_id", "source", "collection", "external_id", "title", "content", "metadata", "fused_score", "vector_similarity"]
@@ -54,6 +55,8 @@ def _rank_of(found: Column, wanted: list[str], every: bool, mode: str) -> Column
     if mode == "overlap":
         return F.size(F.filter(found, lambda x: F.coalesce(x.isin(wanted), F.lit(False)))).cast("double")
 
+    ship_active()
+
     @F.pandas_udf("double")
     def density(rows: pd.Series) -> pd.Series:
         return rows.map(lambda x: cover_density(list(x), wanted, every))

@@ -307,6 +307,14 @@ def redact_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5(redact(secret)).alias("masked"))
 
 
+def redact_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with assigned secrets, and assignments that only look like some, appended; what becomes of the end."""
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    secret = F.concat(F.lit("k"), F.sha2(F.col("doc_id").cast("string"), 256))
+    end = F.concat(F.lit("\n@@@\nPATTKN="), secret, F.lit("\npath=dispatch=GH_PAT="), secret, F.lit(" output_path=src/a.py patHeader: '"), secret, F.lit("' pattern: ab.cd\n\"api_key\": \""), secret, F.lit("\" later "), secret)
+    masked = redact(F.concat("text", end), literals=F.array(secret))
+    return docs.select("doc_id", F.substring_index(masked, "@@@", -1).alias("masked"))
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "content_hash": lambda s, d: table(s, d, "documents").select("doc_id", text.content_hash(F.col("text")).alias("content_hash")),
@@ -350,6 +358,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nesting": nesting,
     "tag_merge": tag_merge,
     "redact_shapes": redact_shapes,
+    "redact_assignments": redact_assignments,
     "token_estimate": lambda s, d: table(s, d, "documents").select("doc_id", heuristic_tokens(F.col("text")).alias("n_tokens")),
 }
 
@@ -413,6 +422,7 @@ SELECT path, noise, CASE WHEN regexp_matches(x, '(?i)/\.claude/plans/.+\.md$') T
     "session_timing": "WITH s AS (SELECT session_id, min(ts) AS first_at, max(ts) AS last_at FROM transcript_lines WHERE session_id IS NOT NULL GROUP BY 1), m AS (SELECT *, CAST(floor((epoch_us(last_at) // 1000000 - epoch_us(first_at) // 1000000) / 60.0 + 0.5) AS BIGINT) AS mi FROM s) SELECT session_id, first_at, last_at, CASE WHEN mi IS NULL THEN '0m' WHEN mi < 60 THEN mi || 'm' ELSE (mi // 60) || 'h ' || (mi % 60) || 'm' END AS duration FROM m",
     "nesting": "SELECT a.session_id, bool_or(k.session_id IS NOT NULL) AS has_parent, count(*) AS n_records FROM subagents a LEFT JOIN (SELECT DISTINCT session_id FROM transcript_lines) k USING (session_id) GROUP BY 1",
     "tag_merge": f"WITH {_LABELS}, t AS (SELECT doc_id, list_distinct(list(subject)) AS x FROM labels GROUP BY 1), m AS (SELECT doc_id, list_sort(list_concat(list_filter(x, lambda z: z <> 'law' AND z <> 'hook'), CASE WHEN doc_id % 2 = 0 THEN ['new'] ELSE [] END)) AS y FROM t) SELECT doc_id, CASE WHEN len(y) = 0 THEN 'unclassified' ELSE array_to_string(y, ',') END AS tags FROM m",
+    "redact_assignments": "SELECT doc_id, chr(10) || 'PATTKN=[REDACTED]' || chr(10) || 'path=dispatch=GH_PAT=[REDACTED] output_path=src/a.py patHeader: [REDACTED] pattern: ab.cd' || chr(10) || '\"api_key\": [REDACTED] later [REDACTED]' AS masked FROM documents WHERE text IS NOT NULL",
     "redact_shapes": "SELECT doc_id, md5(text || ' postgres://app:[REDACTED]@db [REDACTED-KEY] Basic [REDACTED]') AS masked FROM documents WHERE text IS NOT NULL",
     "token_estimate": r"SELECT doc_id, coalesce(list_sum(list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda w: CAST(ceil(length(w) / 6.0) AS BIGINT))), 0) + length(regexp_replace(text, '[\p{L}\p{N}_\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]', '', 'g')) AS n_tokens FROM documents",
 }

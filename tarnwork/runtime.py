@@ -7,12 +7,16 @@ import io
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _RUN = f"tarnwork-{uuid.uuid4().hex}"
 _CLEANUP: set[int] = set()
+_SCRATCH: list[list[str]] = []
 
 #: Settings that suit a plain local session; a cluster's own settings win.
 DEFAULTS = {
@@ -48,6 +52,13 @@ def ship(spark: SparkSession) -> None:
     context._tarnwork_shipped = True
 
 
+def ship_active() -> None:
+    """`ship` for the session of this thread: functions of columns call it before they use Python on workers."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship(spark)
+
+
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """Write a small file through the file system that Spark sees."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -64,10 +75,19 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """`df.mapInArrow` with this package sent to the workers before, so that it works on any caller's table."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that all executors can write: the cluster's `spark.checkpoint.dir`, else (tests) a temporary one."""
+    """Folder that all executors can write: the one the cluster names in `spark.checkpoint.dir`. Only where the whole
+    of Spark is one process (tests) may it be unset; then a temporary folder is taken."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = Path(tempfile.mkdtemp(prefix="tarnwork-checkpoint-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", root)
     folder = f"{root.rstrip('/')}/{_RUN}"
@@ -93,11 +113,15 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def cut_lineage(df: DataFrame, tag: str = "cut") -> DataFrame:
     """Write `df` to the shared folder and read it back: later plans start from the files, and the loss of
-    an executor loses nothing. The files live until the process ends."""
+    an executor loses nothing. The files live until `release`, the end of an enclosing `scratch`, or of the process."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for held in _SCRATCH:
+        held.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tarnwork_path = path
+    return out
 
 
 def cut_lineage_counting(df: DataFrame, tag: str = "cut", **measures: Column) -> tuple[DataFrame, dict[str, int]]:
@@ -105,3 +129,24 @@ def cut_lineage_counting(df: DataFrame, tag: str = "cut", **measures: Column) ->
     watch = Observation()
     written = cut_lineage(df.observe(watch, *[m.alias(name) for name, m in measures.items()]), tag)
     return written, {name: int(watch.get.get(name) or 0) for name in measures}
+
+
+def release(*written: DataFrame) -> None:
+    """Delete the files of tables that `cut_lineage` gave; no plan may start from them any more."""
+    for df in written:
+        path = getattr(df, "_tarnwork_path", None)
+        if path:
+            remove(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was written for lineage within it. Write or collect results inside."""
+    held: list[str] = []
+    _SCRATCH.append(held)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(held)
+        for path in held:
+            remove(spark, path)

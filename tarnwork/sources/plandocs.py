@@ -9,6 +9,8 @@ from pathlib import PurePosixPath
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tarnwork.runtime import arrow_map
+
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
 _HEADING = re.compile(r" {0,3}(#{1,6})\s+(.*?)\s*#*$")
 _ID = re.compile(r"[A-Z]{1,6}-?\d{1,4}[a-z]?$")
@@ -94,7 +96,7 @@ def parse_documents(df: DataFrame, *, source: str = "source", text: str = "text"
             rows = [{"source": s, **r} for s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t is not None for r in parse(t, s or "")]
             yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in _SCHEMA], schema=_SCHEMA)
 
-    return df.selectExpr(f"CAST({source} AS string)", f"CAST({text} AS string)").mapInArrow(run, "source string, kind string, owner string, name string, text string, checked boolean, line int")
+    return arrow_map(df.selectExpr(f"CAST({source} AS string)", f"CAST({text} AS string)"), run, "source string, kind string, owner string, name string, text string, checked boolean, line int")
 
 
 def id_collisions(requirements: DataFrame) -> DataFrame:

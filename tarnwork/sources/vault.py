@@ -14,6 +14,8 @@ import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwork.runtime import arrow_map
+
 EXTENSIONS = "*.{md,markdown,mdx}"
 AREAS = ["projects", "classes", "harness"]
 SKIPPED_FOLDERS = ["templates", ".obsidian", ".git", ".trash", ".claude"]
@@ -166,7 +168,7 @@ def load(spark: SparkSession, root: str, *, notes: list[str] | None = None, allo
             yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], pa.string()) for c in _COLUMNS], schema=schema)
 
     files = scan(spark, root, notes)
-    described = files.select("path", "raw").mapInArrow(run, ", ".join(f"{c} string" for c in _COLUMNS))
+    described = arrow_map(files.select("path", "raw"), run, ", ".join(f"{c} string" for c in _COLUMNS))
     joined = described.join(files.select("path", "modified_at", "bytes"), "path")
     owners = described.filter("skip_reason IS NULL").groupBy(F.col("external_id").alias("claimed")).agg(F.min("path").alias("owner"))
     joined = joined.join(owners, F.col("external_id") == F.col("claimed"), "left")

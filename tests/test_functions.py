@@ -72,8 +72,46 @@ def test_redaction(spark):
     assert column(spark, ["id XY-123"], lambda c: redact.redact(c, [(r"XY-\d+", "[X]")])) == ["id [X]"]
     with pytest.raises(ValueError):
         redact.checked_rules([("a*", "")])
-    values = redact.secret_values("password=longsecret1 token=changeme token=${TOKEN_X}")
-    assert values == ["longsecret1"] and redact.redact_literals("x longsecret1 y", values) == "x [REDACTED] y"
+
+
+# Names with `pat` as a word of its own, and words that only contain it.
+PAT_NAMES = "PAT pat GH_PAT githubPat GITHUBPAT GHPAT ghpat mypat PATS PATs githubPATs PATKEY GHPat PAT2 patValue PATTOKEN x_pat PATTKN GHPATTKN patTest PATTMP GHPATTXT patHeader patHash patChain disPATCH".split()
+LOOKALIKES = "path PATH Pattern patterns dispatch DISPATCH compat COMPATIBILITY output_path videosPath spatial patient patch PATCHES classpath PATHEXT Dispatcher".split()
+VALUE = "Sup3rS3cretV4lue99"
+
+
+def test_assigned_secrets(spark):
+    forms = [lambda k, v: f"{k}={v}", lambda k, v: f"{k}: {v}", lambda k, v: f'"{k}": "{v}"', lambda k, v: f"export {k}='{v}'"]
+    lines = [f(k, VALUE) for k in PAT_NAMES for f in forms]
+    assert [line for line, out in zip(lines, column(spark, lines, redact.redact)) if VALUE in out] == []
+    df = spark.createDataFrame([(t,) for t in lines], "v string").select(redact.secret_values(F.col("v")).alias("s"), redact.secret_matches(F.col("v")).alias("m"))
+    for line, row in zip(lines, df.collect()):
+        assert row["s"] == [VALUE] and [m["rule"] for m in row["m"]] == [redact.NAMED], line
+    plain = [f(k, "web/src/progress.ts") for k in LOOKALIKES for f in forms]
+    assert column(spark, plain, redact.redact) == plain
+    assert all(redact.find_in(t) == [] for t in plain)
+
+
+def test_assignments_in_values_and_placeholders(spark):
+    cases = [f"path=pattern=dispatch=PASSWORD={VALUE}", f'path: "a b token: {VALUE}"', f"PATH=/usr/bin:/bin GITHUB_TOKEN={VALUE}", f"path=https://user:{VALUE}@host/x.git", "PASSWORD=placeholder", "API_KEY=$API_KEY", "TOKEN=example-real-1234", "token=abc", None, ""]
+    values = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(cases)], "k int, v string").orderBy("k").select(redact.secret_values(F.col("v"))).collect()]
+    assert values == [[VALUE], [VALUE], [VALUE], [VALUE], [], [], ["example-real-1234"], [], [], []]
+    masked = column(spark, cases, redact.redact)
+    assert not any(VALUE in (m or "") for m in masked) and masked[4] == "PASSWORD=[REDACTED]" and masked[7:] == ["token=abc", None, ""]
+    full = column(spark, [f"patHeader={VALUE}\nLater: rotate {VALUE}"], lambda c: redact.redact(c, literals=redact.secret_values(c)))
+    assert full == ["patHeader=[REDACTED]\nLater: rotate [REDACTED]"]
+    long = f"API_TOKEN={VALUE}\n" + "path=" * 100_000
+    assert VALUE not in column(spark, [long], redact.redact)[0]
+    assert column(spark, ["sk_live_" + "a" * 20, "sk_live_[REDACTED]", None], redact.looks_redacted) == [False, True, True]
+
+
+def test_positions_and_rule_files():
+    assert redact.find_in(f"x password={VALUE} AKIA{'A' * 16}") == [(redact.NAMED, 2), ("aws-access-key-id", 30)]
+    broken = redact.Shape("broken", "(", "", 0, ("x",))
+    assert redact.find_in("x", [broken]) == [("broken:error", 0)]
+    rules, problems = redact.load_rules('{"rules": [{"name": "a", "pattern": "Z\\\\d+", "flags": "i"}, {"name": "a", "pattern": "b"}, {"name": "c", "pattern": "x*"}, {"name": "d", "pattern": "q", "flags": "g"}, 7]}')
+    assert rules == [(r"(?i)Z\d+", "[REDACTED:a]")] and len(problems) == 4
+    assert redact.load_rules("[]") == ([], ["no object with rules"]) and redact.load_rules("x")[0] == []
 
 
 def test_times(spark):
