@@ -86,10 +86,12 @@ def _no_lookalike() -> str:
     for word in PAT_WORDS:
         guard = "".join(f"(?<!(?i:{v[: -len(word)]}))" for v in longer[word])
         parts.append(f"{guard}(?:{_inside(word)})")
-    return f"(?!{'|'.join(parts)})(?i:pat)"
+    return f"(?=[Pp][Aa][Tt])(?!{'|'.join(parts)})..."
 
 
-_NAME = rf"[A-Za-z0-9_]*?(?:(?i:{'|'.join(KEY_WORDS)})|{_no_lookalike()})[A-Za-z0-9_]*+"
+# At most places in a text no word begins: their first letters are looked at before the words.
+_FIRST = "".join(sorted({c for w in KEY_WORDS for c in (w[0], w[0].lower())}))
+_NAME = rf"[A-Za-z0-9_]*?(?=[{_FIRST}])(?:(?i:{'|'.join(KEY_WORDS)})|{_no_lookalike()})[A-Za-z0-9_]*+"
 #: Group 1 is the name with its quotes and the separator, group 3 the value.
 ASSIGNMENT = rf"""((["']?)(?<![A-Za-z0-9_]){_NAME}\2\s*[:=]\s*)({VALUE})"""
 NAMED = "named-assignment"

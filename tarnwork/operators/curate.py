@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tarnwork.functions.text import normal_path
 from tarnwork.operators.hierarchy import contract
 from tarnwork.operators.ranking import number_rows
-from tarnwork.operators.scoped import LIMIT, split_by_size
+from tarnwork.operators.scoped import ROW_BYTES, split_by_size
 from tarnwork.runtime import cut_lineage, ship
 
 # Order of kinds on the same instant, and of states of one cause.
@@ -185,11 +185,15 @@ def mentions(texts: DataFrame, ids: DataFrame, *, text: str, pattern: str) -> Da
     return found.join(ids.select("id").distinct(), "id")
 
 
-def pack_in_order(items: DataFrame, *, group: str, order: list[str], size: str, most: int = 8, limit: int = 12_000, scope: int = LIMIT) -> DataFrame:
+#: A fold in order copies its result at every step, so it is kept to groups of some two thousand items.
+PACK_BYTES = 2000 * ROW_BYTES
+
+
+def pack_in_order(items: DataFrame, *, group: str, order: list[str], size: str, most: int = 8, limit: int = 12_000, scope: int = PACK_BYTES) -> DataFrame:
     """Batches of a group's items in order: a batch closes when it holds `most` items or the next would exceed
     `limit`. Columns: the group, `place`, the order columns, `batch_no`.
 
-    Groups of at most `scope` items are folded. In a larger one each item points to where a batch that began at it
+    Groups of at most `scope` bytes (some two thousand items) are folded. In a larger one each item points to where a batch that began at it
     would end, at most `most` rows on; batches begin at the items on the path of pointers from the first one,
     which tree contraction finds."""
     small, large = split_by_size(items.select(group, *order, F.coalesce(size, F.lit(0)).cast("bigint").alias("size")), group, scope)
@@ -223,7 +227,7 @@ def _pack_large(items: DataFrame, group: str, order: list[str], most: int, limit
 
     start = F.struct(F.lit(0).alias("count"), F.lit(0).cast("bigint").alias("used"), F.lit(None).cast("string").alias("next"))
     pointed = rows.select("node", "place").join(nearby, F.col("node") == F.col("head")).select("node", F.aggregate("run", start, step)["next"].alias("parent"), F.when(F.col("place") == 1, 1).otherwise(0).alias("value"))
-    begins = contract(pointed, paths=False, fold=True).select(F.col("node").alias("begin"), F.col("largest").alias("begins"))
+    begins = contract(pointed, paths=False, fold="max").select(F.col("node").alias("begin"), F.col("folded").alias("begins"))
     marked = rows.join(begins, F.col("node") == F.col("begin")).select(group, "place", *order, "begins")
     return number_rows(marked, group=[group], order=["place"], place="again", sums={"batch_no": "begins"}).select(group, "place", *order, "batch_no")
 

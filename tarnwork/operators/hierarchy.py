@@ -8,22 +8,28 @@ cycle, one node that has become its own parent. The recorded removals are then u
 node's parent is always solved before it, which yields root, depth and path by one equi-join a round.
 
 All joins are on unique node keys or from many nodes to their parent, so no group is ever collected; the
-sum of all rounds' input is a constant times the number of nodes. Scopes of at most `scoped.LIMIT` nodes don't
+sum of all rounds' input is a constant times the number of nodes. Scopes of at most `scoped.LIMIT` bytes don't
 need rounds of jobs: they are contracted by the same steps on arrays, many scopes at once in a task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwork.operators.forest import STATES, contract_arrays
+from tarnwork.operators.forest import TREE as TREE_STATE
 from tarnwork.operators.scoped import LIMIT, map_scopes, positions, split_by_size
 from tarnwork.runtime import cut_lineage, cut_lineage_counting
 
 TREE, CYCLE, BELOW = "tree", "cycle", "below_cycle"
+#: Characters of paths that a task gives out at a time.
+PATH_CHARS = 16 << 20
 
 
 def _priority(node: str) -> Column:
@@ -31,38 +37,52 @@ def _priority(node: str) -> Column:
     return F.xxhash64(F.col(node), F.col("turn"))
 
 
-def contract(nodes: DataFrame, *, paths: bool = True, separator: str = "/", fold: bool = False, max_rounds: int = 400) -> DataFrame:
+@dataclass(frozen=True)
+class Fold:
+    """How values of a subtree are put together: `max` or `sum`."""
+
+    name: str = "max"
+
+    def two(self, a: str, b: str) -> Column:
+        return F.greatest(a, b) if self.name == "max" else F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+
+    def all(self, column: Column) -> Column:
+        return F.max(column) if self.name == "max" else F.sum(column)
+
+
+def contract(nodes: DataFrame, *, paths: bool = True, separator: str = "/", fold: str | None = None, max_rounds: int = 400) -> DataFrame:
     """Root, depth and path of every node of a forest with possible cycles.
 
     `nodes` has unique `node`, `parent` (null at a root, else the key of a present node) and, with `paths`,
-    `label`; with `fold`, an orderable `value`. Result: `node`, `root`, `depth` (1 at the root), `path`
-    (labels from the root, joined) and `state`; for nodes on or below a cycle root and path are `''`, depth
-    -1. With `fold` also `largest`, the greatest non-null `value` in the node's subtree (trees only).
-    An empty input gives an empty result.
+    `label`; with `fold` a `value`, orderable or, for sums, an integer. Result: `node`, `root`, `depth` (1 at the root),
+    `path` (labels from the root, joined) and `state`; for nodes on or below a cycle root and path are `''`, depth
+    -1. With `fold` also `folded`, the greatest non-null `value` (`max`) or the sum (`sum`) of the node's subtree
+    (trees only). An empty input gives an empty result.
     """
+    how = Fold(fold or "max")
     label = F.col("label").cast("string") if paths else F.lit("")
-    value = F.col("value") if fold else F.lit(None).cast("int")
+    value = F.lit(None).cast("int") if fold is None else F.col("value").cast("bigint") if fold == "sum" else F.col("value")
     kids = nodes.filter(F.col("parent").isNotNull() & (F.col("parent") != F.col("node"))).groupBy(F.col("parent").alias("of")).agg(F.count("*").alias("kids"))
     state = nodes.join(kids, F.col("node") == F.col("of"), "left").select("node", "parent", label.alias("seg"), F.lit(1).alias("hops"), F.coalesce("kids", F.lit(0)).alias("kids"), value.alias("acc"), value.alias("up"), F.lit(0).alias("turn"))
     state = state.withColumn("up", F.when(F.lit(False), F.col("up")))
 
     rounds: list[DataFrame] = []
     for _ in range(max_rounds):
-        state, left, removed = _round(state)
+        state, left, removed = _round(state, how)
         if removed:
             rounds.append(state.filter(F.col("fate") != "stay"))
-        state = _spliced(state, separator if paths else "")
+        state = _spliced(state, separator if paths else "", how)
         if not left:
             break
     else:
         raise RuntimeError(f"not contracted after {max_rounds} rounds")
 
     at_root = F.col("parent").isNull()
-    solved = [cut_lineage(state.select("node", F.when(at_root, F.col("node")).otherwise("").alias("root"), F.when(at_root, F.col("hops")).otherwise(-1).alias("depth"), F.when(at_root, F.col("seg")).otherwise("").alias("path"), F.when(at_root, TREE).otherwise(CYCLE).alias("state"), F.col("acc").alias("largest")), "core")]
+    solved = [cut_lineage(state.select("node", F.when(at_root, F.col("node")).otherwise("").alias("root"), F.when(at_root, F.col("hops")).otherwise(-1).alias("depth"), F.when(at_root, F.col("seg")).otherwise("").alias("path"), F.when(at_root, TREE).otherwise(CYCLE).alias("state"), F.col("acc").alias("folded")), "core")]
     for records in reversed(rounds):
-        solved.append(cut_lineage(_undo(records, _union(solved), separator if paths else ""), "undone"))
+        solved.append(cut_lineage(_undo(records, _union(solved), separator if paths else "", how), "undone"))
     result = _union(solved)
-    keep = ["node", "root", "depth", "state"] + ["path"] * paths + ["largest"] * fold
+    keep = ["node", "root", "depth", "state"] + ["path"] * paths + ["folded"] * bool(fold)
     return result.select(*keep)
 
 
@@ -73,7 +93,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _round(state: DataFrame) -> tuple[DataFrame, int, int]:
+def _round(state: DataFrame, how: Fold) -> tuple[DataFrame, int, int]:
     """One round's fates (`rake` for leaves, `splice` for chosen unary nodes, `stay` for the rest), written; how
     many nodes stay that aren't contracted yet, and how many don't stay."""
     has_parent = F.col("parent").isNotNull() & (F.col("parent") != F.col("node"))
@@ -81,10 +101,10 @@ def _round(state: DataFrame) -> tuple[DataFrame, int, int]:
     below = state.filter(has_parent).groupBy(F.col("parent").alias("of")).agg(
         F.count_if(~leaf).alias("alive"),
         F.max(F.when(~leaf, F.struct("node", "up"))).alias("kid"),
-        F.max(F.when(leaf, F.greatest("acc", "up"))).alias("leaf_acc"),
+        how.all(F.when(leaf, how.two("acc", "up"))).alias("leaf_acc"),
     )
     joined = state.join(below, F.col("node") == F.col("of"), "left").select(
-        "node", "parent", "seg", "hops", "up", F.greatest("acc", "leaf_acc").alias("acc"), "kids", F.coalesce("alive", F.lit(0)).alias("alive"), F.col("kid.node").alias("kid"), F.col("kid.up").alias("kid_up"), "turn"
+        "node", "parent", "seg", "hops", "up", how.two("acc", "leaf_acc").alias("acc"), "kids", F.coalesce("alive", F.lit(0)).alias("alive"), F.col("kid.node").alias("kid"), F.col("kid.up").alias("kid_up"), "turn"
     )
     mine = _priority("node")
     chosen = has_parent & (F.col("alive") == 1) & (F.col("kids") == 1) & (F.col("kid") != F.col("node")) & (mine > _priority("parent")) & (mine > _priority("kid"))
@@ -94,9 +114,9 @@ def _round(state: DataFrame) -> tuple[DataFrame, int, int]:
     return written, seen["left"], seen["removed"]
 
 
-def _spliced(state: DataFrame, separator: str) -> DataFrame:
+def _spliced(state: DataFrame, separator: str, how: Fold) -> DataFrame:
     """The nodes that stay, children of spliced nodes hung below their grandparent."""
-    gone = state.filter(F.col("fate") == "splice").select(F.col("kid").alias("heir"), F.col("parent").alias("above"), F.col("seg").alias("gone_seg"), F.col("hops").alias("gone_hops"), F.greatest("acc", "up").alias("gone_acc"))
+    gone = state.filter(F.col("fate") == "splice").select(F.col("kid").alias("heir"), F.col("parent").alias("above"), F.col("seg").alias("gone_seg"), F.col("hops").alias("gone_hops"), how.two("acc", "up").alias("gone_acc"))
     moved = F.col("heir").isNotNull()
     return state.filter(F.col("fate") == "stay").join(gone, F.col("node") == F.col("heir"), "left").select(
         "node",
@@ -105,17 +125,17 @@ def _spliced(state: DataFrame, separator: str) -> DataFrame:
         (F.col("hops") + F.coalesce("gone_hops", F.lit(0))).alias("hops"),
         F.col("alive").alias("kids"),
         "acc",
-        F.greatest("up", "gone_acc").alias("up"),
+        how.two("up", "gone_acc").alias("up"),
         (F.col("turn") + 1).alias("turn"),
     )
 
 
-def _undo(records: DataFrame, solved: DataFrame, separator: str) -> DataFrame:
+def _undo(records: DataFrame, solved: DataFrame, separator: str, how: Fold) -> DataFrame:
     """Results of one round's removed nodes, from their solved parents (and, for spliced ones, child)."""
     above = solved.select(F.col("node").alias("of"), F.col("root").alias("top"), F.col("depth").alias("high"), F.col("path").alias("lead"), F.col("state").alias("above_state"))
-    child = solved.select(F.col("node").alias("heir"), F.col("state").alias("kid_state"), F.col("largest").alias("kid_largest"))
+    child = solved.select(F.col("node").alias("heir"), F.col("state").alias("kid_state"), F.col("folded").alias("kid_folded"))
 
-    def finish(df: DataFrame, state: Column, largest: Column) -> DataFrame:
+    def finish(df: DataFrame, state: Column, folded: Column) -> DataFrame:
         tree = F.col("above_state") == TREE
         return df.select(
             "node",
@@ -123,13 +143,13 @@ def _undo(records: DataFrame, solved: DataFrame, separator: str) -> DataFrame:
             F.when(tree, F.col("high") + F.col("hops")).otherwise(-1).alias("depth"),
             F.when(tree, F.concat("lead", F.lit(separator), "seg")).otherwise("").alias("path"),
             state.alias("state"),
-            largest.alias("largest"),
+            folded.alias("folded"),
         )
 
     raked = records.filter(F.col("fate") == "rake").join(above, F.col("parent") == F.col("of"))
-    spliced = records.filter(F.col("fate") == "splice").join(above, F.col("parent") == F.col("of")).join(child, F.col("kid") == F.col("heir"))
+    spliced = records.filter(F.col("fate") == "splice").join(above, F.col("parent") == F.col("of")).join(child, F.col("kid") == F.col("heir")).withColumn("kid_all", how.two("kid_up", "kid_folded"))
     return finish(raked, F.when(F.col("above_state") == TREE, TREE).otherwise(BELOW), F.col("acc")).unionByName(
-        finish(spliced, F.when(F.col("above_state") == TREE, TREE).when((F.col("above_state") == CYCLE) & (F.col("kid_state") == CYCLE), CYCLE).otherwise(BELOW), F.greatest("acc", "kid_up", "kid_largest"))
+        finish(spliced, F.when(F.col("above_state") == TREE, TREE).when((F.col("above_state") == CYCLE) & (F.col("kid_state") == CYCLE), CYCLE).otherwise(BELOW), how.two("acc", "kid_all"))
     )
 
 
@@ -141,23 +161,26 @@ def clean_id(column: Column) -> Column:
 
 
 def hierarchy(df: DataFrame, *, scope: str = "session_id", node: str = "agent_id", parent: str = "parent_agent_id", order: list[str] | None = None, limit: int = LIMIT) -> DataFrame:
-    """Root, depth, path and state of each node within its scope.
+    """Root, depth, path, state and number of descendants of each node within its scope.
 
     Ids are compared by `clean_id`. Of several rows of a node the one with the greatest `order` columns
     counts, whole (ties beyond them: the greatest parent id). A parent that is null, blank or without a row
     in the scope makes a root. Rows without scope or with a null or blank node id are no nodes. Columns:
     the scope, `node_id`, `root_id`, `tree_depth`, `safe_path` (ids with `%` and `/` as `%25` and `%2F`), `node_path`,
-    `node_state`; other columns don't matter.
-    Scopes of more than `limit` nodes are contracted by distributed rounds.
+    `node_state`, `n_descendants` (null on or below a cycle); other columns don't matter.
+    Scopes of more than `limit` bytes are contracted by distributed rounds, with 0 all of them.
     """
     order = order or ["captured_at", "record_id"]
     rows = df.select(F.col(scope).cast("string").alias("scope"), clean_id(F.col(node)).alias("id"), F.nullif(clean_id(F.col(parent)), F.lit("")).alias("above"), F.struct(*[F.col(c) for c in order]).alias("rank"))
     current = rows.filter(F.col("scope").isNotNull() & (F.col("id") != "")).groupBy("scope", "id").agg(F.max(F.struct("rank", "above")).alias("last")).select("scope", "id", F.col("last.above").alias("above"))
-    small, large = split_by_size(current, "scope", limit)
-    out = map_scopes(small, "scope", _contract_table, "scope string, node_id string, root_id string, tree_depth int, safe_path string, node_state string")
-    if large is not None:
-        out = out.unionByName(_contract_large(large))
-    return out.select(F.col("scope").alias(scope), "node_id", "root_id", "tree_depth", "safe_path", _plain(F.col("safe_path")).alias("node_path"), "node_state")
+    if limit <= 0:
+        out = _contract_large(cut_lineage(current, "current"))
+    else:
+        small, large = split_by_size(current, "scope", limit)
+        out = map_scopes(small, "scope", _contract_table, "scope string, node_id string, root_id string, tree_depth int, safe_path string, node_state string, n_descendants bigint")
+        if large is not None:
+            out = out.unionByName(_contract_large(large))
+    return out.select(F.col("scope").alias(scope), "node_id", "root_id", "tree_depth", "safe_path", _plain(F.col("safe_path")).alias("node_path"), "node_state", "n_descendants")
 
 
 def _safe(column: Column) -> Column:
@@ -168,23 +191,32 @@ def _plain(column: Column) -> Column:
     return F.replace(F.replace(column, F.lit("%2F"), F.lit("/")), F.lit("%25"), F.lit("%"))
 
 
-def _contract_table(table: pa.Table) -> pa.Table:
+def _contract_table(table: pa.Table) -> Iterator[pa.Table]:
+    """Tables of whole scopes contracted; results come in parts whose paths fit in memory, however deep the trees."""
     scope, ids = table.column("scope"), table.column("id")
     labels = np.array(ids.to_pylist(), object)
     safe = np.array([x.replace("%", "%25").replace("/", "%2F") for x in labels], object)
-    forest = contract_arrays(positions(scope, ids, table.column("above")), label=safe)
-    roots = np.where(forest.root >= 0, labels[forest.root], "")
-    columns = [scope.cast(pa.string()), ids.cast(pa.string()), pa.array(roots, pa.string()), pa.array(forest.depth.astype(np.int32)), pa.array(forest.path, pa.string()), pa.array(STATES[forest.state], pa.string())]
-    return pa.table(columns, names=["scope", "node_id", "root_id", "tree_depth", "safe_path", "node_state"])
+    forest = contract_arrays(positions(scope, ids, table.column("above")), label=safe, value=np.ones(table.num_rows), fold="sum")
+    for part in forest.slices(PATH_CHARS):
+        at, root = pa.array(part), forest.root[part]
+        below = pa.array(forest.folded[part].astype(np.int64) - 1, mask=forest.state[part] != TREE_STATE)
+        columns = [
+            scope.take(at).cast(pa.string()), ids.take(at).cast(pa.string()), pa.array(np.where(root >= 0, labels[root], ""), pa.string()), pa.array(forest.depth[part].astype(np.int32)), pa.array(forest.paths(part), pa.string()),
+            pa.array(STATES[forest.state[part]], pa.string()), below,
+        ]
+        yield pa.table(columns, names=["scope", "node_id", "root_id", "tree_depth", "safe_path", "node_state", "n_descendants"])
 
 
 def _contract_large(current: DataFrame) -> DataFrame:
     key = lambda x: F.concat("scope", F.lit("\x1f"), x)
     keyed = cut_lineage(current.select(key("id").alias("node"), key("above").alias("wanted"), _safe(F.col("id")).alias("label")), "nodes")
     known = keyed.select(F.col("node").alias("parent"))
-    nodes = keyed.join(known, F.col("wanted") == F.col("parent"), "left").select("node", "parent", "label")
+    nodes = keyed.join(known, F.col("wanted") == F.col("parent"), "left").select("node", "parent", "label", F.lit(1).alias("value"))
     part = lambda c, i: F.split(F.col(c), "\x1f", 2)[i]
-    return contract(nodes).select(part("node", 0).alias("scope"), part("node", 1).alias("node_id"), F.when(F.col("root") == "", "").otherwise(part("root", 1)).alias("root_id"), F.col("depth").cast("int").alias("tree_depth"), F.col("path").alias("safe_path"), F.col("state").alias("node_state"))
+    return contract(nodes, fold="sum").select(
+        part("node", 0).alias("scope"), part("node", 1).alias("node_id"), F.when(F.col("root") == "", "").otherwise(part("root", 1)).alias("root_id"), F.col("depth").cast("int").alias("tree_depth"), F.col("path").alias("safe_path"),
+        F.col("state").alias("node_state"), F.when(F.col("state") == TREE, F.col("folded") - 1).cast("bigint").alias("n_descendants"),
+    )
 
 
 def descendants(tree: DataFrame, *, scope: str = "session_id") -> DataFrame:
@@ -196,6 +228,5 @@ def descendants(tree: DataFrame, *, scope: str = "session_id") -> DataFrame:
 
 
 def descendant_counts(tree: DataFrame, *, scope: str = "session_id") -> DataFrame:
-    """Number of descendants of each tree node; the pairs are combined before the shuffle."""
-    pairs = descendants(tree, scope=scope).groupBy(scope, F.col("ancestor_id").alias("node_id")).agg(F.count("*").alias("n"))
-    return tree.filter(F.col("node_state") == TREE).select(scope, "node_id", "tree_depth").join(pairs, [scope, "node_id"], "left").select(scope, "node_id", "tree_depth", F.coalesce("n", F.lit(0)).alias("n_descendants"))
+    """Number of descendants of each tree node, as summed up by the contraction."""
+    return tree.filter(F.col("node_state") == TREE).select(scope, "node_id", "tree_depth", "n_descendants")

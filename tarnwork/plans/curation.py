@@ -173,9 +173,9 @@ def disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _features(spark, sf_dir).filter(curate.disagrees(c("commits") + c("prs") + c("children"), c("decisions") + c("issues_found") + c("issues_fixed") + c("requirement_refs"), c("retrievals") + c("used"))).select("session_id")
 
 
-def pack_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pack_batches(spark: SparkSession, sf_dir: str, scope: int = curate.PACK_BYTES) -> DataFrame:
     docs = table(spark, sf_dir, "documents").filter("collection_key IS NOT NULL").select(F.col("collection_key").alias("collection"), "doc_id", text.chars4_tokens(F.col("text")).alias("tokens"))
-    return curate.pack_in_order(docs, group="collection", order=["doc_id"], size="tokens", limit=2000).select("collection", "doc_id", "batch_no")
+    return curate.pack_in_order(docs, group="collection", order=["doc_id"], size="tokens", limit=2000, scope=scope).select("collection", "doc_id", "batch_no")
 
 
 def apportion_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,6 +338,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "note_relevance": note_relevance,
     "disagreement": disagreement,
     "pack_batches": pack_batches,
+    "pack_batches_rounds": lambda s, d: pack_batches(s, d, scope=0),
     "apportion_tokens": apportion_tokens,
     "suffix_path_join": suffix_path_join,
     "prefix_key_join": prefix_key_join,
@@ -426,3 +427,4 @@ SELECT path, noise, CASE WHEN regexp_matches(x, '(?i)/\.claude/plans/.+\.md$') T
     "redact_shapes": "SELECT doc_id, md5(text || ' postgres://app:[REDACTED]@db [REDACTED-KEY] Basic [REDACTED]') AS masked FROM documents WHERE text IS NOT NULL",
     "token_estimate": r"SELECT doc_id, coalesce(list_sum(list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda w: CAST(ceil(length(w) / 6.0) AS BIGINT))), 0) + length(regexp_replace(text, '[\p{L}\p{N}_\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]', '', 'g')) AS n_tokens FROM documents",
 }
+ORACLES["pack_batches_rounds"] = ORACLES["pack_batches"]

@@ -16,6 +16,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy(table(spark, sf_dir, "subagents")).selectExpr("session_id", "node_id AS agent_id", "root_id AS root_agent_id", "tree_depth", "node_path", "node_state")
 
 
+def p1_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`p1_found` and the number of descendants with every session contracted by distributed rounds."""
+    return hierarchy(table(spark, sf_dir, "subagents"), limit=0).selectExpr("session_id", "node_id AS agent_id", "root_id AS root_agent_id", "tree_depth", "node_path", "node_state", "n_descendants")
+
+
 def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of workers below every worker that lies in a tree."""
     return descendant_counts(hierarchy(table(spark, sf_dir, "subagents"))).withColumnRenamed("node_id", "agent_id")
@@ -40,7 +45,7 @@ def p4_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objects.selectExpr("item_type", "parent_path = '' AS outermost").groupBy("item_type", "outermost").count().withColumnRenamed("count", "n_objects")
 
 
-QUERIES = {"p1_found": p1_found, "p1_descendants": p1_descendants, "p1_descendant_pairs": p1_descendant_pairs, "p4_found": p4_found, "p4_types": p4_types}
+QUERIES = {"p1_found": p1_found, "p1_rounds": p1_rounds, "p1_descendants": p1_descendants, "p1_descendant_pairs": p1_descendant_pairs, "p4_found": p4_found, "p4_types": p4_types}
 
 _CLEAN = r"regexp_replace(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')), '^agent-', '')"
 
@@ -85,6 +90,14 @@ SELECT item_type, u.above IS NULL AS outermost, count(*) AS n_objects FROM el LE
 SELECT session_id, agent_id, root_agent_id, tree_depth, node_path, 'tree' AS node_state FROM tree
 UNION ALL
 SELECT session_id, agent_id, '', -1, '', CASE WHEN bool_or(here = agent_id) THEN 'cycle' ELSE 'below_cycle' END FROM climb GROUP BY 1, 2""",
+    "p1_rounds": _FOREST + """,
+up AS (
+  SELECT session_id, parent_id AS agent_id, agent_id AS low FROM node WHERE parent_id IS NOT NULL
+  UNION ALL
+  SELECT u.session_id, n.parent_id, u.low FROM up u JOIN node n ON n.session_id = u.session_id AND n.agent_id = u.agent_id JOIN tree t ON t.session_id = n.session_id AND t.agent_id = n.agent_id WHERE n.parent_id IS NOT NULL)
+SELECT t.session_id, t.agent_id, t.root_agent_id, t.tree_depth, t.node_path, 'tree' AS node_state, count(u.low) AS n_descendants FROM tree t LEFT JOIN up u ON u.session_id = t.session_id AND u.agent_id = t.agent_id GROUP BY ALL
+UNION ALL
+SELECT session_id, agent_id, '', -1, '', CASE WHEN bool_or(here = agent_id) THEN 'cycle' ELSE 'below_cycle' END, NULL FROM climb GROUP BY 1, 2""",
     "p1_descendant_pairs": _FOREST + """,
 up AS (
   SELECT session_id, parent_id AS agent_id, agent_id AS low FROM node WHERE parent_id IS NOT NULL

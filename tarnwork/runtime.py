@@ -82,8 +82,8 @@ def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that all executors can write: the one the cluster names in `spark.checkpoint.dir`. Only where the whole
-    of Spark is one process (tests) may it be unset; then a temporary folder is taken."""
+    """Folder that all executors can write: the one the cluster names in `spark.checkpoint.dir`. Only where all of
+    Spark runs on one machine (tests) may it be unset; then a temporary folder is taken."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 
 from tarnwork.operators.forest import STATES, contract_arrays
 from tarnwork.operators.hierarchy import contract, descendant_counts, descendants, hierarchy
+from tarnwork.operators.scoped import LIMIT
 
 
 def climb(parent):
@@ -44,9 +45,13 @@ def test_arrays(raw, seed):
     value = np.array([random.Random(seed + k).random() for k in range(len(raw))])
     got = contract_arrays(parent, label=np.array([str(k) for k in range(len(raw))], object), value=value)
     want = climb(parent.tolist())
-    assert list(zip(got.root.tolist(), got.depth.tolist(), got.path.tolist(), STATES[got.state].tolist())) == want
+    assert list(zip(got.root.tolist(), got.depth.tolist(), got.paths(np.arange(len(raw))).tolist(), STATES[got.state].tolist())) == want
     best = largest(parent.tolist(), value.tolist())
-    assert all(got.largest[k] == best[k] for k in range(len(raw)) if want[k][3] == "tree")
+    assert all(got.folded[k] == best[k] for k in range(len(raw)) if want[k][3] == "tree")
+    assert [len(p) for p in got.paths(np.arange(len(raw)))] == got.length.tolist()
+    counted = contract_arrays(parent, value=np.ones(len(raw)), fold="sum").folded
+    below = [sum(f"/{k}/" in f"/{path}/" for _, _, path, _ in want) for k in range(len(raw))]
+    assert all(counted[k] == below[k] for k in range(len(raw)) if want[k][3] == "tree")
 
 
 def test_long_chain_and_star():
@@ -55,18 +60,32 @@ def test_long_chain_and_star():
     assert contract_arrays(np.array([-1] + [0] * n)).depth.max() == 2
 
 
+def test_paths_come_in_parts():
+    n = 4000
+    forest = contract_arrays(np.arange(-1, n - 1), label=np.array([f"node{k}" for k in range(n)], object))
+    parts = list(forest.slices(1 << 20))
+    assert np.concatenate(parts).tolist() == list(range(n)) and all(forest.length[p].sum() <= 1 << 20 for p in parts) and len(parts) > 40
+    last = forest.paths(parts[-1])[-1]
+    assert last.split("/") == [f"node{k}" for k in range(n)]
+    assert list(contract_arrays(np.zeros(0, np.int64), label=np.zeros(0, object)).slices(9)) == []
+
+
 def test_distributed(spark):
     dice = random.Random(3)
     parent = [-1 if k == 0 else k - 1 if k < 40 else dice.randrange(k) if k < 120 else dice.choice([119 + (k - 119) % 3 + 1, k - 1]) for k in range(140)]
     rows = [(str(k), None if p < 0 else str(p), str(k), float(k % 17)) for k, p in enumerate(parent)]
     nodes = spark.createDataFrame(rows, "node string, parent string, label string, value double")
-    got = {r["node"]: r for r in contract(nodes, fold=True).collect()}
+    got = {r["node"]: r for r in contract(nodes, fold="max").collect()}
     best = largest(parent, [r[3] for r in rows])
     for k, (root, depth, path, state) in enumerate(climb(parent)):
         r = got[str(k)]
         assert (r["root"], r["depth"], r["path"], r["state"]) == ("" if root < 0 else str(root), depth, path, state)
         if state == "tree":
-            assert r["largest"] == best[k]
+            assert r["folded"] == best[k]
+    ones = spark.createDataFrame([(a, b, 1) for a, b, _, _ in rows], "node string, parent string, value int")
+    counted = {r["node"]: r["folded"] for r in contract(ones, paths=False, fold="sum").collect()}
+    want = climb(parent)
+    assert all(counted[str(k)] == sum(f"/{k}/" in f"/{path}/" for _, _, path, _ in want) for k in range(140) if want[k][3] == "tree")
 
 
 BASE = datetime(2026, 1, 1)
@@ -86,7 +105,7 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize("limit", [50_000, 0])
+@pytest.mark.parametrize("limit", [LIMIT, 0])
 def test_hierarchy(spark, limit):
     df = spark.createDataFrame(ROWS, "record_id long, session_id string, agent_id string, parent_agent_id string, captured_at timestamp, node_path string")
     tree = hierarchy(df, limit=limit)
@@ -105,7 +124,7 @@ def test_hierarchy(spark, limit):
     assert hierarchy(df.limit(0), limit=limit).count() == 0
 
 
-@pytest.mark.parametrize("limit", [50_000, 0])
+@pytest.mark.parametrize("limit", [LIMIT, 0])
 def test_ids_with_separator(spark, limit):
     """Ids that hold the path's separator, or what replaces it, keep their descendants."""
     rows = [(1, "s", "a/b", None, BASE), (2, "s", "c%2f/", "a/b", BASE), (3, "s", "d%", "c%2f/", BASE)]
