@@ -4,11 +4,13 @@ Messages hang together by reply links. Connected components are found by alterna
 steps, all of them equi-joins and grouped minima; the components then decide which conversations are whole, and
 the core's tree contraction gives each message its place and each branch its latest time. For conversations of
 any size these are rounds of distributed jobs, none of which gathers a conversation's messages in one task;
-conversations of at most `scoped.LIMIT` messages go through the same steps on arrays, many at once in a task.
+conversations of at most `scoped.LIMIT` bytes go through the same steps on arrays, many at once in a task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -96,8 +98,10 @@ def conversations(df: DataFrame, *, limit: int = LIMIT) -> DataFrame:
     of equal times the one with the least uuid; null times are earliest. Beside system messages a user's must
     come first, each be followed by an assistant's, and a user's and an assistant's not be blank. An empty
     table gives an empty result; a speaker of any other name breaks a conversation; extra columns don't matter.
-    Conversations of more than `limit` messages are treated by distributed rounds.
+    Conversations of more than `limit` bytes are treated by distributed rounds, with 0 all of them.
     """
+    if limit <= 0:
+        return _large_conversations(cut_lineage(messages(df), "messages"))
     small, large = split_by_size(messages(df), "scope", limit)
     out = map_scopes(small, "scope", _whole_scopes, "session_id string, turn_no int, uuid string, msg_role string")
     return out if large is None else out.unionByName(_large_conversations(large))
@@ -131,7 +135,7 @@ def star_components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _whole_scopes(table: pa.Table) -> pa.Table:
+def _whole_scopes(table: pa.Table) -> Iterator[pa.Table]:
     """The kept conversations among whole small ones."""
     scope, uuid = table.column("scope"), table.column("uuid")
     n = table.num_rows
@@ -150,7 +154,7 @@ def _whole_scopes(table: pa.Table) -> pa.Table:
     forest = contract_arrays(np.where(whole[code], parent, -1), value=ts)
     # The best child of every fork: latest branch, then least uuid.
     inner = np.flatnonzero(linked & whole[code])
-    inner = inner[np.lexsort((names[inner].astype(str), -forest.largest[inner], parent[inner]))]
+    inner = inner[np.lexsort((names[inner].astype(str), -forest.folded[inner], parent[inner]))]
     first = np.r_[True, parent[inner][1:] != parent[inner][:-1]] if len(inner) else np.zeros(0, bool)
     follows = np.full(n, -1, np.int64)
     follows[inner[first]] = parent[inner[first]]
@@ -171,7 +175,7 @@ def _whole_scopes(table: pa.Table) -> pa.Table:
     good = (faults == 0) & (count(user & ~blank[spoken]) > 0) & (count(reply & ~blank[spoken]) > 0)
     out = np.flatnonzero(on_chain & good[code]) if n else spoken
     columns = [scope.take(pa.array(out)).cast(pa.string()), pa.array(turn[out].astype(np.int32)), uuid.take(pa.array(out)).cast(pa.string()), pa.array(roles[out], pa.string())]
-    return pa.table(columns, names=["session_id", "turn_no", "uuid", "msg_role"])
+    yield pa.table(columns, names=["session_id", "turn_no", "uuid", "msg_role"])
 
 
 def _large_conversations(parts: DataFrame) -> DataFrame:
@@ -187,8 +191,8 @@ def _large_conversations(parts: DataFrame) -> DataFrame:
     trees = cut_lineage(labelled.join(whole, F.col("scope") == F.col("kept"), "left_semi").drop("component", "opens"), "trees")
 
     order = F.struct(F.coalesce("ts", F.lit(float("-inf"))).alias("ts"))
-    placed = contract(trees.select("node", "parent", order.alias("value")), paths=False, fold=True)
-    with_place = cut_lineage(trees.join(placed.withColumnRenamed("node", "at"), F.col("node") == F.col("at")).select("scope", "node", "uuid", "parent", "role", "blank", "root", "depth", F.col("largest.ts").alias("latest")), "placed")
+    placed = contract(trees.select("node", "parent", order.alias("value")), paths=False, fold="max")
+    with_place = cut_lineage(trees.join(placed.withColumnRenamed("node", "at"), F.col("node") == F.col("at")).select("scope", "node", "uuid", "parent", "role", "blank", "root", "depth", F.col("folded.ts").alias("latest")), "placed")
     chain = _chain(with_place)
     return _validated(chain).select(F.col("scope").alias("session_id"), F.col("turn_no").cast("int").alias("turn_no"), "uuid", F.col("role").alias("msg_role"))
 

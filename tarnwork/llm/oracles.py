@@ -34,3 +34,4 @@ SELECT block_id FROM note_blocks
 WHERE coalesce(list_sum(list_transform(regexp_extract_all(block_text, '[\p{{L}}\p{{N}}_]+'), lambda x: CAST(ceil(length(x) / 6.0) AS BIGINT))), 0)
       + length(regexp_replace(block_text, '[\p{{L}}\p{{N}}_{_BLANK}]', '', 'g')) > 320""",
 }
+ORACLES["p2_rounds"] = ORACLES["p2_found"]

@@ -18,6 +18,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations(table(spark, sf_dir, "sdk_review"))
 
 
+def p2_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`p2_found` with every conversation treated by distributed star joins and contraction."""
+    return conversations(table(spark, sf_dir, "sdk_review"), limit=0)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal items in the text fields of transcripts."""
     return find_personal(table(spark, sf_dir, "transcript_lines"))
@@ -58,4 +63,4 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_composition(*(table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subjects")))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_masked": p3_masked, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found, "p8_composition": p8_composition}
+QUERIES = {"p2_found": p2_found, "p2_rounds": p2_rounds, "p3_found": p3_found, "p3_masked": p3_masked, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found, "p8_composition": p8_composition}
