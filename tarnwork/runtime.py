@@ -69,6 +69,11 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
         out.close()
 
 
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """A small file's content, through the file system that Spark sees."""
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """Table `name` of a directory that holds one parquet file or folder per table."""
     ship(spark)
