@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from tarnwork.llm import splitting
 from tarnwork.llm.packing import Capacities, pack, plan
-from tarnwork.llm.subjects import assign_subjects, batch_terms, corpus_composition, document_words, fit, sentences, topic_terms
+from tarnwork.llm.subjects import Model, assign_subjects, bucket_of, composition, fit, proportions, sentences, terms_of, topic_terms
 from tarnwork.llm.tokens import DEFAULT_RANKS, codec, encode_corpus, halves, token_counts
 
 needs_ranks = pytest.mark.skipif(not os.path.exists(DEFAULT_RANKS), reason="no rank file here")
@@ -172,7 +172,7 @@ def corpus():
     return docs, labels, truth
 
 
-def test_subjects(spark):
+def test_subjects(spark, tmp_path):
     docs, labels, truth = corpus()
     d = spark.createDataFrame(docs, "doc_id long, text string")
     lab = spark.createDataFrame(labels, "doc_id long, subject string, labelled_by string")
@@ -183,12 +183,16 @@ def test_subjects(spark):
     right = sum(got.get(k, set()) == truth[k] for k in truth)
     assert right / len(truth) > 0.95
     assert not set(got) & {900, 901, 902}
-    model, _ = fit(d, lab, sub)
-    assert any(w in t for t in topic_terms(model)["botany"] for w in WORDS["botany"])
-    shares = {r["subject"]: r["corpus_share"] for r in corpus_composition(d, lab, sub).collect()}
+    model, coded = fit(d, lab, sub)
+    terms = topic_terms(d, model).filter("subject = 'botany'").collect()
+    assert terms and all(r["language"] == "en" and r["term"] in WORDS["botany"] for r in terms if r["place"] <= 3)
+    model.save(spark, f"file://{tmp_path}/model")
+    again = composition(proportions(coded, Model.load(spark, f"file://{tmp_path}/model")))
+    shares = {r["subject"]: r["corpus_share"] for r in again.collect()}
     assert abs(sum(shares.values()) - 1) < 1e-9 and set(shares) == {"botany", "sailing"}
     assert assign_subjects(d.limit(0), lab, sub).count() == 0
     assert assign_subjects(d, lab.limit(0), sub).count() == 0
+    assert assign_subjects(d, lab, sub.limit(0)).count() == 0
 
 
 def test_single_short_sentences(spark):
@@ -202,34 +206,61 @@ def test_single_short_sentences(spark):
     assert got == {(1000, "botany"), (1001, "sailing")}
 
 
-def test_topics_follow_their_top_terms():
-    """A topic that has drifted off its subject is tied to the one whose labelled documents hold its top terms."""
+def test_topics_are_read_by_their_top_terms():
+    """Labels name topics and don't make them: the same topics stand for other subjects under other labels."""
     import numpy as np
 
-    from tarnwork.llm.subjects import Model, mapped
+    from tarnwork.llm.subjects import Topics, mapped
 
-    number = {"en\x1fstamen": 0, "en\x1fkeel": 1, "en\x1fnew": 2}
-    labelled = np.array([[9.0, 0, 0], [0, 5, 0], [0, 0, 0]])
-    drifted = np.array([[-2.0, 2, 0], [2, -2, 0], [1, 0, 0]])
-    counts = np.array([[0.0, 7, 0], [8, 0, 0], [1, 0, 0]])
-    assert mapped(Model(["botany", "sailing", None], number, drifted), counts, labelled) == ["sailing", "botany", None]
-    assert mapped(Model(["botany", "sailing", None], number, -drifted), counts[:, [1, 0, 2]], labelled) == ["botany", "sailing", None]
-    unseen = np.array([[0.0, 0, 0], [0, 2, 0], [2, 0, 0]])
-    assert mapped(Model(["botany", "sailing", None], number, unseen), np.ones((3, 3)), labelled) == ["botany", "sailing", None]
+    topics = Topics(np.array([3, 5, 9]), np.array([[1.0, 9, 0, 0], [1, 0, 9, 0], [9, 1, 1, 3]]))
+    labelled = np.array([[4.0, 0], [0, 4], [2, 2]])
+    assert mapped(topics, Topics(np.array([3, 5, 9]), labelled)).tolist() == [-1, 0, 1, -1]
+    assert mapped(topics, Topics(np.array([3, 5, 9]), labelled[:, ::-1])).tolist() == [-1, 1, 0, -1]
+    assert mapped(topics, Topics(np.array([70]), np.array([[1.0, 0]]))).tolist() == [-1, -1, -1, -1]
+    assert mapped(topics, Topics(np.zeros(0, np.int64), np.zeros((0, 2)))).tolist() == [-1, -1, -1, -1]
 
 
-def test_sentences():
-    text = "# Head\n\nOne here. Two there?\n- item one\n| a | b |\n| --- | --- |\n```py\ncode here.\n```\n<b>Bold</b> one.\n---\n```\nunclosed stays."
-    assert sentences(text) == ["One here.", "Two there?", "item one", "| a | b |", "Bold  one.", "unclosed stays."]
-    assert document_words("") == ([], [])
-    assert document_words("Der Hund ist hier. Ok.") == ([("der", "hund", "ist", "hier"), ("ok",)], [1, 1])
+def test_inference_is_variational_bayes():
+    """The matrix form against the plain update of every word of every document."""
+    import math
+
+    import numpy as np
 
+    from tarnwork.llm import subjects
+
+    dice = np.random.default_rng(5)
+    weights = dice.random((subjects.BUCKETS, 4), np.float32)
+    doc = np.sort(dice.integers(0, 6, 80))
+    bucket = dice.integers(0, 30, 80)
+    sums = np.zeros((subjects.BUCKETS, 4), np.float32)
+    got = subjects.infer(doc, bucket, 6, weights, rounds=3, sums=sums)
+    digamma = lambda x: (math.lgamma(x + 1e-5) - math.lgamma(x - 1e-5)) / 2e-5
+    alpha, counted = [subjects.GENERAL] + [subjects.ALPHA] * 3, np.zeros((subjects.BUCKETS, 4))
+    for d in range(6):
+        words = bucket[doc == d]
+        gamma = [a + len(words) / 4 for a in alpha]
+        for turn in range(4):
+            shares = [[math.exp(digamma(gamma[k])) * float(weights[w, k]) for k in range(4)] for w in words]
+            shares = [[x / sum(r) for x in r] for r in shares]
+            if turn < 3:
+                gamma = [alpha[k] + sum(r[k] for r in shares) for k in range(4)]
+        np.add.at(counted, words, shares)
+        assert np.allclose(got[d], gamma, rtol=1e-3)
+    assert np.allclose(sums, counted, atol=1e-2)
 
-def test_batch_terms():
-    import pyarrow as pa
 
-    batch = pa.RecordBatch.from_pydict({"lengths": [[2, 1], [], [3]], "marks": [[0, 1], [], [0]], "words": [["a", "b", "a"], [], ["a", "b", "c"]]})
-    t = batch_terms(batch)
-    got = sorted((int(t.doc[s]), int(s), t.names[k]) for s, k in zip(t.sentence, t.term))
-    mark = lambda lang, text: f"{lang}\x1f{text}"
-    assert got == sorted([(0, 0, mark("en", "a")), (0, 0, mark("en", "b")), (0, 0, mark("en", "a b")), (0, 1, mark("de", "a")), (2, 2, mark("en", "a")), (2, 2, mark("en", "b")), (2, 2, mark("en", "c")), (2, 2, mark("en", "a b")), (2, 2, mark("en", "b c"))])
+def test_sentences():
+    text = "# Head\n\nOne here. Two there?\n- item one\n| a | b |\n| --- | --- |\n```py\ncode here.\n```\n<b>Bold</b> one.\n---\n```\nunclosed stays."
+    assert sentences(text) == ["One here.", "Two there?", "item one", "| a | b |", "Bold  one.", "unclosed stays."]
+    assert sentences("") == []
+
+
+def test_terms():
+    """Words as a plain reading of them, by document, sentence and language; a text beyond a chunk reads the same."""
+    t = terms_of(["Der Hund ist hier. Ok.", "", "The dog\u00ad and the DOG, naïve l'eau"])
+    assert t.doc.tolist() == [0, 0, 2] and t.language.tolist() == [1, 1, 0]
+    assert t.sentence.tolist() == [0, 0, 1, 2, 2, 2, 2] and t.bucket.tolist() == bucket_of(["hund", "hier", "ok", "dog", "dog", "naïve", "eau"]).tolist()
+    assert terms_of([]).bucket.tolist() == [] and terms_of(["", "#"]).doc.tolist() == []
+    long = "A word here. " * 400_000
+    t = terms_of([long])
+    assert len(t.doc) == 400_000 and len(t.bucket) == 800_000 and len(set(t.bucket.tolist())) == 2
