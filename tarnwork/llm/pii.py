@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame
 
 from tarnwork.functions.json_index import ARR, OBJ, STRING, JsonIndex, index
 from tarnwork.llm.pii_field import Field
-from tarnwork.llm.pii_lexer import candidates
 from tarnwork.llm.pii_training import trained
 from tarnwork.operators.nested import unwrap_twice_encoded
+from tarnwork.runtime import arrow_map
 
+#: Characters of texts whose candidates make one graph, and rows that are read at a time.
+PORTION, ROWS = 1 << 20, 2000
 #: Placeholder of each kind.
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "street_address": "[ADDRESS]", "person_name": "[NAME]"}
 
@@ -62,6 +64,20 @@ def _fields(batch: pa.RecordBatch) -> tuple[list[int], list[str], list[str]]:
     return [ids[r] for r in rows + more[0]], paths + more[1], texts + more[2]
 
 
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str], list[str]]]:
+    """Fields of the batches by portions of bounded text, each of which makes one graph; a longer text is one alone."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            ids, paths, texts = _fields(batch.slice(at, ROWS))
+            begin = size = 0
+            for k, text in enumerate(texts):
+                if k > begin and size + len(text) > PORTION:
+                    yield ids[begin:k], paths[begin:k], texts[begin:k]
+                    begin, size = k, 0
+                size += len(text)
+            yield ids[begin:], paths[begin:], texts[begin:]
+
+
 def _narrow(df: DataFrame) -> DataFrame:
     return df.selectExpr("CAST(line_id AS bigint) AS line_id", "CAST(message AS string) AS message", "CAST(tool_use_result AS string) AS tool_use_result")
 
@@ -77,18 +93,17 @@ def find_personal(df: DataFrame, *, field: Field | None = None) -> DataFrame:
     schema = pa.schema([("line_id", pa.int64()), ("field_path", pa.string()), ("pii_kind", pa.string()), ("found_text", pa.string())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, paths, texts = _fields(batch)
-            items = model.decide(texts, [candidates(t) for t in texts])
+        for ids, paths, texts in _portions(batches):
+            items = model.find(texts)
             rows = [(i, p, k, t) for i, p, text, found in zip(ids, paths, texts, items) for k, t in dict.fromkeys((kind, text[c.start : c.end]) for c, kind in found)]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], schema.field(j).type) for j in range(4)], schema=schema)
 
-    return _narrow(df).mapInArrow(scan, "line_id bigint, field_path string, pii_kind string, found_text string")
+    return arrow_map(_narrow(df), scan, "line_id bigint, field_path string, pii_kind string, found_text string")
 
 
 def mask_text(text: str, model: Field) -> str:
     """`text` with a placeholder of its kind in place of each item, all else unchanged."""
-    (found,) = model.decide([text], [candidates(text)])
+    (found,) = model.find([text])
     return _masked(text, found)
 
 
@@ -109,9 +124,8 @@ def mask_personal(df: DataFrame, *, field: Field | None = None) -> DataFrame:
     schema = pa.schema([("line_id", pa.int64()), ("field_path", pa.string()), ("masked_text", pa.string()), ("n_items", pa.int32())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, paths, texts = _fields(batch)
-            items = model.decide(texts, [candidates(t) for t in texts])
+        for ids, paths, texts in _portions(batches):
+            items = model.find(texts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(paths, pa.string()), pa.array([_masked(t, f) for t, f in zip(texts, items)], pa.string()), pa.array([len(f) for f in items], pa.int32())], schema=schema)
 
-    return _narrow(df).mapInArrow(scan, "line_id bigint, field_path string, masked_text string, n_items int")
+    return arrow_map(_narrow(df), scan, "line_id bigint, field_path string, masked_text string, n_items int")

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from tarnwork.llm import pii_lexicon as L
-from tarnwork.llm.pii_lexer import ADDRESS, EMAIL, NAME, NUMBER, Candidate, fold, is_given
+from tarnwork.llm.pii_lexer import ADDRESS, EMAIL, NAME, NUMBER, Candidate, candidates, fold, is_given, is_object
 
 LABELS = ["O", "email", "phone", "id_number", "street_address", "person_name"]
 ADMITS = np.zeros((4, 6), bool)
@@ -33,7 +33,15 @@ _FIRST_WORD = re.compile(r"^[^\w\n]*([^\W\d_]+)")
 _GROUPS = re.compile(r"\d+")
 
 
-def _number(text: str, c: Candidate, out: list[str]) -> None:
+@dataclass(frozen=True)
+class Known:
+    """What features of a text's candidates look up: whether it labels a number of a person, and ordinary words."""
+
+    labelled: bool
+    common: frozenset[str]
+
+
+def _number(text: str, c: Candidate, out: list[str], known: Known) -> None:
     raw = text[c.start : c.end]
     before, after = text[max(0, c.start - 40) : c.start], text[c.end : c.end + 40]
     line = before.rpartition("\n")[2]
@@ -60,7 +68,7 @@ def _number(text: str, c: Candidate, out: list[str]) -> None:
     if near or close:
         out.append("n:idlabel")
         out.append(f"n:idlabel,letters={bool(letters)}")
-    elif _ID_BEFORE.search(text):
+    elif known.labelled:
         out.append("n:idlabel_doc")
         out.append(f"n:idlabel_doc,shape={shape}")
     else:
@@ -73,7 +81,7 @@ def _number(text: str, c: Candidate, out: list[str]) -> None:
         out.append("n:next=" + fold(m[1]))
 
 
-def _email(text: str, c: Candidate, out: list[str]) -> None:
+def _email(text: str, c: Candidate, out: list[str], known: Known) -> None:
     raw = text[c.start : c.end]
     after = text[c.end : c.end + 2]
     domain = re.split(r"@|＠|%40|&#64;|[\])}>]| (?:at|AT|arroba|arobase) ", raw, maxsplit=1)[-1]
@@ -90,7 +98,7 @@ def _email(text: str, c: Candidate, out: list[str]) -> None:
         out.append("e:spelled")
 
 
-def _address(text: str, c: Candidate, out: list[str]) -> None:
+def _address(text: str, c: Candidate, out: list[str], known: Known) -> None:
     raw = text[c.start : c.end]
     out.append(f"a:post={bool(re.search(r'[0-9]{4,5}', raw[4:]))}")
     out.append(f"a:tail={raw.count(',') + raw.count(chr(10)) > 0}")
@@ -100,7 +108,7 @@ def _address(text: str, c: Candidate, out: list[str]) -> None:
         out.append("a:next=" + fold(m[1]))
 
 
-def _name(text: str, c: Candidate, out: list[str]) -> None:
+def _name(text: str, c: Candidate, out: list[str], known: Known) -> None:
     raw = text[c.start : c.end]
     words = raw.replace(",", " ").split()
     first, last = words[0], words[-1]
@@ -118,6 +126,10 @@ def _name(text: str, c: Candidate, out: list[str]) -> None:
     out += [f"p:given={kind_g}{'+code' if both else ''}", f"p:family={kind_f}", f"p:both={kind_g},{kind_f}", f"p:words={min(len(words), 4)}"]
     if _ID_BEFORE.search(raw) or _PHONE_BEFORE.search(raw):
         out.append("p:label")
+    plain = "".join(str(int(w.lower() in known.common)) for w in (given, family))
+    out += [f"p:common={plain}", f"p:common={plain},{kind_g},{kind_f}", f"p:common={plain},lower={raw.islower()}"]
+    if is_object(raw):
+        out += ["p:object", f"p:object,{kind_g}", f"p:object,lower={raw.islower()}"]
     if raw.isupper():
         out.append("p:upper")
     if raw.islower():
@@ -153,15 +165,17 @@ class Graph:
     left: list[int] = field(default_factory=list)
     right: list[int] = field(default_factory=list)
     kind: list[int] = field(default_factory=list)
+    common: frozenset[str] = frozenset()
 
     def add(self, text: str, found: list[Candidate], known: dict[str, int], grow: bool = False) -> None:
         base = len(self.sort)
+        about = Known(any(c.sort == NUMBER for c in found) and _ID_BEFORE.search(text) is not None, self.common)
         same: dict[str, int] = {}
         word: dict[str, int] = {}
         for k, c in enumerate(found):
             node = base + k
             names = [f"b:{c.sort}"]
-            _FEATURES[c.sort](text, c, names)
+            _FEATURES[c.sort](text, c, names, about)
             for name in names:
                 at = known.setdefault(name, len(known)) if grow else known.get(name)
                 if at is not None:
@@ -195,6 +209,7 @@ class Field:
     known: dict[str, int]
     node: np.ndarray
     edge: np.ndarray
+    common: frozenset[str] = frozenset()
 
     def potentials(self, graph: Graph) -> np.ndarray:
         n = len(graph.sort)
@@ -224,9 +239,13 @@ class Field:
         p = np.exp(unary)
         return p / p.sum(1, keepdims=True)
 
+    def find(self, texts: list[str]) -> list[list[tuple[Candidate, str]]]:
+        """Personal items of each text."""
+        return self.decide(texts, [candidates(t, self.common) for t in texts])
+
     def decide(self, texts: list[str], found: list[list[Candidate]]) -> list[list[tuple[Candidate, str]]]:
         """Personal items of each text, from one propagation over all."""
-        graph = Graph()
+        graph = Graph(common=self.common)
         for text, cs in zip(texts, found):
             graph.add(text, cs, self.known)
         out: list[list[tuple[Candidate, str]]] = []
@@ -243,17 +262,21 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis)) + top.squeeze(axis)
 
 
-def fit(texts: list[str], found: list[list[Candidate]], gold: list[list[int]], *, passes: int = 150, rate: float = 0.3, decay: float = 2e-4) -> Field:
+def fit(texts: list[str], found: list[list[Candidate]], gold: list[list[int]], *, common: frozenset[str] = frozenset(), passes: int = 150, rate: float = 0.3, decay: float = 2e-4) -> Field:
     """Weights that maximise the pseudo-likelihood of gold labels (each node given its neighbours' labels)."""
     known: dict[str, int] = {}
-    graph = Graph()
+    graph = Graph(common=common)
     for text, cs in zip(texts, found):
         graph.add(text, cs, known, grow=True)
     y = np.array([v for row in gold for v in row])
     feature, owner = np.asarray(graph.feature), np.asarray(graph.owner)
+    # Words beside a name are left out half the time, so that no decision rests on words seen in training alone.
+    beside = np.array([name.startswith(("p:prev=", "p:next=")) for name in known])
+    kept = ~beside[feature] | (np.random.default_rng(3).random(len(feature)) < 0.5)
+    feature, owner = feature[kept], owner[kept]
     a, b, kind = np.asarray(graph.left, int), np.asarray(graph.right, int), np.asarray(graph.kind, int)
     mask = ADMITS[np.asarray(graph.sort)]
-    model = Field(known, np.zeros((len(known), 6)), np.zeros((4, 6, 6)))
+    model = Field(known, np.zeros((len(known), 6)), np.zeros((4, 6, 6)), common)
     sums = [np.full_like(model.node, 1e-6), np.full_like(model.edge, 1e-6)]
     n = len(y)
     one = np.eye(6)[y]

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 from typing import NamedTuple
 
 from tarnwork.llm import pii_lexicon as L
@@ -31,7 +33,7 @@ _SPOKEN = re.compile(rf"(?<![\w.+%-])[\w.+%-]+ (?:at|AT|arroba|arobase) {_LABEL}
 
 _NUMBER = re.compile(
     r"(?<![\w.@#$€£/+*-])(?<!\d[ ,:])"
-    r"(?:\+ ?|00)?(?:\(\+?\d{1,5}\) ?|\d+)(?:(?: ?[-/‐-―] ?|[ . ])?(?:\(\d{1,5}\)[ .\-/]{0,2})?\d+)*"
+    r"(?:\+ ?|00)?(?:\(\+?\d{1,5}\) ?|\d++)(?:(?:(?: ?[-/‐-―] ?|[ . ])(?:\(\d{1,5}\)[ .\-/]{0,2})?|\(\d{1,5}\)[ .\-/]{0,2}|(?<=\)) ?)\d++)*"
     r"(?:(?:,? ?(?:ext|Ext|EXT|Durchwahl|poste|extensión|extension)\.? ?|,? ?x ?)\d{1,6})?(?![\w@]|-\w)"
 )
 _CODE = re.compile(r"(?<![\w/.-])(?:[A-Z]{1,3}-?\d{6,10}[A-Z]?|[A-Z]\d{2}[A-Z]{2}\d{4,6}|[A-Z]\d[A-Z0-9]{5,9}\d|[XYZ]-?\d{7}-?[A-Z]|\d{7,8}-?[A-Z]|\d{2} ?[A-Z]{2} ?\d{5}|[A-CEGHJ-PR-TW-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D])(?![\w/-])")
@@ -40,13 +42,13 @@ _DATE = re.compile(r"(?:19|20)\d\d-\d\d-\d\d$|\d{1,3}(?:\.\d{1,3}){3}$|(?:19|20)
 
 _CAP = r"[^\W\d_a-zà-öø-ÿ]\w*(?:['’]\w+)*(?:-\w+(?:['’]\w+)*)*"
 _LINK = r"(?:am|an der|an|auf der|auf|bei|im|in|sur|sous|la|le|les|lès|de la|de los|de las|del|de|du|des|der|den|en|et|y)"
-_TOWN = rf"{_CAP}(?:[ -](?:{_LINK}[ -])*{_CAP})*"
+_TOWN = rf"{_CAP}(?:[ -](?:{_LINK}[ -]){{0,3}}{_CAP}){{0,6}}"
 _UNIT = r"(?:(?:Apt|Apartment|Unit|Flat|Suite|Ste|Room|Rm|Floor|Fl|Wohnung|Whg|App|Appt|Apto|Bât|Bâtiment)\.? ?#?\w{1,6}|#\s?\w{1,6}|bajo|ático|entlo\.?|\d{1,2}\.?[ºª°](?: ?(?:[A-Z]\b|izq\.?|dcha\.?))?|\d{1,2}(?:st|nd|rd|th) [Ff]loor)"
 _POST = r"(?:[A-Z]{2},? \d{5}(?:-\d{4})?|\d{5}|[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2})"
 _SEP = r"(?:, ?|,?[ \t]*\r?\n[ \t]*| )"
 _HEADS = [
     rf"(?<![\w.,/#-])\d{{1,5}}[a-zA-Z]?(?: 1/2)? (?:St\. )?(?:{_CAP} ){{1,4}}?(?:{L.STREET_EN})\b(?:\.(?=,))?(?: (?:N|S|E|W|NE|NW|SE|SW|North|South|East|West)\b)?",
-    rf"(?:(?<![\w-]){_CAP}(?:[ -]{_CAP})*?[ -]?(?:{L.STREET_DE}|(?:Straße|Strasse|Str\.|Gasse|Platz|Weg|Allee|Damm|Ufer|Ring)) ?\d{{1,4}} ?[a-z]?\b)",
+    rf"(?:(?<![\w-]){_CAP}(?:[ -]{_CAP}){{0,5}}?[ -]?(?:{L.STREET_DE}|(?:Straße|Strasse|Str\.|Gasse|Platz|Weg|Allee|Damm|Ufer|Ring)) ?\d{{1,4}} ?[a-z]?\b)",
     rf"(?<![\w-])(?:{L.STREET_DE_OPEN}) (?:{_CAP} )?{_CAP} \d{{1,4}} ?[a-z]?(?![\w.])",
     rf"(?<![\w.,/#-])\d{{1,4}}(?: ?(?:bis|ter|quater|[a-dA-D]))?,? (?:{L.STREET_FR}) (?:(?:de la|de l['’]|des|du|de|d['’]|la|le|les|l['’]) ?)*{_CAP}(?:[ -](?:(?:de la|des|du|de|et|la|le) )?{_CAP})*",
     rf"(?<![\w-])(?:{L.STREET_ES}) ?(?:(?:de las|de los|de la|del|de|la|las|los|el) )*{_CAP}(?:[ -](?:(?:de la|de los|de las|del|de|y) )?{_CAP})*,? (?:n[.ºo°]+ ?)?\d{{1,4}}(?: ?(?:bis|[a-zA-Z]))?(?![\w])",
@@ -61,8 +63,8 @@ _WORD = r"(?:[^\W\d_]['’])?[^\W\d_][^\W\d_]*(?:['’][^\W\d_]{2,})*(?:-[^\W\d_
 _PARTICLE = "|".join(sorted((p.replace(".", r"\.").replace(" ", " +") for p in L.PARTICLES), key=len, reverse=True))
 _UP = r"(?=[^\W\d_a-zß-öø-ÿ])"
 _RUN = re.compile(
-    rf"(?<![\w/.~#-])(?<!\w@)(?<!\\)(?:(?:(?i:{_PARTICLE}) +)*{_UP}{_WORD},[ \t]+{_UP}(?:{_WORD}\b(?!\.\w)|[^\W\d_]\.)(?:[ \t]+{_UP}[^\W\d_]\.)*"
-    rf"|(?:{_UP}(?:[^\W\d_]\.[ \t]?|{_WORD}[ \t]+))+(?:(?:(?i:{_PARTICLE})[ \t]+)*{_UP}(?:{_WORD})))"
+    rf"(?<![\w/.~#-])(?<!\w@)(?<!\\)(?:(?:(?i:{_PARTICLE}) +){{0,4}}{_UP}{_WORD},[ \t]+{_UP}(?:{_WORD}\b(?!\.\w)|[^\W\d_]\.)(?:[ \t]+{_UP}[^\W\d_]\.)*"
+    rf"|(?:{_UP}(?:[^\W\d_]\.[ \t]?|{_WORD}[ \t]+)){{1,8}}(?:(?:(?i:{_PARTICLE})[ \t]+){{0,4}}{_UP}(?:{_WORD})))"
 )
 _TOKEN = re.compile(rf"[^\W\d_]\.|{_WORD}")
 # Lower-case names. A word or initial of a name, the sign between two of them, and a run of those.
@@ -82,9 +84,9 @@ def is_given(word: str) -> bool:
     return head in L.GIVEN
 
 
-def candidates(text: str) -> list[Candidate]:
+def candidates(text: str, common: frozenset[str] = frozenset()) -> list[Candidate]:
     """Candidates in order of position. Of overlapping ones e-mail wins over address, address over number,
-    number over name."""
+    number over name. A word of `common` (ordinary words in lower case) that opens a sentence begins no name."""
     found: list[Candidate] = []
     if "@" in text or "＠" in text or "%40" in text or "&#64;" in text or "at" in text or "AT" in text or "(a" in text or "[a" in text:
         if _HAS_AT.search(text):
@@ -96,19 +98,23 @@ def candidates(text: str) -> list[Candidate]:
         taken = _add(taken, (Candidate(m.start(), _tail(text, m.end()), ADDRESS) for m in _HEAD.finditer(text)))
         taken = _add(taken, (Candidate(m.start(), m.end(), NUMBER) for m in _NUMBER.finditer(text) if m.end() - m.start() >= 8 and len(_DIGITS.findall(m[0])) >= 8 and not _DATE.match(m[0])))
         taken = _add(taken, (Candidate(m.start(), m.end(), NUMBER) for m in _CODE.finditer(text)))
-    return _add(taken, _names(text))
+    return _add(taken, _names(text, common))
 
 
 _HAS_AT = re.compile(r"@|＠|%40|&#64;|[\[({<]\s?(?:at|AT|At|a|ät|arroba|arobase)\s?[\])}>]| (?:at|AT|arroba|arobase) [\w-]+ (?:dot|DOT|punkt|point|punto) ")
 
 
-def _add(taken: list[Candidate], more) -> list[Candidate]:
-    extra = [c for c in more if not any(c.start < t.end and t.start < c.end for t in taken)]
-    out: list[Candidate] = []
-    for c in sorted(extra):
-        if not out or c.start >= out[-1].end:
+def _add(taken: list[Candidate], more: Iterable[Candidate]) -> list[Candidate]:
+    """`taken` (in order) and those of `more` that overlap none of them nor each other, the first first."""
+    out, k, end = list(taken), 0, -1
+    reach = list(accumulate((t.end for t in taken), max))  # taken ones may overlap among themselves
+    for c in sorted(more):
+        while k < len(taken) and taken[k].start < c.end:
+            k += 1
+        if c.start >= end and (not k or reach[k - 1] <= c.start):
             out.append(c)
-    return sorted(taken + out)
+            end = c.end
+    return sorted(out)
 
 
 def _tail(text: str, at: int) -> int:
@@ -136,24 +142,23 @@ def _sentence(tail: str) -> bool:
     return bool(words) and (fold(words[0]) in L.STARTERS or is_given(words[0])) or any(fold(w) in L.STARTERS and w[0].isupper() for w in words[1:3] if len(w) > 2)
 
 
-def _names(text: str):
+def _names(text: str, common: frozenset[str]) -> Iterator[Candidate]:
     at = 0
     while m := _RUN.search(text, at):
         at = m.end()
-        spans = _split_run(text, m.start(), m.end())
+        spans = _split_run(text, m.start(), m.end(), common)
         if not spans:
             # Look again behind the first word, as a later word may begin a name.
             first = _TOKEN.search(text, m.start())
             at = max(first.end() if first else m.end(), m.start() + 1)
             continue
         for a, b in spans:
-            if not _object(text[a:b]):
-                yield Candidate(a, b, NAME)
+            yield Candidate(a, b, NAME)
         at = max(spans[-1][1], m.start() + 1)
     yield from _lower_names(text)
 
 
-def _lower_names(text: str):
+def _lower_names(text: str) -> Iterator[Candidate]:
     """Lower-case names: a given name of the list (whatever its accents) or an initial with a family name, in
     either order, and else any two neighbouring words that aren't function words."""
     for m in _LOWER_RUN.finditer(text):
@@ -166,7 +171,7 @@ def _lower_names(text: str):
         while k < len(parts):
             # First what holds a known given name or an initial.
             end = _lower_known(parts, kinds, k)
-            if end and not _object(text[parts[k][0] : parts[end - 1][1]]):
+            if end:
                 yield Candidate(parts[k][0], parts[end - 1][1], NAME)
                 free[k:end] = [False] * (end - k)
                 k = end
@@ -174,7 +179,7 @@ def _lower_names(text: str):
                 k += 1
         k = 0
         while k + 1 < len(parts):
-            if free[k] and free[k + 1] and kinds[k] == kinds[k + 1] == "word" and not parts[k][3] and not _object(f"{parts[k][2]} {parts[k + 1][2]}"):
+            if free[k] and free[k + 1] and kinds[k] == kinds[k + 1] == "word" and not parts[k][3]:
                 yield Candidate(parts[k][0], parts[k + 1][1], NAME)
                 k += 1
             k += 1
@@ -203,7 +208,8 @@ def _lower_known(parts: list[tuple[int, int, str, bool]], kinds: list[str], k: i
     n = len(parts)
 
     def family(at: int) -> int:
-        while at < n and kinds[at] == "particle" and not parts[at][3]:
+        last = min(at + 4, n)  # no name has more particles
+        while at < last and kinds[at] == "particle" and not parts[at][3]:
             at += 1
         return at + 1 if at < n and kinds[at] in ("word", "given") else 0
 
@@ -229,7 +235,7 @@ def _lower_known(parts: list[tuple[int, int, str, bool]], kinds: list[str], k: i
     return 0
 
 
-def _object(name: str) -> bool:
+def is_object(name: str) -> bool:
     """Whether a name-like span is a day, a label of a number, or ends in a common noun that isn't in use as a
     family name."""
     last = fold(name.split(",")[0].split()[-1])
@@ -243,7 +249,10 @@ _PARTICLE_HEADS = {p.split()[0].strip(".") for p in L.PARTICLES}
 _HONORIFICS = (L.TITLES | L.STARTERS) - set(L.PARTICLES)
 
 
-def _split_run(text: str, start: int, end: int) -> list[tuple[int, int]]:
+_OPENS = re.compile(r"(?:^|[.!?:;\n\r][\s\"'“‘(*-]*)$")
+
+
+def _split_run(text: str, start: int, end: int, common: frozenset[str]) -> list[tuple[int, int]]:
     """The name-like part of a run of capitalised words: titles and sentence openers are left out in front,
     and with a known given name or initial the name begins there."""
     run = text[start:end].rstrip()
@@ -270,6 +279,12 @@ def _split_run(text: str, start: int, end: int) -> list[tuple[int, int]]:
                 continue  # an initial after an unknown given name
             tokens = tokens[k:]
             break
+    known = any(is_given(t[2]) for t in tokens)
+    plain = [t for t in tokens if t[2][0].isupper() and not t[2].endswith(".")]
+    if len(tokens) > 2 and plain and plain[0] == tokens[0] and _OPENS.search(text[max(0, tokens[0][0] - 40) : tokens[0][0]]):
+        # What opens a sentence before two more parts of a name is rather no name: an ordinary word, or one of three.
+        if tokens[0][2].lower() in common and not is_given(tokens[0][2]) or len(plain) > 2 and not known:
+            tokens = tokens[1:]
     # A name ends with the first family word behind the given names, initials and particles.
     out = []
     for k, t in enumerate(tokens):

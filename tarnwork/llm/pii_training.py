@@ -6,14 +6,19 @@ of the sentences hold look-alikes: versions, tickets, dates, job numbers, remote
 
 from __future__ import annotations
 
+import base64
+import os
 import random
 from functools import lru_cache
 
 from tarnwork.llm import pii_lexicon as L
 from tarnwork.llm.pii_field import LABELS, Field, fit
 from tarnwork.llm.pii_lexer import candidates
+from tarnwork.llm.tokens import DEFAULT_RANKS
 
-SIZE = 3000
+SIZE = 4000
+#: A vocabulary of many languages.
+MANY_LANGUAGES = DEFAULT_RANKS.replace("byte_bpe_50k", "byte_bpe_multi_50k")
 _SYLLABLES = "bar bel cor dan del dor eck fan gal gar hal han hol kar kel lan lor mar mel mon nor ost pel qui ran ros sel sor tal tor ul van ver wal wen yar zel".split()
 _PLAIN = "loader export import renderer brief retrieval floor parser cache planner query build table column second nightly slow fast wants fewer more rows still needs runs keeps reads every value test tests wrong right empty long short left over twice again schnell langsam deutlich neue alte Zeilen läuft wieder schon fertig leer nouvelle vieille ligne lignes vide toujours encore lente prête nueva vieja línea tabla vacía siempre lenta lista sigue release names left review notes items fails failed waits counts".split()
 _ENDS = "berg bury by dale dorf er feld ford gaard holm ier in ini is ley man mann mere moor nen o off ova quist ridge sen ska son stad stein strand ton vic ville worth".split()
@@ -41,8 +46,8 @@ class Maker:
         return r.choice(("", "", "", "", "", "O'", "Mac", "Mc", "Ö", "Sz")) + word if r.random() < 0.2 else word
 
     def given(self) -> str:
-        if self.r.random() < 0.12:
-            return self.r.choice(_SYLLABLES).capitalize() + self.r.choice(("a", "o", "is", "ine", "el", "ya", "en"))
+        if self.r.random() < 0.35:
+            return (self.pick("", "", self.r.choice(_SYLLABLES)) + self.r.choice(_SYLLABLES) + self.r.choice(("a", "o", "is", "ine", "el", "ya", "en", "an", "us", "ka", "win"))).capitalize()
         return self.r.choice(sorted(L.GIVEN)).capitalize()
 
     def name(self) -> tuple[str, str, str]:
@@ -63,7 +68,7 @@ class Maker:
             text = f"{g} {f}".lower()
         else:
             text = f"{g} {full}"
-        return (text.lower() if r.random() < 0.12 else text), g, f
+        return (text.lower() if r.random() < 0.2 else text), g, f
 
     def prose(self) -> str:
         """Neighbouring lower-case words that name nobody."""
@@ -181,13 +186,24 @@ def sample(size: int = SIZE, seed: int = 7) -> tuple[list[str], list[list[tuple[
     return texts, spans
 
 
+def common_words(*ranks_paths: str) -> frozenset[str]:
+    """Ordinary words in lower case: those that a public tokenizer holds whole. None of files that aren't at hand."""
+    out = set()
+    for path in filter(os.path.exists, ranks_paths):
+        with open(path, "rb") as lines:
+            tokens = (base64.b64decode(line.split()[0]).decode("utf-8", "ignore") for line in lines if line.strip())
+            out |= {t[1:] for t in tokens if t[:1] == " " and len(t) > 3 and t[1:].isalpha() and t[1:].islower()}
+    return frozenset(out)
+
+
 @lru_cache(maxsize=1)
-def trained(size: int = SIZE, seed: int = 7) -> Field:
+def trained(size: int = SIZE, seed: int = 7, ranks_paths: tuple[str, ...] = (DEFAULT_RANKS, MANY_LANGUAGES)) -> Field:
     """The field fitted on `size` generated documents (a bounded sample; seconds on one core)."""
     texts, spans = sample(size, seed)
-    found = [candidates(t) for t in texts]
+    common = common_words(*ranks_paths)
+    found = [candidates(t, common) for t in texts]
     gold = []
     for cs, marks in zip(found, spans):
         by = {(a, b): k for a, b, k in marks}
         gold.append([LABELS.index(by.get((c.start, c.end), "O")) for c in cs])
-    return fit(texts, found, gold)
+    return fit(texts, found, gold, common=common)
