@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 
@@ -28,11 +29,21 @@ ROUNDS = 6
 _ID_BEFORE = re.compile("|".join(L.ID_LABELS), re.I)
 _PHONE_BEFORE = re.compile("|".join(L.PHONE_LABELS), re.I)
 _WORDS = re.compile(r"[^\W_]+")
-_LAST_WORD = re.compile(r"([^\W\d_]+)[^\w\n]*$")
 _FIRST_WORD = re.compile(r"^[^\w\n]*([^\W\d_]+)")
 _GROUPS = re.compile(r"\d+")
 
 
+def last_word(before: str) -> str:
+    """The letters that end a text, whatever signs follow them on the line or one line feed at the end."""
+    end = len(before) - before.endswith("\n")
+    while end and not (before[end - 1].isalnum() or before[end - 1] in "_\n"):
+        end -= 1
+    begin = end
+    while begin and before[begin - 1].isalpha():
+        begin -= 1
+    return before[begin:end]
+
+
 @dataclass(frozen=True)
 class Known:
     """What features of a text's candidates look up: whether it labels a number of a person, and ordinary words."""
@@ -75,8 +86,8 @@ def _number(text: str, c: Candidate, out: list[str], known: Known) -> None:
         out.append("n:noidlabel")
     if _PHONE_BEFORE.search(line[-24:]):
         out.append("n:phonelabel")
-    if m := _LAST_WORD.search(line):
-        out.append("n:prev=" + fold(m[1]))
+    if word := last_word(line):
+        out.append("n:prev=" + fold(word))
     if m := _FIRST_WORD.search(after):
         out.append("n:next=" + fold(m[1]))
 
@@ -102,14 +113,16 @@ def _address(text: str, c: Candidate, out: list[str], known: Known) -> None:
     raw = text[c.start : c.end]
     out.append(f"a:post={bool(re.search(r'[0-9]{4,5}', raw[4:]))}")
     out.append(f"a:tail={raw.count(',') + raw.count(chr(10)) > 0}")
-    if m := _LAST_WORD.search(text[max(0, c.start - 30) : c.start]):
-        out.append("a:prev=" + fold(m[1]))
+    if word := last_word(text[max(0, c.start - 30) : c.start]):
+        out.append("a:prev=" + fold(word))
     if m := _FIRST_WORD.search(text[c.end : c.end + 25]):
         out.append("a:next=" + fold(m[1]))
 
 
-def _name(text: str, c: Candidate, out: list[str], known: Known) -> None:
-    raw = text[c.start : c.end]
+@lru_cache(maxsize=1 << 16)
+def _name_itself(raw: str, common: frozenset[str]) -> tuple[str, ...]:
+    """Features of a name-like span by itself."""
+    out: list[str] = []
     words = raw.replace(",", " ").split()
     first, last = words[0], words[-1]
     if "," in raw:
@@ -126,7 +139,7 @@ def _name(text: str, c: Candidate, out: list[str], known: Known) -> None:
     out += [f"p:given={kind_g}{'+code' if both else ''}", f"p:family={kind_f}", f"p:both={kind_g},{kind_f}", f"p:words={min(len(words), 4)}"]
     if _ID_BEFORE.search(raw) or _PHONE_BEFORE.search(raw):
         out.append("p:label")
-    plain = "".join(str(int(w.lower() in known.common)) for w in (given, family))
+    plain = "".join(str(int(w.lower() in common)) for w in (given, family))
     out += [f"p:common={plain}", f"p:common={plain},{kind_g},{kind_f}", f"p:common={plain},lower={raw.islower()}"]
     if is_object(raw):
         out += ["p:object", f"p:object,{kind_g}", f"p:object,lower={raw.islower()}"]
@@ -140,11 +153,16 @@ def _name(text: str, c: Candidate, out: list[str], known: Known) -> None:
         out.append("p:particle")
     if not (family[:1].isupper() or raw.islower()) or any(ch.isdigit() for ch in raw):
         out.append("p:odd")
+    return tuple(out)
+
+
+def _name(text: str, c: Candidate, out: list[str], known: Known) -> None:
+    out += _name_itself(text[c.start : c.end], known.common)
     before, after = text[max(0, c.start - 30) : c.start], text[c.end : c.end + 20]
     out.append("p:before=" + (before[-1:] if not before[-1:].isalnum() else "x") + "|" + before[-2:-1])
     out.append("p:after=" + (after[:2] if not after[:1].isalnum() else "x"))
-    if m := _LAST_WORD.search(before):
-        w = fold(m[1])
+    if word := last_word(before):
+        w = fold(word)
         out.append("p:title" if w in L.TITLES else "p:prev=" + w)
     else:
         out.append("p:prev=^")
