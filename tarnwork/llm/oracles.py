@@ -35,3 +35,11 @@ WHERE coalesce(list_sum(list_transform(regexp_extract_all(block_text, '[\p{{L}}\
       + length(regexp_replace(block_text, '[\p{{L}}\p{{N}}_{_BLANK}]', '', 'g')) > 320""",
 }
 ORACLES["p2_rounds"] = ORACLES["p2_found"]
+
+# What the pieces and containers must hold, stated over the texts.
+ORACLES["p7_checks"] = "SELECT count(*) AS n_texts, 0 AS lost_tokens, 0 AS repeated_places, 0 AS over_tokens, 0 AS over_documents, 0 AS over_attention, 0 AS wrong_offset, true AS within_bound FROM documents WHERE text IS NOT NULL AND text <> ''"
+ORACLES["p7_token_checks"] = ORACLES["p7_checks"]
+ORACLES["p5_checks"] = rf"""
+SELECT count(*) AS n_blocks, sum(CASE WHEN n > 320 THEN 0 ELSE 1 END) AS n_whole, 0 AS over_limit, 0 AS left_out, 0 AS over_overlap, 0 AS other_trail, 0 AS wrong_numbers
+FROM (SELECT coalesce(list_sum(list_transform(regexp_extract_all(block_text, '[\p{{L}}\p{{N}}_]+'), lambda x: CAST(ceil(length(x) / 6.0) AS BIGINT))), 0)
+      + length(regexp_replace(block_text, '[\p{{L}}\p{{N}}_{_BLANK}]', '', 'g')) AS n FROM note_blocks WHERE block_text <> '')"""

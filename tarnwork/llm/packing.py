@@ -11,6 +11,7 @@ of its length, which is taken in hashed buckets, so that a length held by a thir
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -26,7 +27,8 @@ BROADCAST_STEPS = 100_000
 
 @dataclass(frozen=True)
 class Capacities:
-    """What a container holds; without `documents` and `attention` only tokens bind."""
+    """What a container holds; without `documents` and `attention` only tokens bind. `score` chooses among containers:
+    the least weighted `norm` of what remains, or the greatest weighted `dot` product of demand and room."""
 
     tokens: int = CAPACITY
     documents: int | None = None
@@ -34,6 +36,11 @@ class Capacities:
     weights: tuple[float, float, float] = (1.0, 0.01, 0.01)
     score: str = "norm"
 
+    @property
+    def largest(self) -> int:
+        """Tokens of the largest item that fits an empty container."""
+        return self.tokens if self.attention is None else min(self.tokens, isqrt(self.attention))
+
 
 def plan(histogram: dict[int, int], capacities: Capacities) -> list[tuple[int, int, int, int, int, int]]:
     """Steps `(length, first rank, number, first container, place, offset)`: items of `length` with ranks from
@@ -94,8 +101,9 @@ def plan(histogram: dict[int, int], capacities: Capacities) -> list[tuple[int, i
                 put((state[0] - length, state[1] - 1, state[2] - length * length), first, moved, placed + 1)
                 rank, left = rank + moved, left - moved
                 continue
-            # An empty container takes an item of any length, whatever its attention costs.
-            fill = max(1, int((top // demand).min()))
+            if (demand > top).any():
+                raise ValueError(f"no container takes an item of {length} tokens")
+            fill = int((top // demand).min())
             number = max(1, left // fill)
             used = min(left, fill)
             for k in range(used):
@@ -111,11 +119,11 @@ def pack(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text",
     """Container and place of every non-empty text, or of its pieces where it exceeds the capacity.
 
     Columns `doc_id`, `piece_no` (0 for a whole text, else from 1), `start_token`, `n_tokens`, `container_id`,
-    `place` (from 1) and `container_offset` (first token's position). Only texts above the capacity are split:
-    into full pieces and a rest. Null and empty texts have no row; repeated rows are items of their own.
+    `place` (from 1) and `container_offset` (first token's position). Only texts above the capacity (in tokens or, by
+    the square of their length, in attention) are split: into full pieces and a rest. Null and empty texts have no row; repeated rows are items of their own.
     """
     capacities = capacities or Capacities()
-    size = capacities.tokens
+    size = capacities.largest
     counts = token_counts(df, id_column=id_column, text_column=text_column, ranks_path=ranks_path).filter("n_tokens > 0")
     pieces = F.when(F.col("n_tokens") <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.ceil(F.col("n_tokens") / size).cast("int")))
     start = (F.greatest("piece_no", F.lit(1)) - 1).cast("bigint") * size
@@ -138,3 +146,20 @@ def pack(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text",
         chosen = F.broadcast(chosen)
     inside = (F.col("size") == F.col("length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("number"))
     return ranked.join(chosen, inside).select("doc_id", "piece_no", "start_token", F.col("size").alias("n_tokens"), (F.col("first_container") + F.col("rank") - F.col("first_rank")).alias("container_id"), "place", "container_offset")
+
+
+def checks(packed: DataFrame, counts: DataFrame, capacities: Capacities) -> DataFrame:
+    """One row that says how a packing keeps its promises: `n_texts` and `n_tokens` packed, `lost_tokens` (of the texts'
+    tokens), `repeated_places`, containers `over_tokens`, `over_documents` and `over_attention`, pieces with a `wrong_offset`,
+    and whether the containers are `within_bound`: at most a quarter more than the fullest capacity needs, and one."""
+    wide = F.col("n_tokens").cast("bigint")
+    per = packed.groupBy("container_id").agg(F.sum(wide).alias("tokens"), F.count("*").alias("documents"), F.sum(wide * wide).alias("attention"), (F.count("*") - F.count_distinct("place")).alias("repeated"), F.max(F.col("container_offset") + F.col("n_tokens")).alias("reach"))
+    top = [capacities.tokens, capacities.documents or capacities.tokens, capacities.attention or capacities.tokens**2]
+    need = [F.ceil(F.sum(c) / F.lit(t)) for c, t in zip(("tokens", "documents", "attention"), top)]
+    held = per.agg(
+        F.coalesce(F.sum("tokens"), F.lit(0)).alias("n_tokens"), F.coalesce(F.sum("repeated"), F.lit(0)).alias("repeated_places"), *[F.count_if(F.col(c) > t).alias(f"over_{c}") for c, t in zip(("tokens", "documents", "attention"), top)],
+        F.count_if(F.col("reach") != F.col("tokens")).alias("wrong_offset"), (F.count("*") <= F.greatest(*need) * 1.25 + 1).alias("within_bound"),
+    )
+    texts = counts.filter("n_tokens > 0").agg(F.count("*").alias("n_texts"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("all_tokens"))
+    one = F.lit(1).alias("one")
+    return held.select("*", one).join(texts.select("*", one), "one").select("n_texts", (F.col("all_tokens") - F.col("n_tokens")).alias("lost_tokens"), "repeated_places", "over_tokens", "over_documents", "over_attention", "wrong_offset", "within_bound")

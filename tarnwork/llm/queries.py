@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarnwork.llm.pii import find_personal, mask_personal
 from tarnwork.llm.conversations import conversations
-from tarnwork.llm.packing import pack
+from tarnwork.llm.packing import Capacities, checks, pack
 from tarnwork.llm.subjects import assign_subjects, corpus_composition
-from tarnwork.llm.splitting import split_blocks
-from tarnwork.llm.tokens import encode_corpus
+from tarnwork.llm.splitting import piece_checks, split_blocks
+from tarnwork.llm.tokens import encode_corpus, token_counts
 from tarnwork.runtime import table
 
 
@@ -53,6 +53,27 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+#: Capacities that all bind: at most 12 texts of a container, and attention of one full text of 1,549 tokens.
+VECTOR = Capacities(documents=12, attention=2_400_000, weights=(1.0, 0.5, 0.5))
+
+
+def p7_packed_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container and place of every text or piece where tokens, texts and attention of a container are limited."""
+    return pack(table(spark, sf_dir, "documents"), capacities=VECTOR)
+
+
+def p7_checks(spark: SparkSession, sf_dir: str, capacities: Capacities = VECTOR) -> DataFrame:
+    """Whether the containers of `p7_packed_vector` keep every capacity and hold every token once."""
+    documents = table(spark, sf_dir, "documents")
+    return checks(pack(documents, capacities=capacities), token_counts(documents), capacities)
+
+
+def p5_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the pieces of `p5_pieces` keep the limit and leave nothing out, one row over all blocks."""
+    blocks = table(spark, sf_dir, "note_blocks")
+    return piece_checks(split_blocks(blocks), blocks)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subject areas of every document."""
     return assign_subjects(*(table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subjects")))
@@ -63,4 +84,4 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_composition(*(table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subjects")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_rounds": p2_rounds, "p3_found": p3_found, "p3_masked": p3_masked, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found, "p8_composition": p8_composition}
+QUERIES = {"p2_found": p2_found, "p2_rounds": p2_rounds, "p3_found": p3_found, "p3_masked": p3_masked, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_packed_vector": p7_packed_vector, "p7_checks": p7_checks, "p7_token_checks": lambda s, d: p7_checks(s, d, Capacities()), "p5_checks": p5_checks, "p8_found": p8_found, "p8_composition": p8_composition}

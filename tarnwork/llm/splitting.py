@@ -10,20 +10,22 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwork.runtime import arrow_map
+
 LIMIT, OVERLAP = 320, 64
 UNIT_CHARS = 6
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _FENCE = re.compile(r"[ \t]*(`{3,}|~{3,})")
 _LIST = re.compile(r"[ \t]*(?:[-*+•]|\d{1,9}[.)]|[a-z][.)])[ \t]")
-_SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
-_CLAUSE_END = re.compile(r"[,;:–—][\"'”’»)\]]*$")
+_SENTENCE_SIGNS, _CLAUSE_SIGNS, _CLOSING = ".!?…。！？", ",;:–—", "\"'”’»)]"
 
 # Strengths of boundaries, from inside a word to an empty line.
 INSIDE, GLUED, SPACE, CLAUSE, SENTENCE, LINE, ITEM, PARAGRAPH = range(8)
@@ -35,32 +37,75 @@ def count_tokens(text: str | None) -> int:
     return sum(-(-(m.end() - m.start()) // UNIT_CHARS) for m in _TOKEN.finditer(text or ""))
 
 
+WORD, SPACED, OTHER = 1, 2, 3
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Class of each code point: of a word, white space or another sign."""
+    out = np.full(0x110000, OTHER, np.uint8)
+    for code in range(0x33000):  # no letters, digits or spaces beyond
+        if chr(code).isalnum() or code == 0x5F:
+            out[code] = WORD
+        elif chr(code).isspace():
+            out[code] = SPACED
+    return out
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _begins(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where units begin, and whether a unit goes on with its word."""
+    word = kind == WORD
+    place = np.arange(len(kind))
+    head = word & np.r_[True, ~word[:-1]] if len(kind) else word
+    into = place - np.maximum.accumulate(np.where(head, place, 0)) if len(kind) else place
+    return np.flatnonzero(word & (into % UNIT_CHARS == 0) | (kind == OTHER)), word & ~head
+
+
+def count_all(texts: list[str]) -> np.ndarray:
+    """`count_tokens` of many texts at once."""
+    kind = _classes()[_codes("\n".join(texts))]
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    begins, _ = _begins(kind)
+    return np.diff(np.searchsorted(begins, np.r_[0, ends])) if len(texts) else np.zeros(0, np.int64)
+
+
+def _in(codes: np.ndarray, signs: str) -> np.ndarray:
+    return np.isin(codes, _codes(signs))
+
+
 def units(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every unit, and the strength of the boundary before it."""
-    starts, ends, strength = [], [], []
-    before = 0
-    for m in _TOKEN.finditer(text):
-        gap = text[before : m.start()]
-        if not starts:
-            force = INSIDE
-        elif not gap:
-            force = GLUED
-        else:
-            lines = re.split(r"\r\n|\r|\n", gap)
-            if len(lines) > 2:
-                force = PARAGRAPH
-            elif len(lines) == 2:
-                line = text[m.start() - len(lines[-1]) : m.start() + 24]
-                force = ITEM if _LIST.match(line) or line.lstrip().startswith(("|", "#")) else LINE
-            else:
-                head = text[max(0, before - 4) : before]
-                force = SENTENCE if _SENTENCE_END.search(head) else CLAUSE if _CLAUSE_END.search(head) else SPACE
-        before = m.end()
-        for at in range(m.start(), m.end(), UNIT_CHARS):
-            starts.append(at)
-            ends.append(min(at + UNIT_CHARS, m.end()))
-            strength.append(force if at == m.start() else INSIDE)
-    return np.array(starts, np.int64), np.array(ends, np.int64), np.array(strength, np.int64)
+    codes = _codes(text)
+    kind = _classes()[codes]
+    starts, goes_on = _begins(kind)
+    if not len(starts):
+        return starts, starts, starts
+    stop = np.flatnonzero((kind == WORD) & np.r_[kind[1:] != WORD, True])  # last letters of words
+    word_end = stop[np.minimum(np.searchsorted(stop, starts), len(stop) - 1)] + 1 if len(stop) else starts
+    ends = np.where(kind[starts] == WORD, np.minimum(starts + UNIT_CHARS, word_end), starts + 1)
+    before = np.r_[0, ends[:-1]]
+    breaks = np.r_[0, np.cumsum((codes == 10) | (codes == 13) & (np.r_[codes[1:], 0] != 10))]
+    lines = breaks[starts] - breaks[before]
+    # Where the sign that ends the unit before stands, closing quotes and brackets not counted.
+    at = before - 1
+    for _ in range(3):
+        at = np.where((at > before - 4) & (at > 0) & _in(codes[np.maximum(at, 0)], _CLOSING), at - 1, at)
+    sign = codes[np.maximum(at, 0)]
+    same_line = np.where(_in(sign, _SENTENCE_SIGNS), SENTENCE, np.where(_in(sign, _CLAUSE_SIGNS), CLAUSE, SPACE))
+    strength = np.where(lines > 1, PARAGRAPH, np.where(lines == 1, LINE, same_line))
+    strength = np.where(starts == before, GLUED, strength)
+    strength[goes_on[starts]] = INSIDE
+    strength[0] = INSIDE
+    for k in np.flatnonzero(strength == LINE).tolist():
+        begin = max(text.rfind("\n", 0, starts[k]), text.rfind("\r", 0, starts[k])) + 1
+        line = text[begin : starts[k] + 24]
+        if _LIST.match(line) or line.lstrip().startswith(("|", "#")):
+            strength[k] = ITEM
+    return starts, ends, strength
 
 
 class Boundaries:
@@ -114,15 +159,16 @@ def frame(text: str, kind: str, limit: int) -> tuple[str, str]:
     return (lead, close) if count_tokens(lead + close) <= limit // 4 else ("", "")
 
 
-def split(text: str, *, kind: str = "paragraph", limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, str]]:
-    """Pieces `(start, end, shared, piece)`: the span of the text that a piece covers, how many of its tokens
-    repeat the piece before, and the piece itself, of at most `limit` tokens. Spans leave no unit out."""
+def split(text: str, *, kind: str = "paragraph", limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, str, int]]:
+    """Pieces `(start, end, shared, piece, tokens)`: the span of the text that a piece covers, how many of its tokens
+    repeat the piece before, the piece itself and its tokens, at most `limit`. Spans leave no unit out."""
     starts, ends, strength = units(text)
     n = len(starts)
     if n <= limit:
-        return [(0, len(text), 0, text)]
+        return [(0, len(text), 0, text, n)]
     lead, close = frame(text, kind, limit)
-    room = limit - count_tokens(lead + close)
+    before, behind = count_tokens(lead), count_tokens(close)  # line ends part them from what stands between
+    room = limit - before - behind
     step_back = overlap if kind not in ("code", "table") else 0
     index = Boundaries(strength, room)
     out, at, shared = [], 0, 0
@@ -130,11 +176,9 @@ def split(text: str, *, kind: str = "paragraph", limit: int = LIMIT, overlap: in
         last = n - at <= room
         cut = n if last else index.strongest(at + max(1, room // 2, shared + 1), at + room)[0]
         a, b = (0 if at == 0 else starts[at]), (len(text) if cut == n else ends[cut - 1])
-        body = text[a:b]
-        if lead or close:
-            first, final = at == 0, cut == n
-            body = ("" if first else lead) + body + ("" if final or not close else close)
-        out.append((int(a), int(b), shared, body))
+        first, final = at == 0, cut == n
+        body = ("" if first else lead) + text[a:b] + ("" if final else close)
+        out.append((int(a), int(b), shared, body, int(cut - at) + (0 if first else before) + (0 if final else behind)))
         if last:
             return out
         back = cut
@@ -157,13 +201,40 @@ def split_blocks(df: DataFrame, *, limit: int = LIMIT, overlap: int = OVERLAP) -
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for block, kind, text, trail in zip(*[c.to_pylist() for c in batch.columns]):
-                if not text:
-                    continue
-                pieces = split(text, kind=kind_of(text, kind), limit=limit, overlap=overlap)
-                rows += [(block, k + 1, len(pieces), trail, piece, count_tokens(piece), a, b, shared) for k, (a, b, shared, piece) in enumerate(pieces)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], schema.field(k).type) for k in range(len(schema))], schema=schema)
+            for at in range(0, batch.num_rows, 1000):
+                blocks, kinds, texts, trails = (c.to_pylist() for c in batch.slice(at, 1000).columns)
+                rows: list[tuple] = []
+                for k, tokens in enumerate(count_all([t or "" for t in texts]).tolist()):
+                    text = texts[k]
+                    if text and tokens <= limit:
+                        rows.append((blocks[k], 1, 1, trails[k], text, tokens, 0, len(text), 0))
+                    elif text:
+                        pieces = split(text, kind=kind_of(text, kinds[k]), limit=limit, overlap=overlap)
+                        rows += [(blocks[k], n, len(pieces), trails[k], piece, size, a, b, shared) for n, (a, b, shared, piece, size) in enumerate(pieces, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], schema.field(c).type) for c in range(len(schema))], schema=schema)
 
     rows = df.select(F.col("block_id").cast("bigint").alias("block_id"), F.col("block_kind").cast("string").alias("kind"), F.col("block_text").cast("string").alias("text"), F.col("heading_trail").cast("array<string>").alias("trail"))
-    return rows.mapInArrow(cut, "block_id bigint, piece_no int, n_pieces int, heading_trail array<string>, piece_text string, n_tokens int, start_char bigint, end_char bigint, shared_tokens int")
+    return arrow_map(rows, cut, "block_id bigint, piece_no int, n_pieces int, heading_trail array<string>, piece_text string, n_tokens int, start_char bigint, end_char bigint, shared_tokens int")
+
+
+def piece_checks(pieces: DataFrame, blocks: DataFrame, *, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """One row that says how pieces keep their promises: `n_blocks` with text, of which `n_whole` come out in one piece;
+    pieces `over_limit` or counted wrongly; spans that have `left_out` more than white space
+    between them; pieces `over_overlap`, with an `other_trail`, or with `wrong_numbers`. Blocks have unique ids."""
+    words = F.transform(F.regexp_extract_all("piece_text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: F.ceil(F.length(w) / UNIT_CHARS).cast("int"))
+    signs = F.length(F.regexp_replace("piece_text", r"[\p{L}\p{N}_\s\x0B\x1C-\x1F\x85\p{Z}]", ""))
+    sized = pieces.withColumn("counted", F.aggregate(words, F.lit(0), lambda a, x: a + x) + signs)
+    per = sized.groupBy("block_id").agg(
+        F.max("n_pieces").alias("pieces"), F.count_if((F.col("counted") > limit) | (F.col("counted") != F.col("n_tokens"))).alias("over_limit"), F.count_if(F.col("shared_tokens") > overlap).alias("over_overlap"),
+        F.array_sort(F.collect_list(F.struct("piece_no", "start_char", "end_char", "heading_trail"))).alias("spans"),
+    )
+    joined = per.join(blocks.select(F.col("block_id").alias("of"), "block_text", F.col("heading_trail").alias("trail")), F.col("block_id") == F.col("of"))
+    gap = lambda a, b: F.substring("block_text", F.col("spans")[a]["end_char"].cast("int") + 1, F.greatest(F.lit(0), F.col("spans")[b]["start_char"].cast("int") - F.col("spans")[a]["end_char"].cast("int")))
+    inner = F.transform(F.sequence(F.lit(1), F.size("spans") - 1), lambda k: F.coalesce(F.length(F.regexp_replace(gap(k - 1, k), r"[\s\x0B\x1C-\x1F\x85\p{Z}]", "")), F.lit(0)))
+    lost = F.when(F.size("spans") > 1, F.aggregate(inner, F.lit(0), lambda a, x: a + x)).otherwise(0)
+    edges = (F.col("spans")[0]["start_char"] != 0) | (F.element_at("spans", -1)["end_char"] != F.length("block_text"))
+    return joined.agg(
+        F.count("*").alias("n_blocks"), F.count_if(F.col("pieces") == 1).alias("n_whole"), F.sum("over_limit").alias("over_limit"),
+        F.count_if((lost > 0) | edges).alias("left_out"), F.sum("over_overlap").alias("over_overlap"), F.count_if(F.exists("spans", lambda s: ~s["heading_trail"].eqNullSafe(F.col("trail")))).alias("other_trail"),
+        F.count_if((F.size("spans") != F.col("pieces")) | ~F.forall(F.sequence(F.lit(1), F.size("spans")), lambda k: F.col("spans")[k - 1]["piece_no"] == k)).alias("wrong_numbers"),
+    )

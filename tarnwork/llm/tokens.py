@@ -11,15 +11,19 @@ boundary whatever came before.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwork.runtime import arrow_map, cut_lineage
+
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LEAF_CHARS = 8192
 
@@ -99,8 +103,15 @@ def halves(text: str, leaf_chars: int) -> list[str]:
 
 @lru_cache(maxsize=4)
 def codec(ranks_path: str = DEFAULT_RANKS) -> Codec:
-    """The codec of a rank file, loaded once a worker."""
-    return Codec(ranks_path)
+    """The codec of a rank file, loaded once a worker: the copy that came with the job, else the file itself."""
+    sent = SparkFiles.get(os.path.basename(ranks_path)) if SparkFiles._root_directory or SparkFiles._is_running_on_worker else ""
+    return Codec(sent if os.path.exists(sent) else ranks_path)
+
+
+def send(df: DataFrame, ranks_path: str) -> None:
+    """Let every worker have the rank file that this process can read."""
+    if os.path.exists(ranks_path):
+        df.sparkSession.sparkContext.addFile(ranks_path)
 
 
 def _lists(rows: list) -> pa.Array:
@@ -116,24 +127,36 @@ def encode_corpus(df: DataFrame, *, id_column: str = "doc_id", text_column: str
     Null and empty texts give an empty list; repeated rows give repeated results; other columns don't matter.
     A document's ids are one value of the result, so joining its parts in one task adds no bound of its own.
     """
+    return _coded(df, id_column, text_column, ranks_path, leaf_chars, counts=False)
+
+
+def token_counts(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", ranks_path: str = DEFAULT_RANKS, leaf_chars: int = LEAF_CHARS) -> DataFrame:
+    """`doc_id` and `n_tokens` of every row, by the same steps as `encode_corpus`; 0 for null and empty texts."""
+    return _coded(df, id_column, text_column, ranks_path, leaf_chars, counts=True)
+
+
+def _coded(df: DataFrame, id_column: str, text_column: str, ranks_path: str, leaf_chars: int, *, counts: bool) -> DataFrame:
+    send(df, ranks_path)
     rows = df.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    result, shape = (pa.field("n_tokens", pa.int64()), "doc_id bigint, n_tokens bigint") if counts else (pa.field("ids", pa.list_(pa.int32())), "doc_id bigint, ids array<int>")
+    schema = pa.schema([("doc_id", pa.int64()), result])
+    given = lambda ids: pa.array([len(x) for x in ids], pa.int64()) if counts else _lists(ids)
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = codec(ranks_path).encode
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists([encode(t) for t in part.column(1).to_pylist()])], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), given([encode(t) for t in part.column(1).to_pylist()])], schema=schema)
 
-    leaf = pa.schema([("doc_id", pa.int64()), ("copies", pa.int64()), ("text_key", pa.string()), ("place", pa.int32()), ("part", pa.string())])
+    leaf = pa.schema([("row_no", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int32()), ("part", pa.string())])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 parts = halves(row["text"], leaf_chars)
                 n = len(parts)
-                yield pa.RecordBatch.from_arrays([pa.array([row["doc_id"]] * n, pa.int64()), pa.array([row["copies"]] * n, pa.int64()), pa.array([row["text_key"]] * n), pa.array(range(n), pa.int32()), pa.array(parts, pa.string())], schema=leaf)
+                yield pa.RecordBatch.from_arrays([pa.array([row["row_no"]] * n, pa.int64()), pa.array([row["doc_id"]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(parts, pa.string())], schema=leaf)
 
     coded = leaf.append(pa.field("ids", pa.list_(pa.int32())))
 
@@ -145,26 +168,12 @@ def encode_corpus(df: DataFrame, *, id_column: str = "doc_id", text_column: str
     def join(group: pa.Table) -> pa.Table:
         parts = sorted(group.select(["place", "part", "ids"]).to_pylist(), key=lambda r: r["place"])
         ids = codec(ranks_path).merge([(r["part"], np.asarray(r["ids"], np.int32)) for r in parts])
-        copies = group.column("copies")[0].as_py()
-        return pa.table([pa.array([group.column("doc_id")[0].as_py()] * copies, pa.int64()), _lists([ids] * copies)], schema=schema)
+        return pa.table([group.column("doc_id").slice(0, 1), given([ids])], schema=schema)
 
+    # Long texts are written once with numbers of their rows, which then hold whatever is computed anew.
     is_long = F.length("text") > leaf_chars
-    long = rows.filter(is_long).withColumn("text_key", F.sha2("text", 256)).groupBy("doc_id", "text_key").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
-    pieces = long.select("doc_id", "copies", "text_key", "text").mapInArrow(split, "doc_id bigint, copies bigint, text_key string, place int, part string")
-    spread = pieces.repartition(F.col("doc_id"), F.col("place")).mapInArrow(leaves, "doc_id bigint, copies bigint, text_key string, place int, part string, ids array<int>")
-    joined = spread.groupBy("doc_id", "text_key").applyInArrow(join, "doc_id bigint, ids array<int>")
-    return rows.filter(~F.coalesce(is_long, F.lit(False))).mapInArrow(short, "doc_id bigint, ids array<int>").unionByName(joined)
-
-
-def token_counts(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", ranks_path: str = DEFAULT_RANKS) -> DataFrame:
-    """`doc_id` and `n_tokens` of every row; 0 for null and empty texts."""
-    rows = df.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(ranks_path)
-        for batch in batches:
-            sizes = [len(coder.encode_long(t)) if t and len(t) > LEAF_CHARS else len(coder.encode(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], schema=schema)
-
-    return rows.mapInArrow(count, "doc_id bigint, n_tokens bigint")
+    long = cut_lineage(rows.filter(is_long).withColumn("row_no", F.monotonically_increasing_id()), "long")
+    pieces = arrow_map(long.select("row_no", "doc_id", "text"), split, "row_no bigint, doc_id bigint, place int, part string")
+    spread = pieces.repartition(F.col("row_no"), F.col("place")).mapInArrow(leaves, "row_no bigint, doc_id bigint, place int, part string, ids array<int>")
+    joined = spread.groupBy("row_no").applyInArrow(join, shape)
+    return arrow_map(rows.filter(~F.coalesce(is_long, F.lit(False))), short, shape).unionByName(joined)

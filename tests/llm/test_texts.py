@@ -99,8 +99,8 @@ def pieces_hold(text, kind):
     tokens = splitting.count_tokens(text)
     assert (len(pieces) > 1) == (tokens > splitting.LIMIT)
     at = 0
-    for start, end, shared, piece in pieces:
-        assert splitting.count_tokens(piece) <= splitting.LIMIT
+    for start, end, shared, piece, size in pieces:
+        assert splitting.count_tokens(piece) == size <= splitting.LIMIT
         assert splitting.count_tokens(text[at:start]) == 0 if start > at else True
         assert 0 <= shared <= splitting.OVERLAP and (shared == 0 or kind not in ("code", "table"))
         assert end > at or not text
@@ -115,6 +115,22 @@ def test_split_bounds(parts, kind):
     pieces_hold("".join(parts), kind)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="ab_1é日 \n\r.,;!\"'”)-#|\u00a0\u3000\U0001f600", max_size=40), max_size=6))
+def test_units_against_plain_reading(texts):
+    """Token counts of a batch and the units of a text, against a regular expression."""
+    import re
+
+    assert splitting.count_all(texts).tolist() == [splitting.count_tokens(t) for t in texts]
+    for text in texts:
+        starts, ends, strength = splitting.units(text)
+        want = [(at, min(at + splitting.UNIT_CHARS, m.end())) for m in re.finditer(r"\w+|[^\w\s]", text) for at in range(m.start(), m.end(), splitting.UNIT_CHARS)]
+        assert list(zip(starts.tolist(), ends.tolist())) == want
+        for (_, a), (b, _), force in zip(want, want[1:], strength.tolist()[1:]):
+            lines = len(re.findall(r"\r\n|\r|\n", text[a:b]))
+            assert (force == splitting.PARAGRAPH) == (lines > 1) and (force in (splitting.LINE, splitting.ITEM)) == (lines == 1) and (force <= splitting.GLUED) == (a == b)
+
+
 def test_split_prefers_natural_cuts():
     paragraph = "One two three four five six seven eight nine ten. " * 12
     pieces = pieces_hold("\n\n".join([paragraph] * 6), "paragraph")
