@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from tarnwork.runtime import arrow_map
 
-_HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?[ \t#]*$")
+_HEADING = re.compile(r"\s{0,3}(#{1,6})\s+(.*?)\s*#*\s*$")
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
-_RULE_ROW = re.compile(r"\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)*\|?\s*$")
+_RULE_ROW = re.compile(r"[\s:|-]*-[\s:|-]*$")
 _ITEM = re.compile(r"\s*(?:[-*+]|\d{1,9}[.)])\s+")
 _WORD = re.compile(r"\w+|[^\w\s]")
 
@@ -61,14 +61,19 @@ def count_tokens(text: str, chars: int = 6) -> int:
 
 
 def blocks(body: str) -> list[Block]:
-    """Headings, fenced code (to the end when never closed), tables, lists and paragraphs, in order."""
+    """Headings, fenced code (to the end when never closed), tables, lists and paragraphs, in order. A list or a
+    paragraph goes on to a blank line or what opens a block of another kind; a list inside a paragraph doesn't."""
     lines = re.split(r"\r\n|\r|\n", body)
     out: list[Block] = []
     trail: dict[int, str] = {}
     at = 0
 
     def emit(kind: str, first: int, last: int) -> None:
-        out.append(Block(kind, "\n".join(lines[first:last]), tuple(trail[k] for k in sorted(trail)), first + 1))
+        text = "\n".join(lines[first:last]).rstrip()
+        out.append(Block(kind, text.strip() if kind == "heading" else text, tuple(trail[k] for k in sorted(trail) if trail[k]), first + 1))
+
+    def opens_table(k: int) -> bool:
+        return "|" in lines[k] and k + 1 < len(lines) and "|" in lines[k + 1] and _RULE_ROW.match(lines[k + 1]) is not None
 
     while at < len(lines):
         line, start = lines[at], at
@@ -82,18 +87,19 @@ def blocks(body: str) -> list[Block]:
             at = min(at + 1, len(lines))
             emit("code", start, at)
         elif (heading := _HEADING.match(line)) and heading[1]:
-            level = len(heading[1])
-            trail = {k: v for k, v in trail.items() if k < level} | {level: (heading[2] or "").strip()}
+            # A heading's own trail is the one before it: what it opens comes after.
             at += 1
             emit("heading", start, at)
-        elif "|" in line and at + 1 < len(lines) and _RULE_ROW.match(lines[at + 1]):
+            level = len(heading[1])
+            trail = {k: v for k, v in trail.items() if k < level} | {level: (heading[2] or "").strip()}
+        elif opens_table(at):
             while at < len(lines) and "|" in lines[at]:
                 at += 1
             emit("table", start, at)
         else:
             kind = "list" if _ITEM.match(line) else "paragraph"
             at += 1
-            while at < len(lines) and lines[at].strip() and not _FENCE.match(lines[at]) and not _HEADING.match(lines[at]) and not (kind == "paragraph" and _ITEM.match(lines[at])):
+            while at < len(lines) and lines[at].strip() and not _FENCE.match(lines[at]) and not _HEADING.match(lines[at]) and not opens_table(at):
                 at += 1
             emit(kind, start, at)
     return out

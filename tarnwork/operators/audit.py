@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.functions.lexical import WORD
@@ -22,15 +22,42 @@ def _finding(name: str, detail: Column, document: str = "document_id") -> list[C
     return [F.lit(name).alias("check_name"), F.col(document).cast("string").alias("document_id"), detail.alias("detail")]
 
 
-def chunk_indexes(chunks: DataFrame, listed: int = 10) -> DataFrame:
-    """Documents whose chunk indexes aren't exactly 0 to n-1: missing, duplicate and out of range ones. Only
-    counts and extremes are shuffled unless a document is faulty; its indexes are then listed up to `listed`."""
+def chunk_indexes(chunks: DataFrame) -> DataFrame:
+    """Documents whose chunk indexes aren't exactly 0 to n-1: how many chunks, duplicates, the least and the greatest
+    index. Only counts and extremes are shuffled; `chunk_index_faults` gives the indexes themselves."""
     per = chunks.groupBy("document_id").agg(F.count("*").alias("n"), F.count_distinct("chunk_index").alias("distinct_n"), F.min("chunk_index").alias("low"), F.max("chunk_index").alias("high"))
     bad = per.filter("n != distinct_n OR low != 0 OR high != n - 1")
     detail = F.concat(F.lit("n="), "n", F.lit(" duplicate="), F.col("n") - F.col("distinct_n"), F.lit(" low="), "low", F.lit(" high="), "high")
     return bad.select(*_finding("chunk index", detail))
 
 
+def chunk_index_faults(chunks: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """One row per faulty index of a document: `duplicate`, `out of range`, or the first of each run that is `missing`
+    (`until` is its last). With `documents` those without any chunk come out as `childless`. Indexes are compared with
+    their neighbours by joins, so no document's chunks are gathered; only the ends of runs are numbered."""
+    held = chunks.groupBy("document_id", "chunk_index").agg(F.count("*").alias("times"))
+    size = held.groupBy("document_id").agg(F.sum("times").alias("n"))
+    placed = held.join(size, "document_id")
+    row = lambda df, fault, at, until: df.select("document_id", F.lit(fault).alias("fault"), at.cast("bigint").alias("chunk_index"), until.cast("bigint").alias("until"))
+    index = F.col("chunk_index")
+    outside = index.isNull() | (index < 0) | (index >= F.col("n"))
+    inside = placed.filter(~outside).select("document_id", "n", index.cast("bigint").alias("chunk_index"))
+    with_ends = lambda at: inside.unionByName(size.select("document_id", "n", at.cast("bigint").alias("chunk_index")))
+    other = lambda step: inside.select(F.col("document_id").alias("of"), (index + step).alias("beside"))
+    beside = (F.col("document_id") == F.col("of")) & (index == F.col("beside"))
+    # A run is missing between an index without successor and the next one without predecessor; these come in turn.
+    order = F.row_number().over(Window.partitionBy("document_id").orderBy("chunk_index"))
+    before = with_ends(F.lit(-1)).filter("chunk_index < n - 1").join(other(-1), beside, "left_anti").select(F.col("document_id").alias("of"), F.col("chunk_index").alias("lower"), order.alias("run"))
+    behind = with_ends(F.col("n")).filter("chunk_index > 0").join(other(1), beside, "left_anti").select("document_id", "chunk_index", order.alias("turn"))
+    gaps = behind.join(before, (F.col("document_id") == F.col("of")) & (F.col("turn") == F.col("run")))
+    missing = row(gaps, "missing", F.col("lower") + 1, index - 1)
+    out = row(placed.filter(outside), "out of range", index, index).unionByName(row(placed.filter("times > 1"), "duplicate", index, index)).unionByName(missing)
+    if documents is not None:
+        none = F.lit(None)
+        out = out.unionByName(row(documents.select("document_id").join(size.select("document_id"), "document_id", "left_anti"), "childless", none, none))
+    return out
+
+
 def norms(chunks: DataFrame, tolerance: float = 1e-3) -> DataFrame:
     """Chunks without vector, or whose vector isn't of unit length. Only the length leaves the scan."""
     length = F.round(norm(F.col("embedding")), 6)

@@ -64,19 +64,24 @@ def _rank_of(found: Column, wanted: list[str], every: bool, mode: str) -> Column
     return density(found)
 
 
-def search(documents: DataFrame, chunks: DataFrame, *, query_embedding: Sequence[float] | None = None, query_text: str | None = None, match_count: int = 10, filter_source: str | None = None, filter_collection: str | None = None, rrf_k: int = 60, max_per_document: int | None = 3, min_similarity: float | None = 0.70, filter_metadata: dict[str, Any] | None = None, include_superseded: bool = True, config: str = "english", rank_mode: str = "cover") -> DataFrame:
+def search(documents: DataFrame, chunks: DataFrame, *, query_embedding: Sequence[float] | None = None, query_text: str | None = None, match_count: int = 10, filter_source: str | None = None, filter_collection: str | None = None, rrf_k: int = 60, max_per_document: int | None = 3, min_similarity: float | None = 0.70, filter_metadata: dict[str, Any] | None = None, include_superseded: bool = True, config: str = "english", rank_mode: str = "cover", linked: bool = False) -> DataFrame:
     """The `match_count` best chunks, columns `RESULT`.
 
     `documents`: `document_id, source, collection, external_id, title, metadata`; `chunks`: `chunk_id,
     document_id, content, embedding` and, where the caller stores them, `lexemes`. Chunks below
     `min_similarity` leave the vector arm; a text match of only part of the lexemes must come within the
     keyword margin of it, and a chunk without vector fails that. Null texts match nothing. Ties: chunk id.
+    `linked` says that every chunk has its document, as in a store; then a search without filters needs no join.
+
+    The ranking runs when the search is called; its result, at most `match_count` rows, is then fetched by id, so that
+    texts are read for these only and the ids reach the scans as filters.
     """
     check_arguments(query_embedding, query_text, match_count, max_per_document, filter_metadata)
     pool = max(match_count * 10, 100)
     allowed = eligible_documents(documents, filter_source=filter_source, filter_collection=filter_collection, filter_metadata=filter_metadata, include_superseded=include_superseded).select("document_id")
     similarity = cosine_to(F.col("embedding"), query_embedding) if query_embedding is not None else F.lit(None).cast("double")
-    scoped = chunks.join(allowed, "document_id")
+    filtered = filter_source is not None or filter_collection is not None or filter_metadata is not None or not include_superseded
+    scoped = chunks.join(allowed, "document_id") if filtered or not linked else chunks
     arms: list[DataFrame] = []
 
     if query_embedding is not None:
@@ -109,22 +114,27 @@ def search(documents: DataFrame, chunks: DataFrame, *, query_embedding: Sequence
     if not arms:
         empty = chunks.limit(0).join(documents, "document_id")
         return empty.select(*[c for c in RESULT[:-2]], F.lit(0.0).alias("fused_score"), F.lit(0.0).alias("vector_similarity"))
-    fused = fuse(arms, rrf_k)
+    fused = fuse(arms, rrf_k)  # each arm is one sorted partition of at most `pool` rows: what follows is one task
     best = fused.withColumn("per_document", F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("fused_score"), "chunk_id")))
     if max_per_document is not None:
         best = best.filter(F.col("per_document") <= max_per_document)
-    top = best.orderBy(F.desc("fused_score"), "chunk_id").limit(match_count).select("chunk_id", "fused_score", F.col("similarity").alias("vector_similarity"))
-    # At most `match_count` rows go out again for their texts.
-    full = chunks.drop("lexemes").join(F.broadcast(top), "chunk_id").join(documents, "document_id")
+    top = best.orderBy(F.desc("fused_score"), "chunk_id").limit(match_count).select("chunk_id", F.col("document_id").alias("owner"), "fused_score", F.col("similarity").alias("vector_similarity"))
+    rows = top.collect()  # at most `match_count`
+    spark = chunks.sparkSession
+    found = spark.createDataFrame([tuple(r) for r in rows], top.schema)
+    held = chunks.drop("lexemes", "embedding").filter(F.col("chunk_id").isin([r["chunk_id"] for r in rows]))
+    owners = documents.filter(F.col("document_id").isin(list({r["owner"] for r in rows})))
+    full = held.join(F.broadcast(found.drop("owner")), "chunk_id").join(owners, "document_id")
     return full.select(*RESULT).orderBy(F.desc("fused_score"), "chunk_id")
 
 
 def fuse(arms: list[DataFrame], rrf_k: int = 60) -> DataFrame:
-    """Sum of reciprocal ranks of every chunk over ranked arms (`chunk_id, document_id, similarity, rank`)."""
+    """Sum of reciprocal ranks of every chunk over ranked arms (`chunk_id, document_id, similarity, rank`), each of a
+    bounded number of rows."""
     union = arms[0]
     for arm in arms[1:]:
         union = union.unionByName(arm)
-    return union.groupBy("chunk_id").agg(F.first("document_id").alias("document_id"), F.max("similarity").alias("similarity"), F.sum(1.0 / (F.lit(rrf_k) + F.col("rank"))).alias("fused_score"))
+    return union.coalesce(1).groupBy("chunk_id").agg(F.first("document_id").alias("document_id"), F.max("similarity").alias("similarity"), F.sum(1.0 / (F.lit(rrf_k) + F.col("rank"))).alias("fused_score"))
 
 
 def named_filters(*, repo: str | None = None, phase: str | None = None, tags: list[str] | None = None) -> dict[str, Any] | None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,8 @@ from tarnwork.functions.lexical import lexemes
 from tarnwork.functions.vector import cosine, nearest, nearest_of_all
 from tarnwork.operators import audit, evaluate, reports
 from tarnwork.operators.search import fuse, get_document, list_collections, not_superseded, search
-from tarnwork.runtime import table
+from tarnwork.runtime import shared_folder, table
+from tarnwork.sources.store import Store
 
 QUERY_TEXT = "the query planner"
 MATCH, FLOOR = 10, 0.2
@@ -41,6 +43,26 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.join(vectors, "chunk_id", "left")
 
 
+_STORES: dict[tuple, Store] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, config: str = "simple") -> tuple[DataFrame, DataFrame]:
+    """Documents and chunks as an ingested store holds them, chunks with their lexemes: written once a session, and anew
+    when a table's files have changed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    stamps = []
+    for name in ("note_blocks", "embeddings"):
+        place = path(f"{sf_dir}/{name}.parquet")
+        stamps.append(place.getFileSystem(hadoop).getFileStatus(place).getModificationTime())
+    key = (spark.sparkContext.applicationId, sf_dir, config, *stamps)
+    if key not in _STORES:
+        store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex[:12]}")
+        store.put_searchable(documents(spark, sf_dir), chunks(spark, sf_dir), config=config)
+        _STORES[key] = store
+    return _STORES[key].read("documents"), _STORES[key].read("chunks")
+
+
 def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     """One stored vector, as a query's."""
     return table(spark, sf_dir, "embeddings").filter("vec_id = 3").select("embedding").first()[0]
@@ -75,7 +97,7 @@ def _search(**options) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         vector = query_vector(spark, sf_dir) if options.get("vector") else None
         named = {k: v for k, v in options.items() if k != "vector"}
-        found = search(documents(spark, sf_dir), chunks(spark, sf_dir), query_embedding=vector, match_count=MATCH, config="simple", rank_mode="overlap", **named)
+        found = search(*stored(spark, sf_dir), query_embedding=vector, match_count=MATCH, config="simple", rank_mode="overlap", linked=True, **named)
         return found.select("chunk_id", "document_id", F.round("fused_score", 9).alias("fused_score"), F.round("vector_similarity", 6).alias("vector_similarity"))
 
     return run
@@ -107,6 +129,19 @@ SELECT b.chunk_id, b.document_id, round(score, 9) AS fused_score, {similarity} A
 FROM (SELECT * FROM best {cap} ORDER BY score DESC, chunk_id LIMIT {MATCH}) b JOIN chunks c USING (chunk_id), q"""
 
 
+def hybrid_search_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hybrid search with stemmed words and cover density over stored lexemes: a phrase or a word, without another."""
+    found = search(*stored(spark, sf_dir, "english"), query_embedding=query_vector(spark, sf_dir), query_text='"query planner" or parsers -tomatoes', match_count=MATCH, min_similarity=FLOOR, linked=True)
+    return found.select("chunk_id", "document_id", F.round("fused_score", 9).alias("fused_score"), F.round("vector_similarity", 6).alias("vector_similarity"))
+
+
+def document_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with the key of the first one."""
+    docs = table(spark, sf_dir, "documents")
+    key = docs.orderBy("doc_id").select("source", "external_id").first()
+    return get_document(docs, source=key[0], external_id=key[1]).select("doc_id", "title")
+
+
 def vector_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "chunk_id")
     return nearest(vectors, query_vector(spark, sf_dir), k=100).select("chunk_id", F.round("similarity", 6).alias("similarity"))
@@ -192,6 +227,33 @@ def audit_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.norms(chunks(spark, sf_dir))
 
 
+def audit_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing, repeated and strange chunk indexes of every note; a tenth of the notes counts as loaded without chunks."""
+    notes = documents(spark, sf_dir).select("document_id").unionByName(documents(spark, sf_dir).select(F.concat("document_id", F.lit("/empty")).alias("document_id")))
+    return audit.chunk_index_faults(chunks(spark, sf_dir), notes)
+
+
+def audit_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as notes against rows of which some are gone, changed, or of notes that are gone."""
+    notes = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("external_id"), F.sha2(F.coalesce("title", F.lit("")), 256).alias("content_hash"))
+    kept = notes.filter("doc_id % 11 != 0").select("external_id", F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.col("content_hash")).alias("content_hash"), F.lit(None).cast("timestamp").alias("updated_at"))
+    gone = notes.filter("doc_id % 13 = 0").select(F.concat(F.lit("gone-"), "external_id").alias("external_id"), "content_hash", F.lit(None).cast("timestamp").alias("updated_at"))
+    return audit.vault(notes, kept.unionByName(gone))
+
+
+def audit_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored vectors against what an embedder makes that has changed for every ninth chunk."""
+    held = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), "label").alias("document_id"), F.col("vec_id").alias("chunk_id"), "embedding")
+    made = held.select("chunk_id", F.when(F.col("chunk_id") % 9 == 0, F.reverse("embedding")).otherwise(F.col("embedding")).alias("vector"))
+    return audit.drift(held, made)
+
+
+def audit_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five checks together, in the order of the report."""
+    found = audit.run_audit(audit_indexes(spark, sf_dir), audit_norms(spark, sf_dir), audit_tokens(spark, sf_dir), audit_vault(spark, sf_dir), audit_drift(spark, sf_dir))
+    return found.select("check_name", "check_order", "document_id", "detail")
+
+
 def parsed_retrievals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event rows parsed back from notes' lists of result tokens made of the events."""
     rows = events(spark, sf_dir)
@@ -207,7 +269,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_vector_only": _search(vector=True, min_similarity=FLOOR),
     "search_text_only": _search(query_text=QUERY_TEXT),
     "search_no_floor": _search(vector=True, query_text="parser cache", min_similarity=None, max_per_document=None),
-    "search_filtered": _search(vector=True, query_text=QUERY_TEXT, min_similarity=0.0, filter_collection="lanternhall", filter_metadata={"size_class": 1}, include_superseded=False),
+    "search_filtered": _search(vector=True, query_text=QUERY_TEXT, min_similarity=0.0, filter_collection="ploverweb", filter_metadata={"size_class": 1}, include_superseded=False),
     "search_per_document_cap": _search(vector=True, query_text="the", min_similarity=None, max_per_document=1),
     "vector_knn": vector_knn,
     "vector_knn_all": vector_knn_all,
@@ -217,7 +279,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "exclude_superseded": lambda s, d: documents(s, d).filter(not_superseded(F.col("metadata"))).select("document_id"),
     "text_tokens": text_tokens,
     "collection_counts": lambda s, d: list_collections(table(s, d, "documents").withColumnRenamed("collection_key", "collection")),
-    "document_lookup": lambda s, d: get_document(table(s, d, "documents"), source="curator", external_id="harborline/none").select("doc_id", "title"),
+    "document_lookup": lambda s, d: document_lookup(s, d),
     "report_totals": _report(reports.totals, "events"),
     "report_most_retrieved": _report(reports.most_retrieved, "events"),
     "report_never_retrieved": _report(reports.never_retrieved_counts, "events", "documents"),
@@ -237,20 +299,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "audit_chunk_index": audit_indexes,
     "audit_norms": audit_norms,
     "audit_token_counts": audit_tokens,
-    "audit_all": lambda s, d: audit.run_audit(audit_indexes(s, d), audit_norms(s, d)).select("check_name", "check_order", "document_id", "detail"),
+    "audit_all": audit_all,
+    "audit_vault": audit_vault,
+    "audit_drift": audit_drift,
+    "audit_chunk_faults": audit_faults,
+    "hybrid_search_english": hybrid_search_english,
 }
 
 _INDEX = """SELECT 'chunk index' AS check_name, document_id, 'n=' || n || ' duplicate=' || (n - dn) || ' low=' || low || ' high=' || high AS detail
 FROM (SELECT document_id, count(*) AS n, count(DISTINCT chunk_index) AS dn, min(chunk_index) AS low, max(chunk_index) AS high FROM chunks GROUP BY 1) WHERE n <> dn OR low <> 0 OR high <> n - 1"""
 _NORM = """SELECT 'norm' AS check_name, document_id, chunk_id || ' none' AS detail FROM chunks WHERE embedding IS NULL"""
 _COUNTED = r"coalesce(list_sum(list_transform(regexp_extract_all(content, '[\p{L}\p{N}_]+'), lambda w: CAST(ceil(length(w) / 6.0) AS BIGINT))), 0) + length(regexp_replace(content, '[\p{L}\p{N}_\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]', '', 'g'))"
+_TOKENS = f"SELECT 'tokens' AS check_name, document_id, concat_ws(' ', chunk_id, token_count, counted) AS detail FROM (SELECT *, {_COUNTED} AS counted FROM chunks) WHERE counted > 512 OR abs(token_count - counted) > 0.1 * greatest(counted, 1)"
+_VAULT = """SELECT * FROM (
+  SELECT 'vault' AS check_name, CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN doc_id % 11 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'differs' END AS detail FROM documents
+  UNION ALL SELECT 'vault', 'gone-' || doc_id, 'orphan' FROM documents WHERE doc_id % 13 = 0) WHERE detail IS NOT NULL"""
+_DRIFT = """SELECT 'drift' AS check_name, 'v' || label AS document_id, vec_id || ' ' || value AS detail FROM (
+  SELECT *, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(list_reverse(embedding) AS DOUBLE[])), 6) AS value FROM embeddings WHERE vec_id % 9 = 0) WHERE value < 0.999"""
+_FAULTS = """
+  held AS (SELECT document_id, chunk_index, count(*) AS times FROM chunks GROUP BY 1, 2), sz AS (SELECT document_id, count(*) AS n FROM chunks GROUP BY 1),
+  gone AS (SELECT w.document_id, w.i FROM (SELECT document_id, unnest(range(0, n)) AS i FROM sz) w ANTI JOIN held h ON h.document_id = w.document_id AND h.chunk_index = w.i),
+  runs AS (SELECT document_id, i, i - row_number() OVER (PARTITION BY document_id ORDER BY i) AS g FROM gone)
+SELECT document_id, 'missing' AS fault, min(i) AS chunk_index, max(i) AS until FROM runs GROUP BY document_id, g
+UNION ALL SELECT document_id, 'duplicate', chunk_index, chunk_index FROM held WHERE times > 1
+UNION ALL SELECT document_id, 'out of range', chunk_index, chunk_index FROM held JOIN sz USING (document_id) WHERE chunk_index IS NULL OR chunk_index < 0 OR chunk_index >= n
+UNION ALL SELECT document_id || '/empty', 'childless', NULL, NULL FROM docs"""
 
 ORACLES: dict[str, str] = {
     "hybrid_search": _search_sql(vector=True, text=["the", "query", "planner"], floor=FLOOR),
     "search_vector_only": _search_sql(vector=True, floor=FLOOR),
     "search_text_only": _search_sql(text=["the", "query", "planner"]),
     "search_no_floor": _search_sql(vector=True, text=["parser", "cache"], per_document=None),
-    "search_filtered": _search_sql(vector=True, text=["the", "query", "planner"], floor=0.0, where="collection = 'lanternhall' AND size_class = 1 AND coalesce(status, '') <> 'superseded'"),
+    "search_filtered": _search_sql(vector=True, text=["the", "query", "planner"], floor=0.0, where="collection = 'ploverweb' AND size_class = 1 AND coalesce(status, '') <> 'superseded'"),
     "search_per_document_cap": _search_sql(vector=True, text=["the"], per_document=1),
     "vector_knn": "SELECT vec_id AS chunk_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 3) q ORDER BY list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, chunk_id LIMIT 100",
     "vector_knn_all": f"""SELECT query_id, vec_id, round(similarity, 6) AS similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS place FROM (
@@ -262,7 +342,7 @@ SELECT chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM a
     "exclude_superseded": f"WITH {_DOCS} SELECT document_id FROM docs WHERE status <> 'superseded'",
     "text_tokens": f"SELECT lexeme, count(*) AS n_chunks FROM (SELECT unnest(list_distinct({_WORDS.replace('content', 'block_text')})) AS lexeme FROM note_blocks WHERE block_text IS NOT NULL) GROUP BY 1",
     "collection_counts": "SELECT collection_key AS collection, count(*) AS n_documents FROM documents WHERE collection_key IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50",
-    "document_lookup": "SELECT doc_id, title FROM documents WHERE source = 'curator' AND external_id = 'harborline/none'",
+    "document_lookup": "SELECT doc_id, title FROM documents JOIN (SELECT source, external_id FROM documents ORDER BY doc_id LIMIT 1) USING (source, external_id)",
     "report_totals": f"WITH {_EVENTS} SELECT count(*) AS n_rows, count(DISTINCT (note_external_id, session_id, retrieval_index)) AS n_retrievals, count(DISTINCT session_id) AS n_sessions, min(retrieved_at) AS first_at, max(retrieved_at) AS last_at FROM ev",
     "report_most_retrieved": f"WITH {_EVENTS} SELECT source, external_id, count(*) AS n_results, count(DISTINCT session_id) AS n_sessions FROM ev WHERE rank IS NOT NULL GROUP BY 1, 2 ORDER BY 3 DESC, 4 DESC, 1, 2 LIMIT 20",
     "report_never_retrieved": f"WITH {_EVENTS} SELECT coalesce(collection, '(none)') AS collection, count(*) AS n_documents FROM sd WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.rank IS NOT NULL AND ev.source = sd.source AND ev.external_id = sd.external_id) GROUP BY 1",
@@ -284,7 +364,10 @@ FROM n LEFT JOIN ev ON ev.note_external_id = n.note_external_id AND ev.retrieval
     "eval_by_collection": f"WITH {_CASES} SELECT coalesce(realm, '-') AS realm, collection, count(*) AS n_cases, round(avg(CASE WHEN coalesce(first_rank <= 3, false) THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(coalesce(1.0 / first_rank, 0)), 6) AS mrr FROM found WHERE NOT negative GROUP BY 1, 2",
     "audit_chunk_index": f"WITH {_DOCS} {_INDEX}",
     "audit_norms": f"WITH {_DOCS} {_NORM}",
-    "audit_all": f"WITH {_DOCS} SELECT check_name, CAST(1 AS BIGINT) AS check_order, document_id, detail FROM ({_INDEX}) UNION ALL SELECT check_name, 2, document_id, detail FROM ({_NORM})",
+    "audit_all": f"WITH {_DOCS} SELECT check_name, CAST(1 AS BIGINT) AS check_order, document_id, detail FROM ({_INDEX}) UNION ALL SELECT check_name, 2, document_id, detail FROM ({_NORM}) UNION ALL SELECT check_name, 3, document_id, detail FROM ({_TOKENS}) UNION ALL SELECT check_name, 4, document_id, detail FROM ({_VAULT}) UNION ALL SELECT check_name, 5, document_id, detail FROM ({_DRIFT})",
+    "audit_vault": _VAULT,
+    "audit_drift": _DRIFT,
+    "audit_chunk_faults": f"WITH {_DOCS}, " + _FAULTS,
     "audit_token_counts": f"WITH {_DOCS}, c AS (SELECT *, {_COUNTED} AS counted FROM chunks) SELECT 'tokens' AS check_name, document_id, concat_ws(' ', chunk_id, token_count, counted) AS detail FROM c WHERE counted > 512 OR abs(token_count - counted) > 0.1 * greatest(counted, 1)",
 }
 # The same over cases of every document.

@@ -219,3 +219,43 @@ def test_evaluation(spark):
     assert tuple(evaluate.scores(found).first()) == (0.5, 0.625, 1.0)
     assert tuple(evaluate.scores(found.limit(0)).first()) == (1.0, 1.0, 1.0)
     assert {r["realm"] for r in evaluate.by_collection(found).collect()} == {"-", "r"}
+
+
+def test_store_writes_chunks_with_documents(spark, tmp_path):
+    """Chunks and documents change in one move; a change of metadata leaves chunks; no chunks is a failure."""
+    store = Store(spark, tmp_path.as_uri())
+    shape = "source string, external_id string, content_hash string, title string, collection string, metadata string"
+    docs = lambda *rows: spark.createDataFrame([("o", *r) for r in rows], shape)
+    parts = lambda *rows: spark.createDataFrame([("o", *r, None, None) for r in rows], "source string, external_id string, chunk_index int, content string, token_count int, embedding array<float>")
+    options = {"columns": ["content_hash", "title", "collection", "metadata"], "at": F.lit("2026-01-01 00:00:00").cast("timestamp")}
+    actions = lambda df: {r["external_id"]: (r["action"], r["n_chunks"]) for r in df.collect()}
+    held = lambda: sorted((r["external_id"], r["chunk_index"], r["lexemes"]) for r in store.read("chunks").collect())
+    first = docs(("a", "h1", "T", "c", "{}"), ("b", "h2", "U", "c", "{}"), ("e", "h3", "V", "c", "{}"))
+    assert actions(store.upsert_documents(first, chunks=parts(("a", 0, "running dogs"), ("a", 1, None), ("b", 0, "cats")), **options)) == {"a": ("inserted", 2), "b": ("inserted", 1), "e": ("failed", 0)}
+    assert held() == [("a", 0, ["run", "dog"]), ("a", 1, None), ("b", 0, ["cat"])] and store.read("documents").count() == 2
+    again = docs(("a", "h9", "T", "c", "{}"), ("b", "h2", "U", "moved", "{}"))
+    assert actions(store.upsert_documents(again, chunks=parts(("a", 0, "parsers"), ("b", 0, "ignored")), **options)) == {"a": ("updated", 1), "b": ("metadata-updated", 1)}
+    assert held() == [("a", 0, ["parser"]), ("b", 0, ["cat"])]
+    assert store.update_metadata(docs(("b", "", "New", "", "")), ["title"], at=options["at"]) == 1
+    with pytest.raises(LookupError):
+        store.update_metadata(docs(("zz", "", "New", "", "")), ["title"], at=options["at"])
+    assert {r["external_id"]: r["title"] for r in store.read("documents").collect()} == {"a": "T", "b": "New"}
+    store.delete_documents(docs(("a", "", "", "", "")))
+    assert held() == [("b", 0, ["cat"])] and store.read("documents").count() == 1
+    assert len(list((tmp_path / "chunks").iterdir())) == 2  # the current snapshot and the one before
+
+
+def test_searching_a_store(spark, tmp_path):
+    """English search over stored lexemes: phrase, alternative, exclusion, and denser matches first."""
+    from tarnwork.operators.search import search
+
+    texts = ["the query planner plans", "planner of a query", "query planners and tomatoes", "a parser", "planner far away from any query at all", None]
+    store = Store(spark, tmp_path.as_uri())
+    docs = spark.createDataFrame([(f"d{k}", "o", "c", f"d{k}", f"T{k}", "{}") for k in range(6)], "document_id string, source string, collection string, external_id string, title string, metadata string")
+    parts = spark.createDataFrame([(k, f"d{k}", t, None) for k, t in enumerate(texts)], "chunk_id long, document_id string, content string, embedding array<float>")
+    store.put_searchable(docs, parts)
+    found = lambda q, **o: [r["chunk_id"] for r in search(store.read("documents"), store.read("chunks"), query_text=q, linked=True, **o).collect()]
+    assert found('"query planner"') == [0, 2] and set(found('"query planner" or parsers -tomatoes')) == {0, 2, 3}  # minus binds to its alternative
+    assert set(found("planner -tomatoes")) == {0, 1, 4}
+    assert found("query planner")[-1] == 4 and found("the") == [] and found("parsing") == []
+    assert found("parsers", filter_collection="x") == [] and found("parsers", filter_collection="c") == [3]
