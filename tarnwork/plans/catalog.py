@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["trees", "retrieval", "curation", "flows"]
+MODULES = ["trees", "retrieval", "curation", "flows", "ledger"]
 
 
 def collect() -> tuple[dict, dict]:
