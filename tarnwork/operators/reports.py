@@ -85,7 +85,38 @@ def similarity_histogram(events: DataFrame) -> DataFrame:
 
 def similarity_summary(events: DataFrame) -> DataFrame:
     """Least, middle and greatest similarity of the results."""
-    return events.filter("rank IS NOT NULL").agg(F.round(F.min("similarity"), 6).alias("least"), F.round(F.median("similarity"), 6).alias("middle"), F.round(F.max("similarity"), 6).alias("greatest"))
+    held = events.filter("rank IS NOT NULL AND similarity IS NOT NULL").select("similarity")
+    low, high = held.agg(F.min("similarity"), F.max("similarity")).first()
+    values = [None if v is None else round(v, 6) for v in (low, exact_median(held, "similarity"), high)]
+    return events.sparkSession.createDataFrame([tuple(values)], "least double, middle double, greatest double")
+
+
+def exact_median(df: DataFrame, column: str, *, few: int = 10_000, buckets: int = 1024) -> float | None:
+    """The median of a column without nulls. Rows are counted by buckets between the least and the greatest value, and again
+    within the bucket that holds the middle, until it has `few` distinct values: never more of them reach one place."""
+
+    def at(rows: DataFrame, rank: int) -> float:
+        while True:
+            low, high, distinct = rows.agg(F.min(column), F.max(column), F.approx_count_distinct(column)).first()
+            if low == high:
+                return low
+            if distinct <= few:
+                for value, n in rows.groupBy(column).agg(F.count("*").alias("n")).orderBy(column).collect():
+                    if rank < n:
+                        return value
+                    rank -= n
+            bucket = F.least(F.floor((F.col(column) - low) / (high - low) * buckets), F.lit(buckets - 1))
+            for k, n in rows.groupBy(bucket.alias("k")).agg(F.count("*").alias("n")).orderBy("k").collect():
+                if rank < n:
+                    rows = rows.filter(bucket == k)
+                    break
+                rank -= n
+
+    n = df.count()
+    if not n:
+        return None
+    first = at(df, (n - 1) // 2)
+    return first if n % 2 else (first + at(df, n // 2)) / 2
 
 
 def per_collection(events: DataFrame, channels: list[str]) -> DataFrame:

@@ -217,7 +217,7 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def week_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.coalesce("collection_key", F.lit("(none)")).alias("collection"), "created_at", "doc_id")
-    return curate.week_inputs(docs, group="collection", at="created_at", fields=["doc_id"], version="v1").select("collection", "week_start", "n_items")
+    return curate.week_inputs(docs, group="collection", at="created_at", fields=["doc_id"], version="v1").select("collection", "week_start", "n_items", "input_hash")
 
 
 def cache_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,7 +405,7 @@ SELECT path, full_path, n_edits FROM e JOIN a ON ('/' || replace(full_path, chr(
     "prefix_key_join": """WITH c AS (SELECT DISTINCT sha256(external_id) AS sha FROM documents), p AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN substr(sha256(external_id), 1, 9) ELSE substr(sha256('x' || external_id), 1, 7) END AS prefix FROM documents)
 SELECT prefix, CASE WHEN count(sha) = 1 THEN min(sha) END AS sha FROM p LEFT JOIN c ON starts_with(sha, prefix) GROUP BY 1""",
     "interval_join": "SELECT session_id, count(DISTINCT line_id) AS n_lines FROM (SELECT DISTINCT session_id, started_at, ended_at FROM sessions WHERE ended_at >= started_at) s JOIN transcript_lines t USING (session_id) WHERE ts BETWEEN started_at AND ended_at GROUP BY 1",
-    "week_buckets": "SELECT coalesce(collection_key, '(none)') AS collection, CAST(date_trunc('week', created_at) AS DATE) AS week_start, count(*) AS n_items FROM documents GROUP BY 1, 2",
+    "week_buckets": "SELECT coalesce(collection_key, '(none)') AS collection, CAST(date_trunc('week', created_at) AS DATE) AS week_start, count(*) AS n_items, sha256(concat_ws(':', 'v1', count(*), " + ", ".join(f"sum(CAST('0x' || substr(h, {k * 15 + 1}, 15) AS BIGINT))" for k in range(4)) + ")) AS input_hash FROM (SELECT *, sha256('{\"doc_id\":' || doc_id || '}') AS h FROM documents) GROUP BY 1, 2",
     "cache_plan": f"WITH {_DOCS}, i AS (SELECT d.*, coalesce(length(text), 0) AS size, row_number() OVER (PARTITION BY content_hash ORDER BY d.doc_id) AS place FROM docs d JOIN documents USING (doc_id)), h AS (SELECT DISTINCT content_hash FROM docs WHERE doc_id % 3 = 0) SELECT doc_id AS item_id, CASE WHEN h.content_hash IS NOT NULL THEN 'hit' WHEN place > 1 THEN 'duplicate' WHEN size > 3000 THEN 'too-large' ELSE 'miss' END AS plan FROM i LEFT JOIN h USING (content_hash)",
     "note_similarity": "SELECT a.vec_id, round(greatest(max(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 0), 6) AS similarity FROM embeddings a JOIN embeddings b USING (label) WHERE b.vec_id % 20 = 0 AND a.vec_id <> b.vec_id GROUP BY 1",
     "mention_join": "SELECT DISTINCT record_id, unnest(regexp_extract_all(description, '\\bDK[0-9]+\\b')) AS id FROM subagents WHERE description IS NOT NULL",

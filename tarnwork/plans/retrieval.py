@@ -43,7 +43,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.join(vectors, "chunk_id", "left")
 
 
-_STORES: dict[tuple, Store] = {}
+_STORES: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str, config: str = "simple") -> tuple[DataFrame, DataFrame]:
@@ -59,8 +59,8 @@ def stored(spark: SparkSession, sf_dir: str, config: str = "simple") -> tuple[Da
     if key not in _STORES:
         store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex[:12]}")
         store.put_searchable(documents(spark, sf_dir), chunks(spark, sf_dir), config=config)
-        _STORES[key] = store
-    return _STORES[key].read("documents"), _STORES[key].read("chunks")
+        _STORES[key] = store.read("documents"), store.read("chunks")
+    return _STORES[key]
 
 
 def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:

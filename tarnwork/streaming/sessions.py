@@ -7,10 +7,8 @@ state in the shared folder, so that a restarted run goes on where the last one e
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,18 +50,10 @@ def ratchet(events: DataFrame, *, key: str, status: str) -> DataFrame:
 
 
 def ratchet_stream(events: DataFrame, *, key: str, status: str) -> DataFrame:
-    """`ratchet` with state kept by key across micro-batches; one row per key and batch in which it advanced."""
-    rank = {s: k for k, s in enumerate(STATUSES)}
-
-    def step(name: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        (best,) = state.get if state.exists else (-1,)
-        top = max([best, *(rank.get(s, 0) for b in batches for s in b["status"])])
-        if top > best:
-            state.update((top,))
-            yield pd.DataFrame({"key": [name[0]], "status": [STATUSES[top]]})
-
-    picked = events.select(F.col(key).cast("string").alias("key"), F.col(status).alias("status"))
-    return picked.groupBy("key").applyInPandasWithState(step, "key string, status string", "top int", "append", "NoTimeout")
+    """`ratchet` of a stream, with the greatest rank of each key kept as state across micro-batches; in update mode a batch
+    gives one row for each key that it touched."""
+    best = events.groupBy(F.col(key).cast("string").alias("key")).agg(F.max(status_rank(F.col(status))).alias("best"))
+    return best.select("key", F.element_at(F.array(*map(F.lit, STATUSES)), F.col("best") + 1).alias("status"))
 
 
 def conclude(notes: DataFrame, *, now: Column, hours: float = 24) -> DataFrame:

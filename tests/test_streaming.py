@@ -25,13 +25,14 @@ def test_restarted_stream(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema("key string, status string").parquet(source.as_uri())
-        sessions.run_available(sessions.ratchet_stream(stream, key="key", status="status"), lambda df, _: df.write.mode("append").parquet(out.as_uri()), mode="append", name=name)
+        sessions.run_available(sessions.ratchet_stream(stream, key="key", status="status"), lambda df, _: df.write.mode("append").parquet(out.as_uri()), mode="update", name=name)
 
     run()
     put([("a", "concluded"), ("b", "planning")])
     run()
     rows = sorted(tuple(r) for r in spark.read.parquet(out.as_uri()).collect())
-    assert rows == [("a", "concluded"), ("a", "planning"), ("b", "active")]
+    # The second batch knows the state of the first: `b` stays active though it is told to be planning.
+    assert rows == [("a", "concluded"), ("a", "planning"), ("b", "active"), ("b", "active")]
 
 
 def test_conclude_merge_inherit(spark):
