@@ -86,7 +86,7 @@ def vault(notes: DataFrame, stored: DataFrame, *, fresh_since: Column | None = N
 def drift(chunks: DataFrame, made: DataFrame, *, threshold: float = 0.999) -> DataFrame:
     """Chunks whose stored vector is no longer what the embedder makes (`chunk_id, vector`)."""
     value = cosine(F.col("embedding"), F.col("vector"))
-    return chunks.join(made, "chunk_id").withColumn("value", F.round(value, 6)).filter(~F.coalesce(F.col("value") >= threshold, F.lit(False))).select(*_finding("drift", F.concat_ws(" ", "chunk_id", "value")))
+    return chunks.join(made, "chunk_id").withColumn("value", F.round(value, 6)).filter(~F.coalesce(F.col("value") >= threshold, F.lit(False))).select(*_finding("drift", F.concat_ws(" ", "chunk_id", F.col("value").cast("decimal(9,6)").cast("string"))))
 
 
 def sample(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:

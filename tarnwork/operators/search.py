@@ -64,18 +64,9 @@ def _rank_of(found: Column, wanted: list[str], every: bool, mode: str) -> Column
     return density(found)
 
 
-def search(documents: DataFrame, chunks: DataFrame, *, query_embedding: Sequence[float] | None = None, query_text: str | None = None, match_count: int = 10, filter_source: str | None = None, filter_collection: str | None = None, rrf_k: int = 60, max_per_document: int | None = 3, min_similarity: float | None = 0.70, filter_metadata: dict[str, Any] | None = None, include_superseded: bool = True, config: str = "english", rank_mode: str = "cover", linked: bool = False) -> DataFrame:
-    """The `match_count` best chunks, columns `RESULT`.
-
-    `documents`: `document_id, source, collection, external_id, title, metadata`; `chunks`: `chunk_id,
-    document_id, content, embedding` and, where the caller stores them, `lexemes`. Chunks below
-    `min_similarity` leave the vector arm; a text match of only part of the lexemes must come within the
-    keyword margin of it, and a chunk without vector fails that. Null texts match nothing. Ties: chunk id.
-    `linked` says that every chunk has its document, as in a store; then a search without filters needs no join.
-
-    The ranking runs when the search is called; its result, at most `match_count` rows, is then fetched by id, so that
-    texts are read for these only and the ids reach the scans as filters.
-    """
+def ranked_chunks(documents: DataFrame, chunks: DataFrame, *, query_embedding: Sequence[float] | None = None, query_text: str | None = None, match_count: int = 10, filter_source: str | None = None, filter_collection: str | None = None, rrf_k: int = 60, max_per_document: int | None = 3, min_similarity: float | None = 0.70, filter_metadata: dict[str, Any] | None = None, include_superseded: bool = True, config: str = "english", rank_mode: str = "cover", linked: bool = False) -> DataFrame | None:
+    """The ranking of `search`, not yet run: `chunk_id`, `owner`, `fused_score`, `vector_similarity` of at most `match_count`
+    chunks; None where the text holds no lexeme and there is no vector."""
     check_arguments(query_embedding, query_text, match_count, max_per_document, filter_metadata)
     pool = max(match_count * 10, 100)
     allowed = eligible_documents(documents, filter_source=filter_source, filter_collection=filter_collection, filter_metadata=filter_metadata, include_superseded=include_superseded).select("document_id")
@@ -112,13 +103,30 @@ def search(documents: DataFrame, chunks: DataFrame, *, query_embedding: Sequence
         arms.append(matched.select("chunk_id", "document_id", "similarity", F.row_number().over(Window.orderBy(*order)).alias("rank")))
 
     if not arms:
-        empty = chunks.limit(0).join(documents, "document_id")
-        return empty.select(*[c for c in RESULT[:-2]], F.lit(0.0).alias("fused_score"), F.lit(0.0).alias("vector_similarity"))
+        return None
     fused = fuse(arms, rrf_k)  # each arm is one sorted partition of at most `pool` rows: what follows is one task
     best = fused.withColumn("per_document", F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("fused_score"), "chunk_id")))
     if max_per_document is not None:
         best = best.filter(F.col("per_document") <= max_per_document)
-    top = best.orderBy(F.desc("fused_score"), "chunk_id").limit(match_count).select("chunk_id", F.col("document_id").alias("owner"), "fused_score", F.col("similarity").alias("vector_similarity"))
+    return best.orderBy(F.desc("fused_score"), "chunk_id").limit(match_count).select("chunk_id", F.col("document_id").alias("owner"), "fused_score", F.col("similarity").alias("vector_similarity"))
+
+
+def search(documents: DataFrame, chunks: DataFrame, *, query_embedding: Sequence[float] | None = None, query_text: str | None = None, match_count: int = 10, filter_source: str | None = None, filter_collection: str | None = None, rrf_k: int = 60, max_per_document: int | None = 3, min_similarity: float | None = 0.70, filter_metadata: dict[str, Any] | None = None, include_superseded: bool = True, config: str = "english", rank_mode: str = "cover", linked: bool = False) -> DataFrame:
+    """The `match_count` best chunks, columns `RESULT`.
+
+    `documents`: `document_id, source, collection, external_id, title, metadata`; `chunks`: `chunk_id,
+    document_id, content, embedding` and, where the caller stores them, `lexemes`. Chunks below
+    `min_similarity` leave the vector arm; a text match of only part of the lexemes must come within the
+    keyword margin of it, and a chunk without vector fails that. Null texts match nothing. Ties: chunk id.
+    `linked` says that every chunk has its document, as in a store; then a search without filters needs no join.
+
+    The ranking runs when the search is called; its result, at most `match_count` rows, is then fetched by id, so that
+    texts are read for these only and the ids reach the scans as filters.
+    """
+    top = ranked_chunks(documents, chunks, query_embedding=query_embedding, query_text=query_text, match_count=match_count, filter_source=filter_source, filter_collection=filter_collection, rrf_k=rrf_k, max_per_document=max_per_document, min_similarity=min_similarity, filter_metadata=filter_metadata, include_superseded=include_superseded, config=config, rank_mode=rank_mode, linked=linked)
+    if top is None:
+        empty = chunks.limit(0).join(documents, "document_id")
+        return empty.select(*[c for c in RESULT[:-2]], F.lit(0.0).alias("fused_score"), F.lit(0.0).alias("vector_similarity"))
     rows = top.collect()  # at most `match_count`
     spark = chunks.sparkSession
     found = spark.createDataFrame([tuple(r) for r in rows], top.schema)

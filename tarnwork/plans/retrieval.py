@@ -314,7 +314,7 @@ _TOKENS = f"SELECT 'tokens' AS check_name, document_id, concat_ws(' ', chunk_id,
 _VAULT = """SELECT * FROM (
   SELECT 'vault' AS check_name, CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN doc_id % 11 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'differs' END AS detail FROM documents
   UNION ALL SELECT 'vault', 'gone-' || doc_id, 'orphan' FROM documents WHERE doc_id % 13 = 0) WHERE detail IS NOT NULL"""
-_DRIFT = """SELECT 'drift' AS check_name, 'v' || label AS document_id, vec_id || ' ' || value AS detail FROM (
+_DRIFT = """SELECT 'drift' AS check_name, 'v' || label AS document_id, vec_id || ' ' || CAST(value AS DECIMAL(9, 6)) AS detail FROM (
   SELECT *, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(list_reverse(embedding) AS DOUBLE[])), 6) AS value FROM embeddings WHERE vec_id % 9 = 0) WHERE value < 0.999"""
 _FAULTS = """
   held AS (SELECT document_id, chunk_index, count(*) AS times FROM chunks GROUP BY 1, 2), sz AS (SELECT document_id, count(*) AS n FROM chunks GROUP BY 1),

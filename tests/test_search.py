@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tarnwork.functions.jsonq import canonical, contains, string_list
 from tarnwork.functions.lexical import cover_density, lexemes_of, needed_lexemes, parse_websearch, stem
 from tarnwork.functions.vector import HashingEmbedder, cosine, embed_column
-from tarnwork.operators.search import fuse, named_filters, search, search_context
+from tarnwork.operators.search import fuse, named_filters, ranked_chunks, search, search_context
 
 
 @pytest.fixture(scope="module")
@@ -62,7 +62,7 @@ def plan(df):
 
 
 def test_plan(store):
-    text = plan(search(*store, query_embedding=[1.0, 0.0], min_similarity=0.5))
+    text = plan(ranked_chunks(*store, query_embedding=[1.0, 0.0], min_similarity=0.5))
     assert "TakeOrderedAndProject" in text or "GlobalLimit" in text
     assert not any(x in text for x in ("EvalPython", "MapInArrow", "MapInPandas"))
     assert "WindowGroupLimit" in text
