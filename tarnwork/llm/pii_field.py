@@ -49,7 +49,7 @@ class Known:
     """What features of a text's candidates look up: whether it labels a number of a person, and ordinary words."""
 
     labelled: bool
-    common: frozenset[str]
+    words_key: int
 
 
 def _number(text: str, c: Candidate, out: list[str], known: Known) -> None:
@@ -119,9 +119,14 @@ def _address(text: str, c: Candidate, out: list[str], known: Known) -> None:
         out.append("a:next=" + fold(m[1]))
 
 
+# Sets of ordinary words by their hash: a worker gets an equal set with every task, and comparing sets is dear.
+_COMMON: dict[int, frozenset[str]] = {}
+
+
 @lru_cache(maxsize=1 << 16)
-def _name_itself(raw: str, common: frozenset[str]) -> tuple[str, ...]:
+def _name_itself(raw: str, words_key: int) -> tuple[str, ...]:
     """Features of a name-like span by itself."""
+    common = _COMMON[words_key]
     out: list[str] = []
     words = raw.replace(",", " ").split()
     first, last = words[0], words[-1]
@@ -157,7 +162,7 @@ def _name_itself(raw: str, common: frozenset[str]) -> tuple[str, ...]:
 
 
 def _name(text: str, c: Candidate, out: list[str], known: Known) -> None:
-    out += _name_itself(text[c.start : c.end], known.common)
+    out += _name_itself(text[c.start : c.end], known.words_key)
     before, after = text[max(0, c.start - 30) : c.start], text[c.end : c.end + 20]
     out.append("p:before=" + (before[-1:] if not before[-1:].isalnum() else "x") + "|" + before[-2:-1])
     out.append("p:after=" + (after[:2] if not after[:1].isalnum() else "x"))
@@ -187,7 +192,8 @@ class Graph:
 
     def add(self, text: str, found: list[Candidate], known: dict[str, int], grow: bool = False) -> None:
         base = len(self.sort)
-        about = Known(any(c.sort == NUMBER for c in found) and _ID_BEFORE.search(text) is not None, self.common)
+        about = Known(any(c.sort == NUMBER for c in found) and _ID_BEFORE.search(text) is not None, hash(self.common))
+        _COMMON.setdefault(about.words_key, self.common)
         same: dict[str, int] = {}
         word: dict[str, int] = {}
         for k, c in enumerate(found):
