@@ -2,11 +2,12 @@
 
 Each language has its own topics, fitted without labels: variational Bayes with Dirichlet priors on the topics of a
 document and on the words of a topic. The first topic has a greater prior and stands for words that any text may hold.
-Topics start from groups of words that keep company in a bounded sample; then every round is one map over all documents, whose
-sums of expected counts are combined by word and topic. Words are numbered by hash into a fixed number of buckets, so
-that none is left out and the model's size doesn't grow with the corpus.
+Topics start from groups of words that keep company in all documents, found by subspace iteration; every pass of it and
+every round after is one map over all documents, whose sums are combined by word and dimension or topic. Words are
+numbered by hash into a fixed number of buckets, so that none is left out and the model's size doesn't grow with the
+corpus.
 
-Labels only serve to read the topics: a topic stands for the subject whose labelled documents hold most of its top
+Labels, all of them, only serve to read the topics: a topic stands for the subject whose labelled documents hold most of its top
 terms, or for none where no subject stands out. Sentences, list items and table rows treat a subject when the topic
 proportions of their document give at least half a word of theirs to topics of that subject; documents are assigned
 from the shares of their sentences.
@@ -18,7 +19,7 @@ import html
 import io
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -30,11 +31,11 @@ from pyspark.sql import functions as F
 
 from tarnwork.runtime import arrow_map, cut_lineage, read_bytes, write_bytes
 
-#: Labelled documents that the map of topics uses at most; documents of the sample that topics start from, and words
-#: of a language that are grouped there.
-LABELLED, START, START_WORDS = 20_000, 6_000, 3_000
 #: Topics of a language, word buckets of a language, rounds over all documents.
 TOPICS, BUCKETS, ROUNDS = 24, 1 << 16, 3
+#: Of the start: dimensions of a word's company, passes over all documents, what is added to the number of documents of
+#: a word and of words of a document (times their means), beginnings of the grouping.
+DIMENSIONS, PASSES, EVEN, TRIES = 24, 4, 0.3, 8
 #: Dirichlet priors: of the general topic and the others in a document, of a word in a topic.
 GENERAL, ALPHA, BETA = 2.0, 0.1, 0.01
 SHARE = 0.25
@@ -196,11 +197,19 @@ def _texts(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL AND text != ''")
 
 
+#: Types of the numbers in encoded documents; a term is a bucket.
+LENGTH, MARK, TERM = np.dtype("<i4"), np.dtype("i1"), np.dtype("<u2")
+
+
 def encode(documents: DataFrame) -> DataFrame:
     """`doc_id`, `lengths` (terms of each sentence), `marks` (its language) and `terms` (buckets) of every text that
-    isn't empty; written, as every round starts from it."""
-    schema = pa.schema([("doc_id", pa.int64()), ("lengths", pa.list_(pa.int32())), ("marks", pa.list_(pa.int8())), ("terms", pa.list_(pa.int32()))])
-    ends = lambda counts: pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
+    isn't empty, each a run of numbers as bytes, which is cheaper to read than arrays; written, as every round starts
+    from it."""
+    schema = pa.schema([("doc_id", pa.int64()), ("lengths", pa.binary()), ("marks", pa.binary()), ("terms", pa.binary())])
+
+    def runs(counts: np.ndarray, numbers: np.ndarray) -> pa.Array:
+        ends = np.r_[0, np.cumsum(counts) * numbers.itemsize].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(numbers)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, by_text=1):
@@ -208,10 +217,10 @@ def encode(documents: DataFrame) -> DataFrame:
             lengths = np.bincount(t.sentence, minlength=len(t.doc))
             sentences_of = np.bincount(t.doc, minlength=batch.num_rows)
             terms_in = np.bincount(t.doc, weights=lengths, minlength=batch.num_rows)
-            lists = [(sentences_of, lengths.astype(np.int32)), (sentences_of, t.language.astype(np.int8)), (terms_in, t.bucket.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.ListArray.from_arrays(ends(n), pa.array(v)) for n, v in lists]], schema=schema)
+            lists = [(sentences_of, lengths.astype(LENGTH)), (sentences_of, t.language.astype(MARK)), (terms_in, t.bucket.astype(TERM))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[runs(n, v) for n, v in lists]], schema=schema)
 
-    return cut_lineage(arrow_map(_texts(documents), run, "doc_id bigint, lengths array<int>, marks array<tinyint>, terms array<int>"), "encoded")
+    return cut_lineage(arrow_map(_texts(documents), run, "doc_id bigint, lengths binary, marks binary, terms binary"), "encoded")
 
 
 def _slices(batches: Iterator[pa.RecordBatch], by_text: int | None = None) -> Iterator[pa.RecordBatch]:
@@ -229,9 +238,19 @@ def _slices(batches: Iterator[pa.RecordBatch], by_text: int | None = None) -> It
 
 
 def _arrays(batch: pa.RecordBatch) -> Terms:
-    lengths = batch.column("lengths").flatten().to_numpy().astype(np.int64)
-    doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("lengths")).to_numpy(zero_copy_only=False))
-    return Terms(doc, batch.column("marks").flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(lengths)), lengths), batch.column("terms").flatten().to_numpy().astype(np.int64))
+    lengths, _ = _numbers(batch.column("lengths"), LENGTH)
+    marks, sentences_of = _numbers(batch.column("marks"), MARK)
+    terms, _ = _numbers(batch.column("terms"), TERM)
+    return Terms(np.repeat(np.arange(batch.num_rows), sentences_of), marks, np.repeat(np.arange(len(lengths)), lengths), terms)
+
+
+def _numbers(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of a column of runs, and how many each row has."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    held = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+    return np.frombuffer(held.tobytes(), kind).astype(np.int64), np.diff(ends) // kind.itemsize
 
 
 def _digamma(x: np.ndarray) -> np.ndarray:
@@ -266,14 +285,7 @@ def infer(doc: np.ndarray, bucket: np.ndarray, documents: int, weights: np.ndarr
     alpha = np.full(topics, ALPHA, np.float32)
     alpha[0] = GENERAL
     out = np.tile(alpha, (documents, 1))
-    size = 256
-    cuts = np.searchsorted(doc, np.arange(0, documents + size, size))
-    for k, (low, high) in enumerate(zip(cuts, cuts[1:])):
-        if low == high:
-            continue
-        first, number = k * size, min(size, documents - k * size)
-        seen, code = np.unique(bucket[low:high], return_inverse=True)
-        counts = np.bincount((doc[low:high] - first) * len(seen) + code, minlength=number * len(seen)).reshape(number, len(seen)).astype(np.float32)
+    for rows, seen, counts in _blocks(doc, bucket, documents):
         words = weights[seen]
         gamma = alpha + counts.sum(1, keepdims=True) / topics
         for _ in range(rounds):
@@ -282,82 +294,158 @@ def infer(doc: np.ndarray, bucket: np.ndarray, documents: int, weights: np.ndarr
         mixed = np.exp(_digamma(gamma))
         if sums is not None:
             sums[seen] += words * ((counts / (mixed @ words.T + 1e-30)).T @ mixed)
-        out[first : first + number] = gamma
+        out[rows] = gamma
     return out
 
 
+def _blocks(doc: np.ndarray, bucket: np.ndarray, documents: int, size: int = 256) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Blocks of documents that have terms: their rows, the buckets in them, and the counts of documents by buckets.
+    `doc` must be sorted."""
+    cuts = np.searchsorted(doc, np.arange(0, documents + size, size))
+    there, code = np.zeros(BUCKETS, bool), np.zeros(BUCKETS, np.int64)
+    for k, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        if low == high:
+            continue
+        first, number = k * size, min(size, documents - k * size)
+        there[bucket[low:high]] = True
+        seen = np.flatnonzero(there)
+        there[seen] = False
+        code[seen] = np.arange(len(seen))
+        counts = np.bincount((doc[low:high] - first) * len(seen) + code[bucket[low:high]], minlength=number * len(seen)).reshape(number, len(seen))
+        yield slice(first, first + number), seen, counts.astype(np.float32)
+
+
 def _by_language(t: Terms) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For each language: its number, the documents that have terms of it, and of each such term which of these
     documents it is in and its own number."""
     language, doc = t.language[t.sentence], t.doc[t.sentence]
-    for k in np.unique(language):
+    for k in np.flatnonzero(np.bincount(language)):
         term = np.flatnonzero(language == k)
-        docs, code = np.unique(doc[term], return_inverse=True)
-        yield int(k), docs, code, term
-
-
-def first_topics(doc: np.ndarray, bucket: np.ndarray, documents: int, topics: int = TOPICS, rounds: int = 15) -> Topics:
-    """Topics fitted on a sample of one language, started from groups of words that keep company.
-
-    A word's company is how much more often than by chance it shares documents with each other word (the `START_WORDS`
-    words in most documents of the sample take part). Words are grouped by it around centres that are drawn far apart
-    (fixed seed) and then moved. A word starts in its group's topic by its nearness to the centre, else in the general
-    topic, where all other words start."""
-    seen, code = np.unique(bucket, return_inverse=True)
-    total = np.bincount(code, minlength=len(seen)).astype(np.float64)
-    pairs = np.unique(doc * len(seen) + code)
-    spread = np.bincount(pairs % len(seen), minlength=len(seen))
-    picked = np.flatnonzero(spread >= 3)
-    picked = picked[np.argsort(-spread[picked], kind="stable")[:START_WORDS]]
-    start = np.zeros((len(seen), topics))
-    start[:, 0] = total
-    if len(picked) > 1:
-        number = np.full(len(seen), -1)
-        number[picked] = np.arange(len(picked))
-        row, column = pairs // len(seen), number[pairs % len(seen)]
-        held = np.zeros((documents, len(picked)), np.float32)
-        held[row[column >= 0], column[column >= 0]] = 1
-        group, near = _company(held, topics - 1)
-        start[picked, 0] *= 1 - near
-        start[picked, group + 1] += total[picked] * near
-    found = Topics(seen, start)
-    for _ in range(rounds):
-        sums = np.zeros((BUCKETS, topics), np.float32)
-        infer(doc, bucket, documents, found.weights(), sums=sums)
-        found = Topics(seen, sums[seen].astype(np.float64))
-    return found
-
-
-def _company(held: np.ndarray, groups: int, moves: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Group of each column of `held` (documents by words) and its nearness to the group's centre, from 0 to 1."""
-    spread = held.sum(0)
-    both = held.T @ held
-    company = np.log(np.maximum(both, 1e-9) * len(held) / np.outer(spread, spread))
-    company[both < 2] = 0
-    np.maximum(company, 0, out=company)
-    norm = np.linalg.norm(company, axis=1, keepdims=True)
-    company = np.divide(company, norm, out=np.zeros_like(company), where=norm > 0)
-    weight = spread * (norm[:, 0] > 0)
-    dice, centres, far = np.random.default_rng(7), [], np.ones(len(spread))
-    for _ in range(groups):
-        chance = weight * np.maximum(far, 0) ** 2
-        if chance.sum() <= 0:
+        first = np.r_[True, np.diff(doc[term]) > 0]  # documents are in order
+        yield int(k), doc[term][first], np.cumsum(first) - 1, term
+
+
+def _sums(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[int, np.ndarray]]], width: int) -> dict[int, Topics]:
+    """What `function` counts in each task by language, bucket and column (of `width`), summed up over all tasks; at most
+    one row a bucket of each language leaves a task or reaches the driver."""
+    names = [f"c{k}" for k in range(width)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for language, sums in function(batches):
+            seen = np.flatnonzero(sums.any(1))
+            columns = [pa.array(c) for c in np.ascontiguousarray(sums[seen].T, np.float64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), language, np.int32)), pa.array(seen.astype(np.int32)), *columns], names=["language", "bucket", *names])
+
+    rows = arrow_map(df, run, ", ".join(["language int, bucket int", *(f"{n} double" for n in names)]))
+    table = rows.groupBy("language", "bucket").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    language, bucket, *columns = (c.to_numpy() for c in table.columns)
+    order = np.lexsort((bucket, language))
+    language, bucket, counts = language[order], bucket[order].astype(np.int64), np.stack(columns, 1)[order]
+    return {int(k): Topics(bucket[language == k], counts[language == k]) for k in np.unique(language)}
+
+
+def first_topics(coded: DataFrame, topics: int = TOPICS) -> dict[int, Topics]:
+    """Topics of every language to start from: groups of words that keep company in all documents.
+
+    A word's company is its place in the leading dimensions of correspondence analysis of documents and words, which
+    subspace iteration finds (fixed seed): a pass gives each document the mean of its words' places and each word the
+    mean of its documents'. Words of few documents and documents of few words are drawn to the middle. A word starts in
+    its group's topic by its nearness to the group's centre, else in the general topic."""
+    known = _sums(coded, _spreads, 3)
+    dice = np.random.default_rng(7)
+    root, common, place, added = {}, {}, {}, {}
+    for k, t in sorted(known.items()):
+        spread = t.counts[:, 1]
+        root[k] = np.sqrt(spread + EVEN * spread.mean())
+        common[k] = np.sqrt(spread / spread.sum())  # the dimension that tells only how frequent words are
+        place[k] = dice.standard_normal((len(spread), DIMENSIONS))
+        added[k] = EVEN * spread.sum() / t.counts[:, 2].sum()
+    for _ in range(PASSES):
+        now = {}
+        for k, t in known.items():
+            base = np.linalg.qr(place[k] - np.outer(common[k], common[k] @ place[k]))[0]
+            scaled = np.zeros((len(base), DIMENSIONS), np.float32)
+            scaled[:, : base.shape[1]] = base / root[k][:, None]  # fewer dimensions where a language has fewer words
+            now[k] = Topics(t.bucket, scaled)
+        moved = _sums(coded, lambda batches, now=now: _meet(batches, now, added), DIMENSIONS)
+        for k, t in known.items():
+            place[k] = np.zeros((len(t.bucket), DIMENSIONS))
+            if k in moved:
+                place[k][np.searchsorted(t.bucket, moved[k].bucket)] = moved[k].counts
+            place[k] /= root[k][:, None]
+            place[k] -= np.outer(common[k], common[k] @ place[k])
+    out = {}
+    for k, t in known.items():
+        group, near = _groups(place[k] / root[k][:, None], t.counts[:, 1], topics - 1)
+        start = np.zeros((len(t.bucket), topics))
+        start[:, 0] = t.counts[:, 0] * (1 - near)
+        start[np.arange(len(start)), group + 1] += t.counts[:, 0] * near
+        out[k] = Topics(t.bucket, start)
+    return out
+
+
+def _spreads(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """Of one task's documents, by bucket: its terms, the documents that hold it, and its part of these documents (one
+    by their number of buckets), which sums up to the number of documents."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in _slices(batches):
+        t = _arrays(batch)
+        for k, docs, code, term in _by_language(t):
+            for _, seen, counts in _blocks(code, t.bucket[term], len(docs)):
+                held = np.minimum(counts, 1)
+                columns = [counts.sum(0), held.sum(0), (1 / np.maximum(held.sum(1), 1)) @ held]
+                sums.setdefault(k, np.zeros((BUCKETS, 3)))[seen] += np.stack(columns, 1)
+    yield from sums.items()
+
+
+def _meet(batches: Iterator[pa.RecordBatch], now: dict[int, Topics], added: dict[int, float]) -> Iterator[tuple[int, np.ndarray]]:
+    """Of one task's documents, by bucket: the sum over documents that hold it of the mean place of their buckets.
+    `added` goes to a document's number of buckets."""
+    places: dict[int, np.ndarray] = {}
+    sums: dict[int, np.ndarray] = {}
+    for batch in _slices(batches):
+        t = _arrays(batch)
+        for k, docs, code, term in _by_language(t):
+            if k not in places:
+                places[k] = np.zeros((BUCKETS, DIMENSIONS), np.float32)
+                places[k][now[k].bucket] = now[k].counts
+                sums[k] = np.zeros((BUCKETS, DIMENSIONS))
+            for _, seen, counts in _blocks(code, t.bucket[term], len(docs)):
+                held = np.minimum(counts, 1)
+                mean = held @ places[k][seen] / (held.sum(1, keepdims=True) + np.float32(added[k]))
+                sums[k][seen] += held.T @ mean
+    yield from sums.items()
+
+
+def _groups(rows: np.ndarray, weight: np.ndarray, groups: int, moves: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Group of each row by its direction and its nearness to the group's centre, from 0 to 1. Centres are drawn far
+    apart (fixed seed) and then moved; of `TRIES` beginnings the one whose rows are nearest to their centres counts."""
+    norm = np.linalg.norm(rows, axis=1, keepdims=True)
+    rows = np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 1e-12)
+    weight = weight * (norm[:, 0] > 1e-12)
+    dice, best = np.random.default_rng(7), (-1.0, np.zeros(len(rows), np.int64), np.zeros(len(rows)))
+    for _ in range(TRIES):
+        centres, far = [], np.ones(len(rows))
+        for _ in range(groups):
+            chance = weight * np.maximum(far, 0) ** 2
+            if chance.sum() <= 0:
+                break
+            chosen = dice.choice(len(rows), p=chance / chance.sum())
+            centres.append(rows[chosen])
+            far = np.minimum(far, 1 - rows @ rows[chosen])
+        if not centres:
             break
-        chosen = dice.choice(len(spread), p=chance / chance.sum())
-        centres.append(company[chosen])
-        far = np.minimum(far, 1 - company @ company[chosen])
-    if not centres:
-        return np.zeros(len(spread), np.int64), np.zeros(len(spread))
-    centre = np.array(centres)
-    for _ in range(moves):
-        near = company @ centre.T
-        own = near.argmax(1)
-        moved = np.zeros_like(centre)
-        np.add.at(moved, own, company * (weight * near.max(1))[:, None])
-        length = np.linalg.norm(moved, axis=1, keepdims=True)
-        centre = np.where(length > 0, moved / np.maximum(length, 1e-12), centre)
-    near = company @ centre.T
-    return near.argmax(1), np.clip(near.max(1), 0, 1).astype(np.float64)
+        centre = np.array(centres)
+        for _ in range(moves):
+            near = rows @ centre.T
+            own = near.argmax(1)[:, None] == np.arange(len(centre))
+            moved = own.T.astype(np.float64) @ (rows * (weight * near.max(1))[:, None])
+            length = np.linalg.norm(moved, axis=1, keepdims=True)
+            centre = np.where(length > 0, moved / np.maximum(length, 1e-12), centre)
+        near = rows @ centre.T
+        if (total := float(weight @ near.max(1))) > best[0]:
+            best = (total, near.argmax(1), np.clip(near.max(1), 0, 1))
+    return best[1:]
 
 
 @dataclass
@@ -383,65 +471,24 @@ class Model:
             return Model(held["subjects"].tolist(), {k: Topics(held[f"bucket{k}"], held[f"counts{k}"]) for k in languages}, {k: held[f"stands{k}"] for k in languages})
 
 
-_CELLS = "language int, cell bigint, n double"
-
-
-def _cells(language: int, sums: np.ndarray) -> pa.RecordBatch:
-    """The sums of a language that aren't zero, by bucket times width plus column."""
-    cell = np.flatnonzero(sums > 1e-6)
-    return pa.RecordBatch.from_pydict({"language": pa.array(np.full(len(cell), language, np.int32)), "cell": pa.array(cell), "n": pa.array(sums.ravel()[cell].astype(np.float64))})
-
-
-def _collect(rows: DataFrame, width: int) -> dict[int, Topics]:
-    """Cells of all tasks summed up; at most buckets times width of each language reach the driver."""
-    table = rows.groupBy("language", "cell").agg(F.sum("n").alias("n")).toArrow()
-    language, cell, n = (table.column(k).to_numpy() for k in range(3))
-    out = {}
-    for k in np.unique(language):
-        at = language == k
-        seen, code = np.unique(cell[at] // width, return_inverse=True)
-        counts = np.zeros((len(seen), width))
-        counts[code, cell[at] % width] = n[at]
-        out[int(k)] = Topics(seen, counts)
-    return out
-
-
-def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame, *, start: int = START, rounds: int = ROUNDS, topics: int = TOPICS, labelled: int = LABELLED) -> tuple[Model, DataFrame]:
+def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame, *, rounds: int = ROUNDS, topics: int = TOPICS) -> tuple[Model, DataFrame]:
     """The model fitted on all documents, and the encoded documents.
 
-    Topics start from the `start` documents with the least hash of their id and are refitted in `rounds` rounds over
-    all. `labels` name subjects in any case and with blanks around, unknown names don't count; the map of topics to
-    subjects uses at most `labelled` labelled documents, those with the least hash of their id.
+    Topics start from the company that words keep in all documents and are refitted in `rounds` rounds over all.
+    `labels` name subjects in any case and with blanks around, unknown names don't count; all labelled documents take
+    part in the map of topics to subjects.
     """
     coded = encode(documents)
-    least = [F.xxhash64("doc_id"), "doc_id"]
-
-    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_arrays(b) for b in batches]
-        if not parts:
-            return
-        shift = np.cumsum([0] + [int(p.doc.max(initial=-1)) + 1 for p in parts])
-        doc = np.concatenate([p.doc[p.sentence] + s for p, s in zip(parts, shift)])
-        language = np.concatenate([p.language[p.sentence] for p in parts])
-        bucket = np.concatenate([p.bucket for p in parts])
-        for k in np.unique(language):
-            docs, code = np.unique(doc[language == k], return_inverse=True)
-            found = first_topics(code, bucket[language == k], len(docs), topics)
-            sums = np.zeros((BUCKETS, topics))
-            sums[found.bucket] = found.counts
-            yield _cells(int(k), sums)
-
-    sample = coded.orderBy(*least).limit(start).coalesce(1)  # bounded, so that one task may hold it
-    found = _collect(arrow_map(sample, begin, _CELLS), topics)
+    found = first_topics(coded, topics)
     for _ in range(rounds):
-        found = _collect(arrow_map(coded, lambda batches, now=found: _round(batches, now), _CELLS), topics)
+        found = _sums(coded, lambda batches, now=found: _round(batches, now), topics)
 
     names = [r["subject"] for r in subjects.select("subject").filter("subject IS NOT NULL").distinct().orderBy("subject").collect()]
     keys = {name.strip().lower(): k for k, name in enumerate(names)}
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower(F.trim("subject")).alias("subject")).filter(F.col("subject").isin(list(keys)))
-    sets = known.groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("named")).orderBy(*least).limit(labelled)
+    sets = known.groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("named"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         sums: dict[int, np.ndarray] = {}
         for batch in _slices(batches):
             weight = np.zeros((batch.num_rows, len(names)))
@@ -449,30 +496,29 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame, *, start:
                 weight[d, [keys[n] for n in named]] = 1 / len(named) ** 2
             t = _arrays(batch)
             for k, docs, code, term in _by_language(t):
-                pair = np.unique(code * BUCKETS + t.bucket[term])
-                np.add.at(sums.setdefault(k, np.zeros((BUCKETS, len(names)))), pair % BUCKETS, weight[docs[pair // BUCKETS]])
-        yield from (_cells(k, s) for k, s in sums.items())
+                for rows, seen, counts in _blocks(code, t.bucket[term], len(docs)):
+                    sums.setdefault(k, np.zeros((BUCKETS, len(names))))[seen] += np.minimum(counts, 1).T @ weight[docs[rows]]
+        yield from sums.items()
 
-    held = _collect(arrow_map(coded.join(sets, "doc_id").select("doc_id", "lengths", "marks", "terms", "named"), count, _CELLS), max(len(names), 1))
+    held = _sums(coded.join(sets, "doc_id").select("doc_id", "lengths", "marks", "terms", "named"), count, max(len(names), 1))
     model = Model(names, found)
     for k, t in found.items():
         model.stands_for[k] = mapped(t, held.get(k, Topics(np.zeros(0, np.int64), np.zeros((0, len(names))))))
     return model, coded
 
 
-def _round(batches: Iterator[pa.RecordBatch], now: dict[int, Topics]) -> Iterator[pa.RecordBatch]:
-    """Expected counts of one task's documents; a language that the sample didn't hold counts from even topics."""
+def _round(batches: Iterator[pa.RecordBatch], now: dict[int, Topics]) -> Iterator[tuple[int, np.ndarray]]:
+    """Expected counts of one task's documents."""
     weights: dict[int, np.ndarray] = {}
     sums: dict[int, np.ndarray] = {}
-    topics = next(iter(now.values())).counts.shape[1] if now else TOPICS
     for batch in _slices(batches):
         t = _arrays(batch)
         for k, docs, code, term in _by_language(t):
             if k not in weights:
-                weights[k] = now[k].weights() if k in now else np.full((BUCKETS, topics), 1 / BUCKETS, np.float32)
-                sums[k] = np.zeros((BUCKETS, topics), np.float32)
+                weights[k] = now[k].weights()
+                sums[k] = np.zeros_like(weights[k])
             infer(code, t.bucket[term], len(docs), weights[k], sums=sums[k])
-    yield from (_cells(k, s) for k, s in sums.items())
+    yield from sums.items()
 
 
 def top_terms(topics: Topics, k: int, top: int = 20) -> np.ndarray:
@@ -549,8 +595,9 @@ def proportions(coded: DataFrame, model: Model) -> DataFrame:
                 part = mixed[code] * weights[k][t.bucket[term]]
                 total = part.sum(1, keepdims=True)
                 part = np.divide(part, total, out=np.zeros_like(part), where=total > 0)
-                for s in range(len(names)):
-                    score[:, s] += np.bincount(t.sentence[term], weights=part[:, model.stands_for[k] == s].sum(1), minlength=len(t.doc))
+                stands = (model.stands_for[k][:, None] == np.arange(len(names))).astype(part.dtype)
+                first = np.flatnonzero(np.r_[True, np.diff(t.sentence[term]) > 0])  # sentences are in order
+                score[t.sentence[term][first]] += np.add.reduceat(part @ stands, first)
             counts = np.zeros((batch.num_rows, len(names)), np.int64)
             treats = np.flatnonzero(score.max(1, initial=0) >= TREATED)
             np.add.at(counts, (t.doc[treats], score[treats].argmax(1) if len(names) else treats), 1)

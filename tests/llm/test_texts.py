@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tarnwork.llm import splitting
 from tarnwork.llm.packing import Capacities, pack, plan
@@ -226,6 +227,26 @@ def test_single_short_sentences(spark):
     assert got == {(1000, "botany"), (1001, "sailing")}
 
 
+def test_topics_and_their_map_rest_on_all_documents(spark):
+    """A subject, its words and its labels count wherever they stand: here in the 800 documents with the greatest hash of
+    their id, behind 20,000 others, all labelled. Every term of every document is in the model."""
+    order = [r["id"] for r in spark.range(20_800).orderBy(F.xxhash64("id"), "id").collect()]
+    dice, texts = random.Random(6), {}
+    for k, doc in enumerate(order):
+        a, b, c, e = dice.sample(WORDS["botany" if k < 20_000 else "sailing"], 4)
+        texts[doc] = f"We talked about the {a} and the {b}. The {c} is easy to confuse with the {e}."
+    d = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").repartition(4)
+    lab = spark.createDataFrame([(doc, "botany" if k < 20_000 else "sailing") for k, doc in enumerate(order)], "doc_id long, subject string")
+    sub = spark.createDataFrame([("botany",), ("sailing",)], "subject string")
+    model, coded = fit(d, lab, sub)
+    terms = coded.agg(F.sum(F.octet_length("terms") / 2)).first()[0]
+    assert abs(sum(t.counts.sum() for t in model.topics.values()) / terms - 1) < 1e-3
+    got = {(r["doc_id"], r["subject"]) for r in proportions(coded, model).filter("share > 0.5").collect()}
+    true = {(doc, "botany" if k < 20_000 else "sailing") for k, doc in enumerate(order)}
+    assert len(got & true) / len(true) > 0.99 and len(got - true) / len(got) < 0.01
+    assert sum((doc, "sailing") in got for doc in order[20_000:]) > 790
+
+
 def test_topics_are_read_by_their_top_terms():
     """Labels name topics and don't make them: the same topics stand for other subjects under other labels."""
     import numpy as np
